@@ -65,6 +65,8 @@ class WordCodec:
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.piece = regex.compile(pieces.replace(r"[^\s", f"[^{_SPACE}"))
+        #: Ids and tokens as text and their number, of each pre-token and of each word by its hash.
+        self.shown: dict[str, tuple[str, str, int]] = {}
         self.seen: dict[int, tuple[str, str, int]] = {}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
@@ -120,23 +122,34 @@ class WordCodec:
                 ranks[here[ok], p[ok]], into[here[ok], p[ok]] = self.table.lookup(parts[here[ok], p[ok]], parts[here[ok], p[ok] + 1])
         return result
 
-    def pieces(self, text: str) -> list[int | bytes]:
-        """Special tokens as ids and pre-tokens as bytes, in order."""
-        out: list[int | bytes] = []
-        for k, part in enumerate(self.special_at.split(text) if "<|" in text else (text,)):
-            if k % 2:
-                out.append(self.special[part])
-            else:
-                part = part if part.isascii() else unicodedata.normalize("NFC", part)
-                out += [w.encode() for w in self.piece.findall(lower_each(part))]
-        return out
+    def pieces(self, text: str) -> list[str]:
+        """Special tokens and pre-tokens, in order."""
+        if "<|" in text:
+            out: list[str] = []
+            for k, part in enumerate(self.special_at.split(text)):
+                out += [part] if k % 2 else self._plain(part)
+            return out
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
+        text = lower_each(text if text.isascii() else unicodedata.normalize("NFC", text))
+        if text.isalpha():
+            return [text]
+        if text[:-1].isalpha() and text[-1] in ".,":
+            return [text[:-1], text[-1]]
+        return self.piece.findall(text)
+
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        plain = [p for p in pieces if p not in self.special]
+        ids = iter(self.encode_words([p.encode() for p in plain]))
+        return [[self.special[p]] if p in self.special else next(ids) for p in pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
         pieces = [self.pieces(t) for t in texts]
-        words = list({w for p in pieces for w in p if isinstance(w, bytes)})
-        ids = dict(zip(words, self.encode_words(words), strict=True))
-        return [[i for p in own for i in (ids[p] if isinstance(p, bytes) else (p,))] for own in pieces]
+        words = list({p for own in pieces for p in own})
+        ids = dict(zip(words, self.encode_pieces(words), strict=True))
+        return [[i for p in own for i in ids[p]] for own in pieces]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by a blank, as the file names no decoder; special ones stay."""
@@ -147,23 +160,29 @@ class WordCodec:
         words = split_words(texts)
         keys, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
         if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
+            self.seen.clear(), self.shown.clear()
         keys = keys.tolist()
         known = [self.seen.get(k) for k in keys]
         new = [i for i, hit in enumerate(known) if hit is None]
-        for i, ids in zip(new, self.encode([words.word(first[i]).decode() for i in new]), strict=True):
-            known[i] = self.seen[keys[i]] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
+        raw, starts, ends = words.data.tobytes(), words.starts[first].tolist(), words.ends[first].tolist()
+        pieces = [self.pieces(raw[starts[i] : ends[i]].decode()) for i in new]
+        fresh = list({p for own in pieces for p in own if p not in self.shown})
+        for p, ids in zip(fresh, self.encode_pieces(fresh), strict=True):
+            self.shown[p] = (" ".join(map(str, ids)), self.decode(ids), len(ids))
+        for i, own in zip(new, pieces, strict=True):
+            parts = [self.shown[p] for p in own]
+            known[i] = self.seen[keys[i]] = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts]))
         sizes = np.array([k[2] for k in known], np.int64)[inverse] if known else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
         counts = (total[words.offs[1:]] - total[words.offs[:-1]]).tolist()
         inverse, sha = inverse.tolist(), hashlib.sha256
-        ids_of, text_of, offs = [k[0] for k in known], [k[1] for k in known], words.offs.tolist()
+        ids_of, text_of, offs = [k[0] for k in known].__getitem__, [k[1] for k in known].__getitem__, words.offs.tolist()
         empty = {i for i, k in enumerate(known) if not k[2]}
         ids_sha, text_sha = [], []
         for a, b in zip(offs[:-1], offs[1:], strict=True):
             own = inverse[a:b] if not empty else [i for i in inverse[a:b] if i not in empty]
-            ids_sha.append(sha(" ".join([ids_of[i] for i in own]).encode()).hexdigest())
-            text_sha.append(sha(" ".join([text_of[i] for i in own]).encode()).hexdigest())
+            ids_sha.append(sha(" ".join(map(ids_of, own)).encode()).hexdigest())
+            text_sha.append(sha(" ".join(map(text_of, own)).encode()).hexdigest())
         return counts, ids_sha, text_sha
 
 
