@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import bpe, token_count
+from orbweave.llm import bpe, minhash, token_count
 from orbweave.llm.common import table
 
 
@@ -21,12 +21,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), path=tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), model_path=tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op8_token_count": op8_token_count}
+    return {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op8_token_count": op8_token_count}
 
 
 def oracle_sql() -> dict[str, str]:
