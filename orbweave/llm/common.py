@@ -8,7 +8,6 @@ so that no Python object is made per word.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,13 +87,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def split_words(column: pa.Array, lower: bool = False) -> Words:
+def split_words(column: pa.Array, lower: bool = False, space: np.ndarray = _SPACE) -> Words:
     """Splits and hashes all words of a column of texts.
 
-    With ``lower``, the hashes are those of words with A-Z in lower case.
+    With ``lower``, the hashes are those of words with A-Z in lower case.  ``space`` marks
+    the bytes that are no part of a word.
     """
     data, at = text_buffer(column)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     first = at[:-1][at[:-1] < at[1:]]  # a text's first byte starts a word even if the last text ended in one
@@ -200,14 +200,3 @@ def store(uri: str):
     if local := local_path(uri):
         return fs.LocalFileSystem(), local
     return fs.FileSystem.from_uri(uri)
-
-
-def write_file(uri: str, content: bytes) -> None:
-    """Writes a file under a name of its own and renames it: a task that is run twice
-    leaves one whole file."""
-    files, path = store(uri)
-    files.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with files.open_output_stream(part) as out:
-        out.write(content)
-    files.move(part, path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import bpe, minhash, token_count
+from orbweave.llm import bpe, chat, fingerprint, minhash, token_count, warc
 from orbweave.llm.common import table
 
 
@@ -25,12 +25,35 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.conversation_digest(chat.format_conversations(turns))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), model_path=tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_minhash": op3_minhash, "op8_token_count": op8_token_count}
+    return {
+        "op1_bpe": op1_bpe,
+        "op3_minhash": op3_minhash,
+        "op7_chat": op7_chat,
+        "op8_token_count": op8_token_count,
+        "op9_fingerprint": op9_fingerprint,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
