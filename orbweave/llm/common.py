@@ -8,10 +8,12 @@ so that no Python object is made per word.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -200,3 +202,38 @@ def store(uri: str):
     if local := local_path(uri):
         return fs.LocalFileSystem(), local
     return fs.FileSystem.from_uri(uri)
+
+
+def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> list[tuple[str, str, str, int]]:
+    """Writes arrays as raw files under names of their own; a task that is run again
+    writes other files, and only those of the attempt that counts are named in its rows."""
+    out = []
+    for name, array in arrays.items():
+        uri = f"{folder}/{name}-{uuid.uuid4().hex}"
+        files, path = store(uri)
+        files.create_dir(os.path.dirname(path), recursive=True)
+        with files.open_output_stream(path, compression=None) as stream:
+            stream.write(array.tobytes())
+        out.append((name, uri, array.dtype.str, len(array)))
+    return out
+
+
+@lru_cache(maxsize=100_000)
+def mapped(uri: str, dtype: str, n: int) -> np.ndarray:
+    """The array in a file, mapped into memory; from a store without local paths, the
+    worker first copies the file to its own disk, once."""
+    if not n:
+        return np.zeros(0, dtype)
+    if not (path := local_path(uri)):
+        files, remote = store(uri)
+        with tempfile.NamedTemporaryFile(prefix="orbweave-", delete=False) as copy, files.open_input_stream(remote, compression=None) as source:
+            while part := source.read(1 << 22):
+                copy.write(part)
+        path = copy.name
+    return np.memmap(path, dtype, "r", shape=(n,))
+
+
+def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    cuts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    for low, high in zip(cuts, np.append(cuts[1:], len(sorted_values)), strict=True):
+        yield int(sorted_values[low]), int(low), int(high)

@@ -8,12 +8,8 @@ into memory and score whole texts by binary search.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,42 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import fresh_dir, local_path, slices, split_words, store, tune
+from orbweave.llm.common import fresh_dir, mapped, runs, slices, split_words, tune, write_arrays
 
 #: Tokens that a task gathers before it sends their counts on.
 FLUSH_TOKENS = 4_000_000
 _END = np.uint64(0xE4D0000000000001)  # stands for the end of a text among the word hashes
 
 
-def _write(folder: str, arrays: dict[str, np.ndarray]) -> list[tuple[str, str, str, int]]:
-    """Writes arrays as raw files under names of their own; a task that is run again
-    writes other files, and only those of the attempt that counts are named in its rows."""
-    out = []
-    for name, array in arrays.items():
-        uri = f"{folder}/{name}-{uuid.uuid4().hex}"
-        files, path = store(uri)
-        files.create_dir(os.path.dirname(path), recursive=True)
-        with files.open_output_stream(path, compression=None) as stream:
-            stream.write(array.tobytes())
-        out.append((name, uri, array.dtype.str, len(array)))
-    return out
-
-
-@lru_cache(maxsize=100_000)
-def mapped(uri: str, dtype: str, n: int) -> np.ndarray:
-    """The array in a file, mapped into memory; from a store without local paths, the
-    worker first copies the file to its own disk, once."""
-    if not n:
-        return np.zeros(0, dtype)
-    if not (path := local_path(uri)):
-        files, remote = store(uri)
-        with tempfile.NamedTemporaryFile(prefix="orbweave-lm-", delete=False) as copy, files.open_input_stream(remote, compression=None) as source:
-            while part := source.read(1 << 22):
-                copy.write(part)
-        path = copy.name
-    return np.memmap(path, dtype, "r", shape=(n,))
-
-
 @dataclass
 class Discounts:
     """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more."""
@@ -102,7 +69,7 @@ class Model:
         """Number of each word, -1 for one that training did not see; hashes are sorted."""
         out = np.full(len(hashes), -1, np.int64)
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        for b, low, high in _runs(bucket):
+        for b, low, high in runs(bucket):
             known = self.array("hash", b)
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes[low:high]), len(known) - 1)
@@ -112,7 +79,7 @@ class Model:
     def per_word(self, name: str, numbers: np.ndarray) -> np.ndarray:
         """Values of numbered words, which are sorted; -1 has 0."""
         out = np.zeros(len(numbers), np.int64)
-        for r, low, high in _runs(numbers // self.width):
+        for r, low, high in runs(numbers // self.width):
             values = self.array(name, r)
             if r >= 0 and len(values):
                 out[low:high] = values[numbers[low:high] - r * self.width]
@@ -120,7 +87,7 @@ class Model:
 
     def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        for r, low, high in _runs((keys >> 32) // self.width):
+        for r, low, high in runs((keys >> 32) // self.width):
             known = self.array("bigram", r)
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys[low:high]), len(known) - 1)
@@ -168,12 +135,6 @@ class Model:
         return np.diff(offs), np.add.reduceat((counts > 0)[inverse].astype(np.int64), offs[:-1]), np.add.reduceat(base[inverse], offs[:-1]), np.add.reduceat(logs, offs[:-1])
 
 
-def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    cuts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
-    for low, high in zip(cuts, np.append(cuts[1:], len(sorted_values)), strict=True):
-        yield int(sorted_values[low]), int(low), int(high)
-
-
 def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, each followed by the end token, and where each begins."""
     words = split_words(texts, lower=True)
@@ -192,7 +153,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def _parts(bucket: np.ndarray, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket of sorted keys; counts of 1 to 255 take a byte."""
-    rows = [(b, key[low:high].tobytes(), count[low:high].astype(np.uint8 if count[low:high].max() < 256 else np.int64).tobytes()) for b, low, high in _runs(bucket)]
+    rows = [(b, key[low:high].tobytes(), count[low:high].astype(np.uint8 if count[low:high].max() < 256 else np.int64).tobytes()) for b, low, high in runs(bucket)]
     b, k, c = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "keys", "counts"])
 
@@ -250,7 +211,7 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> M
 
     def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
         key, count = _merged(*_unpacked(rows, np.uint64))
-        return _summary(int(rows.bucket.iloc[0]), _write(folder, {"hash": key, "count_by_hash": count.astype(np.int64)}), [count.sum()])
+        return _summary(int(rows.bucket.iloc[0]), write_arrays(folder, {"hash": key, "count_by_hash": count.astype(np.int64)}), [count.sum()])
 
     words = texts.mapInArrow(count_words, _ROWS).groupBy("bucket").applyInPandas(merge_words, _SUMMARY).collect()
     sizes = np.zeros((1 << bits) + 1, np.int64)
@@ -285,9 +246,9 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> M
         key, count = _merged(*_unpacked(rows, np.int64))
         context = (key >> 32) - bucket * width
         stats = {"total": np.bincount(context, count, width), **{name: np.bincount(context[few], minlength=width) for name, few in (("ones", count == 1), ("twos", count == 2), ("more", count > 2))}}
-        files = _write(folder, {"bigram": key, "bigram_count": count.astype(np.uint32), **{k: v.astype(np.int64 if k == "total" else np.uint32) for k, v in stats.items()}})
+        files = write_arrays(folder, {"bigram": key, "bigram_count": count.astype(np.uint32), **{k: v.astype(np.int64 if k == "total" else np.uint32) for k, v in stats.items()}})
         word, times = np.unique(key & 0xFFFFFFFF, return_counts=True)
-        return _summary(bucket, files + _write(folder, {"followers": word, "follower_count": times.astype(np.int64)}), [len(key), *_times(count)])
+        return _summary(bucket, files + write_arrays(folder, {"followers": word, "follower_count": times.astype(np.int64)}), [len(key), *_times(count)])
 
     found = texts.mapInArrow(count_pairs, _ROWS).groupBy("bucket").applyInPandas(merge_pairs, _SUMMARY).collect()
     add(found)
@@ -311,7 +272,7 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> M
                     low, high = max(first[b], r * width), min(first[b + 1], (r + 1) * width)
                     if low < high:
                         count[low - r * width : high - r * width] = model.array("count_by_hash", b)[low - first[b] : high - first[b]]
-                yield pa.RecordBatch.from_pandas(_summary(r, _write(folder, {"continuation": total.astype(np.uint32), "count": count}), _times(total)), schema, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(_summary(r, write_arrays(folder, {"continuation": total.astype(np.uint32), "count": count}), _times(total)), schema, preserve_index=False)
 
     schema = pa.schema([("name", pa.string()), ("bucket", pa.int32()), ("uri", pa.string()), ("dtype", pa.string()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))])
     ranges = per_range.mapInArrow(merge_continuations, _SUMMARY).collect()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import bpe, chat, fingerprint, minhash, ngram_lm, token_count, toxicity, warc
+from orbweave.llm import bpe, chat, fingerprint, minhash, ngram_lm, substring, token_count, toxicity, warc
 from orbweave.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicate_digest(table(spark, sf_dir, "documents"), min_words=20)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_lm": op2_ngram_lm,
         "op3_minhash": op3_minhash,
         "op5_toxicity": op5_toxicity,
+        "op6_substring": op6_substring,
         "op7_chat": op7_chat,
         "op8_token_count": op8_token_count,
         "op9_fingerprint": op9_fingerprint,
