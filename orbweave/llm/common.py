@@ -16,8 +16,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass takes; its arrays then stay in the processor's cache.
 CHUNK_BYTES = 1 << 21
@@ -237,3 +239,34 @@ def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     cuts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
     for low, high in zip(cuts, np.append(cuts[1:], len(sorted_values)), strict=True):
         yield int(sorted_values[low]), int(low), int(high)
+
+
+@dataclass
+class HashFiles:
+    """A set of 64-bit hashes in sorted files of the shared folder, by their top bits."""
+
+    bits: int
+    files: dict[int, tuple[str, str, int]]
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        some, inverse = np.unique(hashes, return_inverse=True)
+        found = np.zeros(len(some), bool)
+        for b, low, high in runs((some >> _U(64 - self.bits)).astype(np.int64)):
+            if b in self.files and len(known := mapped(*self.files[b])):
+                at = np.minimum(np.searchsorted(known, some[low:high]), len(known) - 1)
+                found[low:high] = known[at] == some[low:high]
+        return found[inverse]
+
+
+def hash_files(df: DataFrame, name: str) -> HashFiles:
+    """Writes the distinct values of df's one bigint column, taken as hashes."""
+    spark = df.sparkSession
+    folder, column = fresh_dir(spark, name), df.columns[0]
+    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        (_, uri, dtype, n), = write_arrays(folder, {"hashes": np.unique(rows[column].to_numpy().view(np.uint64))})
+        return pd.DataFrame({"bucket": rows.bucket.iloc[:1], "uri": [uri], "dtype": [dtype], "n": [n]})
+
+    rows = df.select(column, F.shiftrightunsigned(column, 64 - bits).alias("bucket")).groupBy("bucket").applyInPandas(write, "bucket bigint, uri string, dtype string, n bigint")
+    return HashFiles(bits, {r["bucket"]: (r["uri"], r["dtype"], r["n"]) for r in rows.collect()})

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import mix, ngram_hashes, odd_numbers, slices, split_words, staged, tune
+from orbweave.llm.common import HashFiles, hash_files, mix, ngram_hashes, odd_numbers, slices, split_words, staged, tune
 from orbweave.llm.graph import components
 
 #: Shingles in one block of the comparison inside clusters.
@@ -68,17 +68,19 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, permutatio
     return df.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, n bigint, a bigint, b bigint, sig binary")
 
 
-def full_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id, hashes``: the whole shingle set of each document, as sorted 64-bit numbers."""
+def full_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, chosen: HashFiles) -> DataFrame:
+    """``id, hashes``: the whole shingle set, as sorted 64-bit numbers, of each document whose
+    id's xxhash64 is chosen.  The texts are not shuffled for that."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(chosen.has(batch.column(2).to_numpy().view(np.uint64))))
             for part in slices(batch, text_col):
                 own = [s.tobytes() for s in shingle_sets(part.column(1), shingle)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["id", "hashes"])
 
-    return df.select(id_col, text_col).mapInArrow(sets, f"id {kind}, hashes binary")
+    return df.select(id_col, text_col, F.xxhash64(id_col).alias("hash of id")).mapInArrow(sets, f"id {kind}, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,9 +172,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = classes.select("node", "sig", band).select("node", F.xxhash64("band", F.expr(f"substring(sig, band * {2 * rows} + 1, {2 * rows})")).alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("c")).filter("c > 1").select("bucket", "u")
     star = staged(buckets.join(hubs, "bucket").filter("node != u").select("u", F.col("node").alias("v")).distinct(), "star")
-    nodes = star.select(F.col("u").alias("id")).union(star.select(F.col("v").alias("id"))).distinct()
+    nodes = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
+    chosen = hash_files(nodes.select(F.xxhash64("node").alias("h")), "nodes")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = staged(full_sets(docs.join(nodes, "id", "left_semi"), "id", "text", shingle).dropDuplicates(["id"]).withColumnRenamed("id", "node"), "sets")
+    sets = full_sets(docs, "id", "text", shingle, chosen).withColumnRenamed("id", "node")
+    sets = staged(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
     links = staged(_confirmed(star, sets, percent), "links")
     links = staged(links.union(_cluster_links(star, links, sets, percent)), "all-links")
     label = components(links, "labels").select("node", F.col("label").alias("component_id"))

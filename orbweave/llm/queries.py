@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbweave.llm import bpe, chat, fingerprint, minhash, ngram_lm, substring, token_count, toxicity, warc
+from orbweave.llm import bpe, chat, decontaminate, fingerprint, minhash, ngram_lm, substring, token_count, toxicity, warc
 from orbweave.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_ngram_lm": op2_ngram_lm,
         "op3_minhash": op3_minhash,
+        "op4_decontamination": op4_decontamination,
         "op5_toxicity": op5_toxicity,
         "op6_substring": op6_substring,
         "op7_chat": op7_chat,
