@@ -270,3 +270,21 @@ def hash_files(df: DataFrame, name: str) -> HashFiles:
 
     rows = df.select(column, F.shiftrightunsigned(column, 64 - bits).alias("bucket")).groupBy("bucket").applyInPandas(write, "bucket bigint, uri string, dtype string, n bigint")
     return HashFiles(bits, {r["bucket"]: (r["uri"], r["dtype"], r["n"]) for r in rows.collect()})
+
+
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ``ids`` (one column); rows with a null id stay.
+
+    Ids are compared by their 64-bit xxhash64 in mapped files, so that the texts are not
+    shuffled: of n rows against m ids, n * m / 2**64 are expected to go by chance."""
+    chosen = hash_files(ids.select(F.xxhash64(ids.columns[0]).alias("h")), "ids")
+    names = df.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, known = batch.column(batch.num_columns - 1), np.array(batch.column(batch.num_columns - 2))
+            gone = chosen.has(own.to_numpy().view(np.uint64)) & known
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=names).filter(pa.array(~gone))
+
+    marked = df.select(*(F.col(f"`{c}`") for c in names), F.col(id_col).isNotNull().alias("has id"), F.xxhash64(id_col).alias("hash of id"))
+    return marked.mapInArrow(keep, df.schema)
