@@ -215,6 +215,6 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     by default) and returns the index and the records as they are read back."""
     spark = pages.sparkSession
     index = staged(write_bundles(pages, folder or fresh_dir(spark, "warc"), id_col, url_col, html_col, min_bytes), "warc-index")
-    # A bundle is one row, whatever the size of its name: dealt evenly, not by bytes.
-    bundles = index.select("bundle").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bundle")
+    # A bundle is one row, whatever the length of its name: dealt evenly, not by bytes.
+    bundles = index.select("bundle").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return index, read_bundles(bundles, pages.schema[id_col].dataType.simpleString())
