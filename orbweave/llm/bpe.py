@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -68,6 +69,8 @@ class WordCodec:
         #: Ids and tokens as text and their number, of each pre-token and of each word by its hash.
         self.shown: dict[str, tuple[str, str, int]] = {}
         self.seen: dict[int, tuple[str, str, int]] = {}
+        #: Ids of each word by its hash.
+        self.ids: dict[int, np.ndarray] = {}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token."""
@@ -155,6 +158,35 @@ class WordCodec:
         """The tokens joined by a blank, as the file names no decoder; special ones stay."""
         return " ".join([self.tokens[i] for i in ids])
 
+    def encode_array(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text of a column; words that repeat in it are encoded once."""
+        words = split_words(texts)
+        keys, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        if len(self.ids) > CACHE_WORDS:
+            self.ids.clear()
+        keys = keys.tolist()
+        known = [self.ids.get(k) for k in keys]
+        new = [i for i, hit in enumerate(known) if hit is None]
+        raw, starts, ends = words.data.tobytes(), words.starts[first].tolist(), words.ends[first].tolist()
+        for i, ids in zip(new, self.encode([raw[starts[i] : ends[i]].decode() for i in new]), strict=True):
+            known[i] = self.ids[keys[i]] = np.array(ids, np.int32)
+        sizes = np.array([len(k) for k in known], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *known])
+        begins = np.cumsum(sizes) - sizes
+        many = sizes[inverse] if len(sizes) else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(many)])
+        at = np.repeat(begins[inverse] - total[:-1], many) + np.arange(total[-1]) if len(many) else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(total[words.offs], pa.int32()), pa.array(flat[at], pa.int32()))
+
+    def decode_array(self, ids: pa.ListArray) -> pa.Array:
+        """decode() of each array of ids; null counts as none."""
+        names = pa.array([self.tokens[i] for i in range(max(self.tokens) + 1)])
+        if ids.null_count:
+            ids = pa.array([i or [] for i in ids.to_pylist()], ids.type)
+        values = names.take(ids.flatten())
+        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]) if len(ids) else np.zeros(1)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values), " ")
+
     def digest(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
         """Of each text: number of ids, SHA-256 of the ids and of what they decode to."""
         words = split_words(texts)
@@ -207,8 +239,7 @@ def encode_column(df: DataFrame, text_col: str = "text", ids_col: str = "token_i
         codec = word_codec(path)
         for batch in batches:
             for part in slices(batch, text_col):
-                ids = codec.encode([t or "" for t in part.column(place).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, codec.encode_array(part.column(place))], names=schema.names)
 
     return df.mapInArrow(encode, schema)
 
@@ -226,8 +257,7 @@ def decode_column(df: DataFrame, ids_col: str = "token_ids", text_col: str = "de
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_codec(path)
         for batch in batches:
-            texts = [codec.decode(ids or []) for ids in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, codec.decode_array(batch.column(place))], names=schema.names)
 
     return df.mapInArrow(decode, schema)
 

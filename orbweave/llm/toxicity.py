@@ -203,6 +203,20 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
     return df.select(id_col, text_col).mapInArrow(score, f"`{id_col}` {kind}, score double")
 
 
+def clean_documents(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose text scores under the threshold."""
+    tune(df.sparkSession)
+    place = df.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = model.table()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(model.score(part.column(place), dense)[0] < threshold))
+
+    return df.mapInArrow(clean, df.schema)
+
+
 def offending_sentences(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Sentences with a score of ``threshold`` or more: ``id_col, sentence, score, words``, the
     number of the sentence in its text from 0 and its text from first to last word."""
