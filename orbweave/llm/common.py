@@ -236,7 +236,10 @@ def mapped(uri: str, dtype: str, n: int) -> np.ndarray:
 
 
 def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    cuts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    """Each distinct value, and where its run begins and ends."""
+    if not len(sorted_values):
+        return
+    cuts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
     for low, high in zip(cuts, np.append(cuts[1:], len(sorted_values)), strict=True):
         yield int(sorted_values[low]), int(low), int(high)
 
