@@ -1,0 +1 @@
+"""Registered queries over the derived molecule tables and their SQL."""
