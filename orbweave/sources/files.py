@@ -71,7 +71,7 @@ def read_smiles(spark: SparkSession, path: str) -> DataFrame:
 def parse_cubes(texts: DataFrame) -> DataFrame:
     """Grid fields of whole cube texts ``mol_id, field, value``: two comment lines, the number of
     atoms, three axis lines, the atoms, then the values with z running fastest."""
-    words = texts.select("mol_id", "field", F.split(F.trim(F.regexp_replace("value", r"^[^\n]*\n[^\n]*\n", "")), r"\s+").alias("w"))
+    words = texts.select("mol_id", "field", F.split(F.regexp_replace("value", r"^[^\n]*\n[^\n]*\n\s*|\s+$", ""), r"\s+").alias("w"))
     size = lambda k: F.get("w", F.lit(k)).cast("int")
     rows = words.select("mol_id", "field", size(8).alias("ny"), size(12).alias("nz"), F.posexplode(F.slice("w", 17 + F.abs(size(0)) * 5, F.size("w"))).alias("at", "v"))
     return rows.select("mol_id", "field", F.expr("CAST(at DIV (ny * nz) AS INT)").alias("ix"), F.expr("CAST(pmod(at DIV nz, ny) AS INT)").alias("iy"), F.expr("CAST(pmod(at, nz) AS INT)").alias("iz"), F.col("v").cast("double").alias("value"))
