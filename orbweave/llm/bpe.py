@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from orbweave.llm.common import slices, split_words, tune
+from orbweave.llm.common import release, slices, split_words, tune
 from orbweave.llm.merges import NEVER, PairTable
 
 #: Words of more bytes are merged one at a time.
@@ -70,7 +71,7 @@ class WordCodec:
         self.shown: dict[str, tuple[str, str, int]] = {}
         self.seen: dict[int, tuple[str, str, int]] = {}
         #: Ids of each word by its hash.
-        self.ids: dict[int, np.ndarray] = {}
+        self.ids: dict[int, bytes] = {}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token."""
@@ -169,9 +170,9 @@ class WordCodec:
         new = [i for i, hit in enumerate(known) if hit is None]
         raw, starts, ends = words.data.tobytes(), words.starts[first].tolist(), words.ends[first].tolist()
         for i, ids in zip(new, self.encode([raw[starts[i] : ends[i]].decode() for i in new]), strict=True):
-            known[i] = self.ids[keys[i]] = np.array(ids, np.int32)
-        sizes = np.array([len(k) for k in known], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int32), *known])
+            known[i] = self.ids[keys[i]] = array("i", ids).tobytes()
+        sizes = np.array([len(k) // 4 for k in known], np.int64)
+        flat = np.frombuffer(b"".join(known), np.int32)
         begins = np.cumsum(sizes) - sizes
         many = sizes[inverse] if len(sizes) else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(many)])
@@ -224,22 +225,27 @@ def word_codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-def encode_column(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", *, path: str) -> DataFrame:
-    """Adds the ids of every whole text as an array; a null or empty text has none.
+def encode_column(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None, *, path: str) -> DataFrame:
+    """Adds the ids of every whole text as an array, and with ``decoded_col`` the text that they
+    decode to; a null or empty text has no ids and decodes to an empty text.
 
-    A column of that name is replaced; all other columns and all rows stay."""
+    Columns of those names are replaced; all other columns and all rows stay."""
     from pyspark.sql import types as T
 
     tune(df.sparkSession)
-    df = df.drop(ids_col) if ids_col != text_col else df
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
+    df = df.drop(*{ids_col, decoded_col or ids_col} - {text_col})
+    added = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded_col, T.StringType(), False)] if decoded_col else [])
+    schema = T.StructType([*df.schema.fields, *added])
     place = df.columns.index(text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = word_codec(path)
         for batch in batches:
             for part in slices(batch, text_col):
-                yield pa.RecordBatch.from_arrays([*part.columns, codec.encode_array(part.column(place))], names=schema.names)
+                ids = codec.encode_array(part.column(place))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *([codec.decode_array(ids)] if decoded_col else [])], names=schema.names)
+        codec.ids.clear()
+        release()
 
     return df.mapInArrow(encode, schema)
 

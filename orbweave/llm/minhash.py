@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import HashFiles, hash_files, mix, ngram_hashes, odd_numbers, slices, split_words, staged, tune
+from orbweave.llm.common import HashFiles, hash_files, mix, ngram_hashes, odd_numbers, release, slices, split_words, staged, tune
 from orbweave.llm.graph import components
 
 #: Shingles in one block of the comparison inside clusters.
@@ -64,6 +64,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, permutatio
                     sig.append(min_max_signature(own, multipliers).tobytes())
                 hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *hashes, pa.array(sig, pa.binary())], names=["id", "n", "a", "b", "sig"])
+        release()
 
     return df.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, n bigint, a bigint, b bigint, sig binary")
 

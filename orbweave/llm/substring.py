@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Words, fresh_dir, mapped, mix, ngram_hashes, runs, slices, split_words, tune, within, write_arrays
+from orbweave.llm.common import Words, fresh_dir, mapped, mix, ngram_hashes, release, runs, slices, split_words, tune, within, write_arrays
 
 #: Places that a task gathers before it sends their first ones on.
 FLUSH_PLACES = 2_000_000
@@ -103,6 +103,8 @@ def build_index(docs: DataFrame, places, folder: str) -> Index:
                     held, size = [], 0
         if held:
             yield _place_rows(held, bits)[0]
+            held = []
+        release()
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         read = lambda column, dtype: np.concatenate([np.frombuffer(x, dtype) for x in rows[column]])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Words, mix, odd_numbers, slices, split_words, staged, tune
+from orbweave.llm.common import Words, mix, odd_numbers, release, slices, split_words, staged, tune
 
 #: Most labelled documents of each class that the model is trained on, chosen by a hash of their id.
 TRAIN_PER_CLASS = 6000
@@ -143,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 for c in (0, 1):
                     seen[c] += np.bincount(pair[label[pair >> HASH_BITS] == c] & ((1 << HASH_BITS) - 1), minlength=1 << HASH_BITS)
         ids = np.flatnonzero(seen.sum(0))
+        release()
         for k in range(0, len(ids), 100_000):
             some = ids[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[0, some]), pa.array(seen[1, some])], names=["id", "clean", "toxic"])
@@ -213,6 +214,7 @@ def clean_documents(df: DataFrame, model: Model, text_col: str = "text", thresho
         for batch in batches:
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(model.score(part.column(place), dense)[0] < threshold))
+        release()
 
     return df.mapInArrow(clean, df.schema)
 
