@@ -41,7 +41,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and the text that they decode to."""
     path = tokenizer_path("word_bpe_49k.json")
-    coded = bpe.decode_column(bpe.encode_column(docs.select("doc_id", "lang", "source", "text"), path=path), path=path)
+    coded = bpe.encode_column(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded", path=path)
     return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", "decoded")
 
 
