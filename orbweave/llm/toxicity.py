@@ -22,6 +22,8 @@ from orbweave.llm.common import Words, mix, odd_numbers, release, slices, split_
 TRAIN_PER_CLASS = 6000
 #: Most features that get a weight, those that tell the classes apart best.
 MAX_FEATURES = 4096
+#: A feature has to be this many times as frequent in one class as in the other.
+LEAST_ODDS = 2.0
 HASH_BITS = 20
 #: Lengths in bytes of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
@@ -155,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rate = lambda c: (F.col(c) + 0.5) / (totals[int(c == "toxic")] + 1.0)
     odds = F.log(rate("toxic")) - F.log(rate("clean"))
     tells = odds * odds / (1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    ids = np.array(sorted(r["id"] for r in seen.filter("clean + toxic >= 4").select("id", tells.alias("tells")).orderBy(F.desc("tells"), "id").limit(MAX_FEATURES).collect()), np.int64)
+    telling = seen.filter("clean + toxic >= 4").filter(F.abs(odds) >= np.log(LEAST_ODDS))
+    ids = np.array(sorted(r["id"] for r in telling.select("id", tells.alias("tells")).orderBy(F.desc("tells"), "id").limit(MAX_FEATURES).collect()), np.int64)
     place = np.full(1 << HASH_BITS, -1, np.int32)
     place[ids] = np.arange(len(ids))
 
@@ -177,11 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for label, many, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pair = np.frombuffer(raw, np.int64)
                 own, inverse = np.unique(pair >> 32, return_inverse=True)
-                sentence.append(inverse + len(doc)), feature.append(pair & 0xFFFFFFFF)
+                sentence.append((inverse + len(doc)).astype(np.int32)), feature.append((pair & 0xFFFFFFFF).astype(np.int32))
                 doc += [len(toxic)] * len(own)
                 toxic.append(label), plain.append(many - len(own))
         if toxic:
             w, bias = fit_noisy_or(np.array(toxic), np.array(plain), np.array(doc, np.int64), np.concatenate(sentence), np.concatenate(feature), len(ids))
+            del sentence, feature
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["w", "bias"])
 
     bags = sample.mapInArrow(reduce, "toxic int, sentences bigint, pairs binary")
