@@ -46,6 +46,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The number whose mix() is x; mix() is a permutation of the 64-bit numbers."""
+    x = x ^ (x >> _U(31)) ^ (x >> _U(62))
+    x = x * _U(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> _U(27)) ^ (x >> _U(54))
+    x = x * _U(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> _U(30)) ^ (x >> _U(60))
+
+
 def odd_numbers(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random odd 64-bit multipliers."""
     x = (np.arange(1, n + 1, dtype=_U) + _U(seed) * _U(1 << 32)) * _U(0x9E3779B97F4A7C15)

@@ -1,9 +1,10 @@
 """Interpolated modified Kneser-Ney bigram model.
 
-Words and bigrams are counted in Spark, in buckets.  The counts are stored as sorted
-arrays in files of the shared folder: words by their 64-bit hash, whose place in the
-order is the word's number, and bigrams by the pair of numbers.  Workers map the files
-into memory and score whole texts by binary search.
+Words and bigrams are counted in Spark, in buckets of their hashes, so that the bigrams of
+a frequent word spread over all buckets.  The counts are stored as sorted hash arrays in
+files of the shared folder; a word's place in the order is its number, and a bigram's hash
+is a permutation of its pair of numbers, so no two bigrams share one.  Workers map the files into
+memory and score whole texts by binary search.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import fresh_dir, mapped, runs, slices, split_words, tune, write_arrays
+from orbweave.llm.common import fresh_dir, mapped, mix, runs, slices, split_words, tune, unmix, write_arrays
 
 #: Tokens that a task gathers before it sends their counts on.
 FLUSH_TOKENS = 4_000_000
@@ -47,8 +48,8 @@ class Discounts:
 class Model:
     """Where the arrays are, and the totals.
 
-    Words of bucket b have hashes whose top bits are b; number ``i`` is in range
-    ``i // width`` of the per-word and bigram arrays."""
+    Words and bigrams of bucket b have hashes whose top bits are b; number ``i`` is in range
+    ``i // width`` of the per-word arrays."""
 
     bits: int
     width: int
@@ -85,13 +86,14 @@ class Model:
                 out[low:high] = values[numbers[low:high] - r * self.width]
         return out
 
-    def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        for r, low, high in runs((keys >> 32) // self.width):
-            known = self.array("bigram", r)
+    def bigram_counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts of bigrams by their sorted hashes."""
+        out = np.zeros(len(hashes), np.int64)
+        for b, low, high in runs((hashes >> np.uint64(64 - self.bits)).astype(np.int64)):
+            known = self.array("bigram", b)
             if len(known):
-                at = np.minimum(np.searchsorted(known, keys[low:high]), len(known) - 1)
-                out[low:high] = np.where(known[at] == keys[low:high], self.array("bigram_count", r)[at], 0)
+                at = np.minimum(np.searchsorted(known, hashes[low:high]), len(known) - 1)
+                out[low:high] = np.where(known[at] == hashes[low:high], self.array("bigram_count", b)[at], 0)
         return out
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,16 +127,25 @@ class Model:
         before[offs[:-1]] = len(counts)
         total, *few = (np.append(v, s) for v, s in zip((total, *few), start, strict=True))
         left = sum(d * v for d, v in zip(self.high.values, few, strict=True)) if self.high else np.zeros(len(total))
-        pair, back = np.unique(np.where((context >= 0) & (number >= 0), context << 32 | np.maximum(number, 0), -1), return_inverse=True)
-        found = np.zeros(len(pair), np.int64)
-        found[pair >= 0] = self.bigram_counts(pair[pair >= 0])
-        c = found[back]
+        both = (context >= 0) & (number >= 0)
+        pair, back = np.unique(pair_hashes(context[both], number[both]), return_inverse=True)
+        c = np.zeros(len(stream), np.int64)
+        c[both] = self.bigram_counts(pair)[back]
         seen = total[before]
         share = np.where(seen > 0, (c - (self.high.of(c) if self.high else 0) + left[before] * lower[inverse]) / np.maximum(seen, 1), lower[inverse])
         logs = np.log10(share)
         return np.diff(offs), np.add.reduceat((counts > 0)[inverse].astype(np.int64), offs[:-1]), np.add.reduceat(base[inverse], offs[:-1]), np.add.reduceat(logs, offs[:-1])
 
 
+def pair_hashes(context: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mix((context << 32 | number).view(np.uint64))
+
+
+def smallest(values: np.ndarray) -> np.ndarray:
+    """Non-negative values in the narrowest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
+
+
 def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, each followed by the end token, and where each begins."""
     words = split_words(texts, lower=True)
@@ -211,7 +222,7 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> M
 
     def merge_words(rows: pd.DataFrame) -> pd.DataFrame:
         key, count = _merged(*_unpacked(rows, np.uint64))
-        return _summary(int(rows.bucket.iloc[0]), write_arrays(folder, {"hash": key, "count_by_hash": count.astype(np.int64)}), [count.sum()])
+        return _summary(int(rows.bucket.iloc[0]), write_arrays(folder, {"hash": key, "count_by_hash": smallest(count)}), [count.sum()])
 
     words = texts.mapInArrow(count_words, _ROWS).groupBy("bucket").applyInPandas(merge_words, _SUMMARY).collect()
     sizes = np.zeros((1 << bits) + 1, np.int64)
@@ -236,46 +247,51 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> M
         context = np.empty(len(number), np.int64)
         context[1:] = number[:-1]
         context[offs[:-1]] = vocabulary
-        return context << 32 | number
+        return pair_hashes(context, number)
 
     def count_pairs(batches):
-        yield from gathered(batches, pairs, lambda key: (key >> 32) // width)
+        yield from gathered(batches, pairs, lambda key: (key >> np.uint64(64 - bits)).astype(np.int64))
 
     def merge_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(rows.bucket.iloc[0])
-        key, count = _merged(*_unpacked(rows, np.int64))
-        context = (key >> 32) - bucket * width
-        stats = {"total": np.bincount(context, count, width), **{name: np.bincount(context[few], minlength=width) for name, few in (("ones", count == 1), ("twos", count == 2), ("more", count > 2))}}
-        files = write_arrays(folder, {"bigram": key, "bigram_count": count.astype(np.uint32), **{k: v.astype(np.int64 if k == "total" else np.uint32) for k, v in stats.items()}})
-        word, times = np.unique(key & 0xFFFFFFFF, return_counts=True)
-        return _summary(bucket, files + write_arrays(folder, {"followers": word, "follower_count": times.astype(np.int64)}), [len(key), *_times(count)])
+        key, count = _merged(*_unpacked(rows, np.uint64))
+        pair = unmix(key).view(np.int64)
+        word, times = np.unique(pair & 0xFFFFFFFF, return_counts=True)
+        context, of = np.unique(pair >> 32, return_inverse=True)
+        parts = {"total": np.bincount(of, count, len(context)).astype(np.int64)}
+        parts |= {name: np.bincount(of[few], minlength=len(context)) for name, few in (("ones", count == 1), ("twos", count == 2), ("more", count > 2))}
+        arrays = {"bigram": key, "bigram_count": smallest(count), "followers": word.astype(np.uint32), "in_followers": smallest(times), "contexts": context.astype(np.uint32)}
+        files = write_arrays(folder, arrays | {f"in_{k}": smallest(v) for k, v in parts.items()})
+        return _summary(int(rows.bucket.iloc[0]), files, [len(key), *_times(count)])
 
     found = texts.mapInArrow(count_pairs, _ROWS).groupBy("bucket").applyInPandas(merge_pairs, _SUMMARY).collect()
     add(found)
     sums = np.sum([r["sums"] for r in found if r["name"] == "bigram"] or [[0] * 5], 0)
     model.bigrams, model.high = int(sums[0]), Discounts.estimate(*sums[1:])
 
-    # Continuations: how many different words stand before each word.  Each range of word
-    # numbers sums what the bigram buckets found for it.
+    # What each word needs: how many different words stand before it, and what follows it.  Each
+    # range of word numbers sums what the buckets found for it.
     per_range = spark.range(0, 1 << bits, 1, 1 << bits)
+    sides = {"continuation": ("followers", "in_followers"), **{k: ("contexts", f"in_{k}") for k in ("total", "ones", "twos", "more")}}
 
-    def merge_continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.column(0).to_pylist():
-                total = np.zeros(width, np.int64)
-                for b in model.files.get("followers", {}):
-                    word = model.array("followers", b)
-                    low, high = np.searchsorted(word, [r * width, (r + 1) * width])
-                    total[word[low:high] - r * width] += model.array("follower_count", b)[low:high]
+                sums = {k: np.zeros(width, np.int64) for k in sides}
+                for name, (keys, values) in sides.items():
+                    for b in model.files.get(keys, {}):
+                        number = model.array(keys, b)
+                        low, high = np.searchsorted(number, [r * width, (r + 1) * width])
+                        sums[name][number[low:high].astype(np.int64) - r * width] += model.array(values, b)[low:high]
                 count = np.zeros(width, np.int64)
                 for b in range(1 << bits):  # counts move from hash buckets to ranges of numbers
                     low, high = max(first[b], r * width), min(first[b + 1], (r + 1) * width)
                     if low < high:
                         count[low - r * width : high - r * width] = model.array("count_by_hash", b)[low - first[b] : high - first[b]]
-                yield pa.RecordBatch.from_pandas(_summary(r, write_arrays(folder, {"continuation": total.astype(np.uint32), "count": count}), _times(total)), schema, preserve_index=False)
+                written = write_arrays(folder, {"count": smallest(count)} | {k: smallest(v) for k, v in sums.items()})
+                yield pa.RecordBatch.from_pandas(_summary(r, written, _times(sums["continuation"])), schema, preserve_index=False)
 
     schema = pa.schema([("name", pa.string()), ("bucket", pa.int32()), ("uri", pa.string()), ("dtype", pa.string()), ("n", pa.int64()), ("sums", pa.list_(pa.int64()))])
-    ranges = per_range.mapInArrow(merge_continuations, _SUMMARY).collect()
+    ranges = per_range.mapInArrow(merge_ranges, _SUMMARY).collect()
     add(ranges)
     times = np.sum([r["sums"] for r in ranges if r["name"] == "continuation"], 0)
     model.low = Discounts.estimate(*times)
