@@ -144,3 +144,12 @@ def test_common_subsequence_equals_the_table():
             for j, y in enumerate(b):
                 grid[i + 1, j + 1] = grid[i, j] + 1 if x == y else max(grid[i, j + 1], grid[i + 1, j])
         assert decontaminate.longest_common_subsequence(a, b) == grid[-1, -1]
+
+
+def test_mix_is_a_permutation():
+    import numpy as np
+
+    from orbweave.llm.common import mix, unmix
+
+    x = np.concatenate([np.arange(1000), np.random.default_rng(1).integers(0, 2**63, 1000)]).astype(np.uint64)
+    assert (unmix(mix(x)) == x).all() and (mix(unmix(x)) == x).all()
