@@ -400,11 +400,11 @@ def a2_block_mae(f):
     return rounded(matrices.block_mae(matrices.align(f.ham("pred"), f.ham("ref")), basis.owners(f.ao())), "diag_mae", "non_diag_mae")
 
 
-@query(sql("h elements blocks", BLOCK.format("abs(hp - hr)", "", "el", "el").replace(", 9)", ", 8)"), el=ELEMENT_INDEX))
+@query(sql("h elements blocks", BLOCK.format("abs(hp - hr)", "", "el", "el").replace(", 9)", ", 12)"), el=ELEMENT_INDEX))
 def a2_block_mae_def2svp(f):
     own = basis.element_transform_index(f.atoms()).select("mol_id", F.col("place").alias("pos"), "atom")
     out = matrices.block_mae(matrices.align(f.ham("pred"), f.ham("ref")), basis.owners(own))
-    return out.select("mol_id", *(F.round(c, 8).alias(c) for c in ("diag_mae", "non_diag_mae")))
+    return out.select("mol_id", *(F.round(c, 12).alias(c) for c in ("diag_mae", "non_diag_mae")))  # means of few blocks end within 12 decimals
 
 
 @query(sql("delta", "SELECT * FROM (SELECT mol_id, round(avg(abs(hp - (hr + delta * s))), 9) AS mae FROM h JOIN delta USING (mol_id) GROUP BY mol_id) JOIN (" + BLOCK.format("abs(hp - (hr + delta * s))", "JOIN delta ON delta.mol_id = h.mol_id", "ao", "ao") + ") USING (mol_id)"))
