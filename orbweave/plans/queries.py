@@ -19,11 +19,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function of the fixtures under its name, with its SQL."""
+    """Registers a function of the fixtures under its name, with its SQL, and as NAME_whole,
+    without SQL, over every order."""
 
     def add(f):
         name = f.__name__
         QUERIES[name] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir, whole=True))
         if sql:
             ORACLES[name] = sql
         return f

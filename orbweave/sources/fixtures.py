@@ -55,16 +55,20 @@ def ao_value() -> str:
 
 
 class Fixtures:
-    """The derived tables of one scale factor."""
+    """The derived tables of one scale factor: with ``whole``, of every order, else of those
+    that the SQL of the queries reads."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+
+    def some(self, df: DataFrame, key: str, modulus: int) -> DataFrame:
+        return df if self.whole else df.filter(f"{key} % {modulus} = 0")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def atoms(self) -> DataFrame:
-        own = self.table("lineitem").filter("l_orderkey % 50 = 0")
+        own = self.some(self.table("lineitem"), "l_orderkey", 50)
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
         return own.select(
             F.col("l_orderkey").alias("mol_id"), (F.row_number().over(order) - 1).alias("atom"), F.expr("element_at(array(1, 1, 6, 8, 7, 9, 3), CAST(l_partkey % 7 AS INT) + 1)").alias("z"),
@@ -72,7 +76,7 @@ class Fixtures:
         )
 
     def molecules(self) -> DataFrame:
-        return self.table("orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("mol_id"), F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("smile"), F.expr("CAST(o_orderkey % 3 - 1 AS INT)").alias("charge"))
+        return self.some(self.table("orders"), "o_orderkey", 50).select(F.col("o_orderkey").alias("mol_id"), F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("smile"), F.expr("CAST(o_orderkey % 3 - 1 AS INT)").alias("charge"))
 
     def ao(self, convention: str = "back2pyscf") -> DataFrame:
         return ao_layout(self.atoms(), convention)
@@ -114,7 +118,7 @@ class Fixtures:
         return self.pairs("i", "j").select("mol_id", "i", "j", *(F.expr(dipole_integral(k)).alias(f"r{c}") for k, c in enumerate("xyz")))
 
     def grid(self) -> DataFrame:
-        out = self.sizes().filter("mol_id % 500 = 0")
+        out = self.some(self.sizes(), "mol_id", 500)
         for axis in ("ix", "iy", "iz"):
             out = out.withColumn(axis, F.explode(F.expr(f"sequence(0, {GRID - 1})")))
         return out
