@@ -126,6 +126,31 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert found == expected
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_decontamination_finds_items_that_many_documents_hold(spark, copies):
+    """An item in a third of the documents, copies or not, and items of words that all documents
+    hold, between words of other items."""
+    rng = random.Random(6)
+    vocab, common = [f"t{i}" for i in range(4000)], [f"c{i}" for i in range(40)]
+    items = [(k, " ".join(rng.choices(vocab, k=30))) for k in range(20)] + [(20 + k, " ".join(rng.sample(common, n))) for k, n in enumerate((8, 12, 17, 25, 32, 40))]
+    rare = sorted({w for _, t in items[:20] for w in t.split()})
+    one = rng.choices(vocab, k=50) + items[0][1].split() + rng.choices(vocab, k=50)
+    rows, expected = [], set()
+    for i in range(300):
+        words = one if copies else rng.choices(vocab, k=60) + items[0][1].split() + rng.choices(vocab, k=rng.randint(0, 60))
+        if i % 3:
+            words = [w for c in rng.sample(common, 40) for w in (c, *rng.choices(vocab, k=3))]
+            if i % 30 == 1:
+                words += rng.choices(rare, k=rng.randint(40, 60)) + items[20 + i // 30 % 6][1].split() + rng.choices(rare, k=40)
+                expected.add((i, 20 + i // 30 % 6))
+        else:
+            expected.add((i, 0))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert found == expected
+
+
 def test_decontamination_on_odd_and_empty_tables(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, None), (None, "a b c d e f g h i j k")], "item_id bigint, text string")
     assert decontaminate.contaminated(odd_docs, items).count() == 0
