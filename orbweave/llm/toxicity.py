@@ -96,19 +96,21 @@ def _softplus(x):
     return np.logaddexp(0, x)
 
 
-def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, n_features: int, rounds: int = 300, l2: float = 0.02) -> tuple[np.ndarray, float]:
+def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, n_features: int, rounds: int = 300, l2: float = 0.02, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of document labels under noisy-or.
 
     ``doc`` is the document of each sentence that has features, ``sentence`` and ``feature`` the places
-    of their features, ``plain`` each document's number of sentences without any."""
+    of their features, ``plain`` each document's number of sentences without any.  ``weights`` is
+    what a clean and a toxic document count."""
     w, bias = np.zeros(n_features), -6.0
     moment, power = np.zeros(n_features + 1), np.zeros(n_features + 1)
     n = len(toxic)
+    weight = np.asarray(weights)[toxic]
     for step in range(1, rounds + 1):
         z = bias + np.bincount(sentence, w[feature], len(doc))
         clean = np.bincount(doc, -_softplus(z), n) - plain * _softplus(bias)
         clean = np.minimum(clean, -1e-9)
-        pull = np.where(toxic == 1, -1 / np.expm1(-clean), 1.0)  # of the loss, on each sentence's -log(1 - p)
+        pull = np.where(toxic == 1, -1 / np.expm1(-clean), 1.0) * weight  # of the loss, on each sentence's -log(1 - p)
         dz = pull[doc] / (1 + np.exp(-z))
         dw = np.bincount(feature, dz[sentence], n_features) + l2 * w
         db = dz.sum() + (pull * plain).sum() / (1 + np.exp(-bias))
@@ -120,11 +122,13 @@ def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence
     return w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, per_class: int = TRAIN_PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, per_class: int = TRAIN_PER_CLASS, max_features: int = MAX_FEATURES, least_odds: float = LEAST_ODDS) -> Model:
     """Trains on at most ``per_class`` labelled documents of each class, those with the
-    smallest hash of their id.
+    smallest hash of their id.  Each counts for as many labelled documents of its class
+    as the sample leaves out, so that the shares of the classes are those of all labels.
 
-    Rows with a null id or label do not count; of several labels of one id the largest does.
+    At most ``max_features`` features get a weight, those that tell the classes apart best, of
+    those at least ``least_odds`` times as frequent in one class as in the other.  Rows with a null id or label do not count; of several labels of one id the largest does.
     Without a document of either class, every document is as likely as not to be scored 0.
     The feature counts come from Spark; the weights are fitted in one task, over the few
     features of this bounded sample."""
@@ -153,12 +157,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
+    every = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # Labels without a document are in neither: a class that fits counts once a document.
+    weights = tuple(max(1.0, every[c] / per_class) for c in (0, 1))
     seen = sample.mapInArrow(count, "id bigint, clean bigint, toxic bigint").groupBy("id").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = lambda c: (F.col(c) + 0.5) / (totals[int(c == "toxic")] + 1.0)
     odds = F.log(rate("toxic")) - F.log(rate("clean"))
     tells = odds * odds / (1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    telling = seen.filter("clean + toxic >= 4").filter(F.abs(odds) >= np.log(LEAST_ODDS))
-    ids = np.array(sorted(r["id"] for r in telling.select("id", tells.alias("tells")).orderBy(F.desc("tells"), "id").limit(MAX_FEATURES).collect()), np.int64)
+    telling = seen.filter("clean + toxic >= 4").filter(F.abs(odds) >= np.log(least_odds))
+    ids = np.array(sorted(r["id"] for r in telling.select("id", tells.alias("tells")).orderBy(F.desc("tells"), "id").limit(max_features).collect()), np.int64)
     place = np.full(1 << HASH_BITS, -1, np.int32)
     place[ids] = np.arange(len(ids))
 
@@ -184,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 doc += [len(toxic)] * len(own)
                 toxic.append(label), plain.append(many - len(own))
         if toxic:
-            w, bias = fit_noisy_or(np.array(toxic), np.array(plain), np.array(doc, np.int64), np.concatenate(sentence), np.concatenate(feature), len(ids))
+            w, bias = fit_noisy_or(np.array(toxic), np.array(plain), np.array(doc, np.int64), np.concatenate(sentence), np.concatenate(feature), len(ids), weights=weights)
             del sentence, feature
             release()
             yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["w", "bias"])
@@ -245,13 +252,13 @@ def offending_sentences(df: DataFrame, model: Model, id_col: str = "doc_id", tex
     return df.select(id_col, text_col).mapInArrow(locate, f"`{id_col}` {kind}, sentence bigint, score double, words string")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, per_class: int = TRAIN_PER_CLASS, max_features: int = MAX_FEATURES, least_odds: float = LEAST_ODDS) -> DataFrame:
     """Scores all documents with a model trained on labels outside the held-out fifth
     (crc32 of the id as text, modulo 5, is 0).
 
     Returns ``id_col, held_out, score, predicted`` (1 if the score is 0.5 or more), a row for
     each input row; a row with a null id is not held out.  An empty table gives no rows."""
     fold = lambda: F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
-    model = train(docs, labels.filter(~fold()), id_col, text_col, per_class=per_class)
+    model = train(docs, labels.filter(~fold()), id_col, text_col, per_class=per_class, max_features=max_features, least_odds=least_odds)
     scored = score_documents(docs, model, id_col, text_col)
     return scored.select(id_col, fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

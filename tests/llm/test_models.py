@@ -97,6 +97,25 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
     assert toxicity.clean_documents(docs, model).count() == sum(r.score < 0.5 for r in toxicity.score_documents(docs, model).collect())
 
 
+def test_toxicity_decides_alike_where_the_sample_is_bounded(spark):
+    """A word of which three documents in ten are toxic is no reason to call one toxic, whether
+    the sample has the classes' shares or as many documents of each."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        words, kind = rng.choices([f"w{k}" for k in range(300)], k=rng.randint(5, 12)), i % 10
+        toxic = int(kind == 0 or kind == 1 and rng.random() < 0.3)
+        if kind < 2:
+            words.insert(2, ("badword", "doubtful")[kind])
+        rows.append((i, " ".join(words) + ".", toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    probe = spark.createDataFrame([(0, "doubtful."), (1, "badword."), (2, "w1 w2.")], "doc_id bigint, text string")
+    for per_class in (6000, 300):
+        score = {r.doc_id: r.score for r in toxicity.score_documents(probe, toxicity.train(docs, labels, per_class=per_class)).collect()}
+        assert score[0] == pytest.approx(0.3, abs=0.15) and score[1] > 0.5 and score[2] < 0.1
+
+
 def test_toxicity_on_odd_and_empty_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
     rows = toxicity.toxicity(odd_docs, labels).collect()
