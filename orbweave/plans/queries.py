@@ -615,10 +615,21 @@ def e3_assemble_gamma(f):
     return orbitals.assemble_gamma(nodes.filter("mol_id % 200 = 0"), edges.filter("mol_id % 200 = 0"), first).select("mol_id", "i", "j", "v")
 
 
+def _frontier_job(f):
+    """The job on whole matrices; the CSV that it writes is read again."""
+    path = files.shared_path(f.spark, "frontier_job")
+    ham = matrices.join_structures(f.molecules(), basis.permute_basis(f.ham("pred"), f.ao()))
+    eps = orbitals.solve_orbitals(ham, f.overlap())
+    files.write_frontier_csv(orbitals.frontier_ev(orbitals.frontier(eps, orbitals.electron_count(f.atoms()))), path)
+    return f.spark.read.schema("HOMO double, LUMO double, Gap double").csv(path, header=True).select(*(F.round(c, 6).alias(c.lower()) for c in ("HOMO", "LUMO", "Gap")))
+
+
 @query(sql("h", "SELECT mol_id, round(((-b - sqrt(b * b - 4 * a * c)) / (2 * a)), 6) AS homo, round(((-b + sqrt(b * b - 4 * a * c)) / (2 * a)), 6) AS lumo FROM (SELECT mol_id, s00 * s11 - s01 * s01 AS a, -(f00 * s11 + f11 * s00 - 2 * f01 * s01) AS b, f00 * f11 - f01 * f01 AS c FROM (SELECT mol_id, max(CASE WHEN i = 0 AND j = 0 THEN hp END) AS f00, max(CASE WHEN i = 0 AND j = 1 THEN hp END) AS f01, max(CASE WHEN i = 1 AND j = 1 THEN hp END) AS f11, max(CASE WHEN i = 0 AND j = 0 THEN s END) AS s00, max(CASE WHEN i = 0 AND j = 1 THEN s END) AS s01, max(CASE WHEN i = 1 AND j = 1 THEN s END) AS s11 FROM h GROUP BY mol_id))"))
 def e4_frontier_job(f):
     """Structures, matrices, permutation, solver and frontier, on the first two orbitals of each
     molecule, whose energies are the roots of a quadratic."""
+    if f.whole:
+        return _frontier_job(f)
     cut = lambda rows: rows.filter("i < 2").withColumn("vals", F.slice("vals", 1, 2))
     ham = matrices.join_structures(f.molecules(), basis.permute_basis(f.ham("pred"), f.ao()))  # the first two are s functions and stay
     eps = orbitals.solve_orbitals(cut(ham), cut(f.overlap()))
