@@ -112,7 +112,7 @@ def s2_read_npy_matrices(f):
             stream.write(out.getvalue())
         return pd.DataFrame({"mol_id": rows.mol_id.iloc[:1]})
 
-    f.ham("pred").filter("mol_id % 200 = 0").groupBy("mol_id").applyInPandas(write, "mol_id bigint").write.mode("overwrite").format("noop").save()
+    f.some(f.ham("pred"), "mol_id", 200).groupBy("mol_id").applyInPandas(write, "mol_id bigint").write.mode("overwrite").format("noop").save()
     return files.read_npy_matrices(f.spark, path).select("mol_id", "source", "i", r9(matrices.total(F.col("vals"))).alias("row_sum"), F.size("vals").cast("long").alias("n"))
 
 
@@ -548,6 +548,9 @@ def u1_union_metrics(f):
 
 @query(sql("atoms", "SELECT mol_id, ix, iy, iz, round(lx - 1.5 + ix * (hx - lx + 3) / 4, 9) AS x, round(ly - 1.5 + iy * (hy - ly + 3) / 4, 9) AS y, round(lz - 1.5 + iz * (hz - lz + 3) / 4, 9) AS z FROM (SELECT mol_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z_c) AS lz, max(z_c) AS hz FROM atoms GROUP BY mol_id), (SELECT CAST(range AS INT) AS ix FROM range(5)), (SELECT CAST(range AS INT) AS iy FROM range(5)), (SELECT CAST(range AS INT) AS iz FROM range(5))"))
 def v1_voxel_lattice(f):
+    if f.whole:  # the lattices of the reference, of orbitals and densities
+        orbital, density = (fields.voxel_lattice(f.atoms(), n, 1.5).select(F.lit(n).alias("points"), "*") for n in (75, 40))
+        return rounded(orbital.unionByName(density), "x", "y", "z")
     return rounded(fields.voxel_lattice(f.atoms(), 5, 1.5), "x", "y", "z")
 
 
@@ -606,13 +609,13 @@ def e2_score_structures(f):
         return pd.DataFrame(rows, columns=["idx", "atom", "score"])
 
     records = structures.dense_index(structures.model_records(f.atoms()).withColumnRenamed("idx", "mol"), "mol")
-    return orbitals.score_structures(records, predict, "idx bigint, atom int, score double", limit=25)
+    return orbitals.score_structures(records, predict, "idx bigint, atom int, score double", limit=None if f.whole else 25)
 
 
 @query(sql("h", "SELECT mol_id, i, j, hp AS v FROM h WHERE mol_id % 200 = 0"))
 def e3_assemble_gamma(f):
     nodes, edges, first = f.blocks()
-    return orbitals.assemble_gamma(nodes.filter("mol_id % 200 = 0"), edges.filter("mol_id % 200 = 0"), first).select("mol_id", "i", "j", "v")
+    return orbitals.assemble_gamma(f.some(nodes, "mol_id", 200), f.some(edges, "mol_id", 200), first).select("mol_id", "i", "j", "v")
 
 
 def _frontier_job(f):
