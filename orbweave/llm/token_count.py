@@ -23,6 +23,9 @@ LONG = 2048
 #: Words whose counts a worker remembers.
 CACHE_WORDS = 1_000_000
 
+#: Symbols, up to the end of a sequence, that are merged in rounds at once.
+BLOCK = 1 << 20
+
 _UNKNOWN = 1 << 19
 _BLANK = "▁"
 
@@ -77,13 +80,20 @@ class PieceCounter:
             own = np.flatnonzero(seq == s)
             total[owner[own[0]]] -= len(own) - len(self.table.merge_long(symbols[own].tolist()))
         keep = (length[seq] > 1) & (length[seq] <= LONG)
-        merges = self._merge_rounds(symbols[keep].astype(np.int64), seq[keep], len(length))
+        symbols, seq = symbols[keep].astype(np.int64), seq[keep]
+        merges = np.zeros(len(length), np.int64)
+        low = 0
+        while low < len(seq):  # whole sequences, so that places fit into 22 bits
+            high = int(np.searchsorted(seq, seq[min(low + BLOCK, len(seq)) - 1], "right"))
+            first, last = seq[low], seq[high - 1] + 1
+            merges[first:last] = self._merge_rounds(symbols[low:high], seq[low:high] - first, last - first)
+            low = high
         first = np.flatnonzero(np.concatenate([[True], cut]))
         np.subtract.at(total, owner[first], merges)
         return total
 
     def _merge_rounds(self, symbols: np.ndarray, seq: np.ndarray, n_seq: int) -> np.ndarray:
-        """Number of merges that each sequence undergoes."""
+        """Number of merges that each sequence undergoes; for fewer than 1 << 22 symbols."""
         done = np.zeros(n_seq, np.int64)
         if not len(symbols):
             return done

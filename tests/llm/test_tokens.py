@@ -37,6 +37,17 @@ def test_piece_counts_equal_the_library():
     assert found.tolist() == [len(library.encode(t or "")) for t in texts]
 
 
+def test_piece_counts_of_texts_of_over_four_million_symbols():
+    """Against the same sentences apart: nothing merges across their ends."""
+    counter = token_count.piece_counter(PIECES)
+    rng = random.Random(7)
+    lines = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) + "\r" for _ in range(1000)]
+    text = "".join(lines) * 900
+    assert len(text) > 5_000_000
+    part = counter.count_texts(pa.array(["".join(lines) * k for k in (1, 2)])).tolist()
+    assert counter.count_texts(pa.array([text])).tolist() == [part[0] + 899 * (part[1] - part[0])]
+
+
 def test_word_ids_equal_the_library_and_decode():
     from tokenizers import Tokenizer
 
