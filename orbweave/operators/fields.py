@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweave.operators.orbitals import stacked
+
 GRID = ["mol_id", "ix", "iy", "iz"]
 
 
@@ -19,17 +23,41 @@ def voxel_lattice(atoms: DataFrame, n: int, margin: float) -> DataFrame:
     return box.select(*GRID, *(at(k).alias(k) for k in names))
 
 
-def orbital_field(orbitals: DataFrame, ao_values: DataFrame) -> DataFrame:
-    """``mol_id, k, ix, iy, iz, value``: sum of c_mu phi_mu(r); phi on the grid is an input table."""
-    coef = orbitals.select("mol_id", "k", F.posexplode("coef").alias("mu", "c"))
-    return ao_values.join(coef, ["mol_id", "mu"]).groupBy("mol_id", "k", "ix", "iy", "iz").agg(F.sum(F.col("c") * F.col("phi")).alias("value"))
+def _on_grid(orbitals: DataFrame, ao_values: DataFrame, slabs: int, more: str, values) -> DataFrame:
+    """A molecule's grid is dealt into ``slabs`` parts, each of which meets the molecule's
+    orbitals once; psi of a part is one matrix product."""
+
+    def product(grid: pa.Table, own: pa.Table) -> pa.Table:
+        if not grid.num_rows or not own.num_rows:
+            return pa.Table.from_batches([], empty)
+        return values(grid, own.sort_by("k"), stacked(grid["phi"]) @ stacked(own.sort_by("k")["coef"]).T)
+
+    kinds = {c: ao_values.schema[c].dataType.simpleString() for c in GRID}
+    empty = pa.schema([*((c, pa.int64() if k == "bigint" else pa.int32()) for c, k in kinds.items()), *([("k", pa.int32())] if more else []), ("value", pa.float64())])
+    own = orbitals.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
+    both = ao_values.select(*GRID, "phi", F.pmod("ix", F.lit(slabs)).alias("slab")).groupBy("mol_id", "slab").cogroup(own.groupBy("mol_id", "slab"))
+    return both.applyInArrow(product, ", ".join(f"{c} {k}" for c, k in kinds.items()) + f"{more}, value double")
+
+
+def orbital_field(orbitals: DataFrame, ao_values: DataFrame, slabs: int = 8) -> DataFrame:
+    """``mol_id, ix, iy, iz, k, value``: sum of c_mu phi_mu(r).  phi on the grid is an input table,
+    ``mol_id, ix, iy, iz, phi`` with an array over mu."""
 
+    def values(grid: pa.Table, own: pa.Table, psi: np.ndarray) -> pa.Table:
+        n = len(psi)
+        columns = [pa.concat_arrays([grid[c].combine_chunks()] * own.num_rows) for c in GRID]
+        return pa.table([*columns, pa.array(np.repeat(own["k"].to_numpy(), n), pa.int32()), pa.array(psi.T.ravel())], names=[*GRID, "k", "value"])
 
-def density_field(orbitals: DataFrame, ao_values: DataFrame) -> DataFrame:
+    return _on_grid(orbitals.select("mol_id", F.col("k").cast("int").alias("k"), "coef"), ao_values, slabs, ", k int", values)
+
+
+def density_field(orbitals: DataFrame, ao_values: DataFrame, slabs: int = 8) -> DataFrame:
     """``mol_id, ix, iy, iz, value``: sum of occ psi(r)^2 over the occupied orbitals."""
-    occupied = orbitals.filter("occ > 0")
-    psi = orbital_field(occupied, ao_values).join(occupied.select("mol_id", "k", "occ"), ["mol_id", "k"])
-    return psi.groupBy(*GRID).agg(F.sum(F.col("occ") * F.col("value") * F.col("value")).alias("value"))
+
+    def values(grid: pa.Table, own: pa.Table, psi: np.ndarray) -> pa.Table:
+        return grid.select(GRID).append_column("value", pa.array(psi**2 @ own["occ"].to_numpy()))
+
+    return _on_grid(orbitals.filter("occ > 0").select("mol_id", "k", "occ", "coef"), ao_values, slabs, "", values)
 
 
 def difference_field(a: DataFrame, b: DataFrame, align_sign: bool = False) -> DataFrame:

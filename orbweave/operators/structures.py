@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orbweave.sources.files import shared_path
+
 
 def fold_structures(atoms: DataFrame) -> DataFrame:
     """One row for each molecule: ``mol_id, numbers, positions``, as structure databases keep them."""
@@ -43,19 +45,19 @@ def downcast(df: DataFrame) -> DataFrame:
 
 
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
-    """Adds each row's place in the order of a unique key, from 0.
+    """Adds each row's place in the order of a key of any type, from 0; null comes first.
+    Rows of one key have places of their own, in no fixed order.
 
-    Rows are dealt out by ranges of the key; a range's rows are numbered by themselves and
-    shifted by the sizes of the ranges before, so that no task sees more than its range.
-    The ranges come from quantiles of the key, one number for each partition."""
+    Rows are dealt out by ranges of the key and written to the shared folder, a file for each
+    range; a range's rows are numbered by themselves and shifted by the sizes of the ranges
+    before, so that no task sees more than its range and all of them see the same ranges."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    part = F.lit(0) if not bounds else sum((F.col(key) >= b).cast("int") for b in bounds)
-    marked = df.withColumn("range of key", part)
+    path, order = shared_path(spark, "ranges"), F.col(f"`{key}`").asc_nulls_first()
+    df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).write.parquet(path)
+    marked = spark.read.schema(df.schema).parquet(path).withColumn("range of key", F.col("_metadata.file_name"))  # part-00000-..., in the order of the ranges
     sizes = marked.groupBy("range of key").agg(F.count("*").alias("n"))
     before = sizes.select("range of key", F.coalesce(F.sum("n").over(Window.orderBy("range of key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows before"))
-    place = F.row_number().over(Window.partitionBy("range of key").orderBy(key)) - 1
+    place = F.row_number().over(Window.partitionBy("range of key").orderBy(order)) - 1
     return marked.join(F.broadcast(before), "range of key").withColumn(name, (place + F.col("rows before")).cast("long")).drop("range of key", "rows before")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +21,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a function of the fixtures under its name, with its SQL, and as NAME_whole,
-    without SQL, over every order."""
+    """Registers a function of the fixtures under its name, with its SQL."""
 
     def add(f):
         name = f.__name__
         QUERIES[name] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
-        QUERIES[f"{name}_whole"] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir, whole=True))
         if sql:
             ORACLES[name] = sql
         return f
@@ -38,8 +38,8 @@ def _values(rows) -> str:
 
 
 CTE = {
-    "atoms": "SELECT l_orderkey AS mol_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS INT) AS atom, CAST([1, 1, 6, 8, 7, 9, 3][CAST(l_partkey % 7 AS INT) + 1] AS INT) AS z, CAST(l_suppkey % 16 AS DOUBLE) / 4 AS x, CAST(l_partkey % 16 AS DOUBLE) / 4 AS y, CAST(l_linenumber * 3 % 16 AS DOUBLE) / 4 AS z_c FROM lineitem WHERE l_orderkey % 50 = 0",
-    "molecules": "SELECT o_orderkey AS mol_id, 'C' || o_orderkey AS smile, CAST(o_orderkey % 3 - 1 AS INT) AS charge FROM orders WHERE o_orderkey % 50 = 0",
+    "atoms": "SELECT l_orderkey AS mol_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS INT) AS atom, CAST([1, 1, 6, 8, 7, 9, 3][CAST(l_partkey % 7 AS INT) + 1] AS INT) AS z, CAST(l_suppkey % 16 AS DOUBLE) / 4 AS x, CAST(l_partkey % 16 AS DOUBLE) / 4 AS y, CAST(l_linenumber * 3 % 16 AS DOUBLE) / 4 AS z_c FROM lineitem",
+    "molecules": "SELECT o_orderkey AS mol_id, 'C' || o_orderkey AS smile, CAST(o_orderkey % 3 - 1 AS INT) AS charge FROM orders",
     "conv": f"SELECT * FROM (VALUES {_values(r for name in CONVENTIONS for r in convention_rows(name))}) t(name, z, shell, kind, m, src, sign)",
     "elements": f"SELECT * FROM (VALUES {_values(sorted(SYMBOLS.items()))}) t(z, symbol)",
     "blocks": f"SELECT * FROM (VALUES {_values((s, k, i) for s, own in ELEMENT_BLOCKS.items() for k, i in enumerate(own))}) t(symbol, pos, idx)",
@@ -51,16 +51,19 @@ CTE = {
     "orb": f"SELECT mol_id, n, k, n_occ, homo_idx, {fx.energy('pred')} AS ep, {fx.energy('ref')} AS er FROM (SELECT mol_id, n, CAST(unnest(range(n)) AS INT) AS k FROM sizes) JOIN elec USING (mol_id)",
     "coef": f"SELECT *, {fx.coefficient('pred')} AS cp, {fx.coefficient('ref')} AS cr FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS i FROM orb)",
     "delta": "SELECT mol_id, avg(hp - hr) AS delta FROM h WHERE i = j GROUP BY mol_id",
-    "dens": "SELECT a.mol_id, a.i, b.i AS j, sum(2 * a.cp * b.cp) AS dp, sum(2 * a.cr * b.cr) AS dr FROM coef a JOIN coef b USING (mol_id, k) WHERE k < a.n_occ GROUP BY ALL",
-    "grid": f"SELECT mol_id, n, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz FROM sizes, range({fx.GRID}) a(ix), range({fx.GRID}) b(iy), range({fx.GRID}) c(iz) WHERE mol_id % 500 = 0",
+    "occ": "SELECT mol_id, i, list(cp ORDER BY k) AS lp, list(cr ORDER BY k) AS lr FROM coef WHERE k < n_occ GROUP BY mol_id, i",
+    "dens": "SELECT a.mol_id, a.i, b.i AS j, 2 * list_dot_product(a.lp, b.lp) AS dp, 2 * list_dot_product(a.lr, b.lr) AS dr FROM occ a JOIN occ b USING (mol_id)",
+    "grid": f"SELECT mol_id, n, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz FROM sizes, range({fx.GRID}) a(ix), range({fx.GRID}) b(iy), range({fx.GRID}) c(iz)",
     "vox": f"SELECT mol_id, ix, iy, iz, {fx.voxel('pred')} AS vp, {fx.voxel('ref')} AS vr FROM grid",
-    "aov": f"SELECT mol_id, ix, iy, iz, mu, {fx.ao_value()} AS phi FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS mu FROM grid)",
+    "aov": f"SELECT mol_id, ix, iy, iz, [{fx.ao_value()} FOR mu IN range(n)] AS phi FROM grid",
+    "cvec": "SELECT mol_id, k, n_occ, homo_idx, list(cp ORDER BY i) AS c FROM coef GROUP BY ALL",
 }
-NEEDS = {"ao": "atoms conv", "sizes": "ao", "e": "sizes", "h": "e", "elec": "atoms", "orb": "sizes elec", "coef": "orb", "delta": "h", "dens": "coef", "grid": "sizes", "vox": "grid", "aov": "grid"}
+NEEDS = {"ao": "atoms conv", "sizes": "ao", "e": "sizes", "h": "e", "elec": "atoms", "orb": "sizes elec", "coef": "orb", "delta": "h", "occ": "coef", "dens": "occ", "cvec": "coef", "grid": "sizes", "vox": "grid", "aov": "grid"}
 
 
 def sql(needs: str, body: str, **more: str) -> str:
-    """SQL with the common tables that it needs; ``more`` tables follow them."""
+    """SQL with the common tables that it needs; ``more`` tables follow them.  Decimals are
+    rounded a little above, see at()."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -71,16 +74,19 @@ def sql(needs: str, body: str, **more: str) -> str:
 
     for name in needs.split():
         visit(name)
-    tables = [f"{n} AS ({CTE[n]})" for n in order] + [f"{n} AS ({t})" for n, t in more.items()]
-    return f"WITH {', '.join(tables)} {body}"
+    off_ties = lambda text: re.sub(r", (6|9|10|12)\)", lambda m: f" + 3.3e-{int(m[1]) + 2}, {m[1]})", text)
+    tables = [f"{n} AS ({CTE[n]})" for n in order] + [f"{n} AS ({off_ties(t)})" for n, t in more.items()]
+    return f"WITH {', '.join(tables)} {off_ties(body)}"
 
 
-def r9(column) -> F.Column:
-    return F.round(column, 9)
+def at(column, digits: int) -> F.Column:
+    """Rounded a little above, as sql() does: decimal ties of dyadic numbers then go one way on
+    both sides, whatever their last bit."""
+    return F.round((F.col(column) if isinstance(column, str) else column) + float(f"3.3e-{digits + 2}"), digits)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*(r9(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+    return df.select(*(at(c, 9).alias(c) if c in columns else F.col(c) for c in df.columns))
 
 
 # Sources
@@ -93,7 +99,7 @@ def s1_read_structures(f):
     return structures.unfold_structures(files.read_structures(f.spark, path))
 
 
-@query(sql("h", "SELECT mol_id, 'pred' AS source, i, round(sum(hp), 9) AS row_sum, count(*) AS n FROM h WHERE mol_id % 200 = 0 GROUP BY mol_id, i"))
+@query(sql("h", "SELECT mol_id, 'pred' AS source, i, round(sum(hp), 9) AS row_sum, count(*) AS n FROM h GROUP BY mol_id, i"))
 def s2_read_npy_matrices(f):
     """Writes a NumPy file for each molecule from its task, then reads the tree."""
     path = files.shared_path(f.spark, "npy")
@@ -101,7 +107,6 @@ def s2_read_npy_matrices(f):
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         import io
 
-        import numpy as np
         from pyarrow import fs
 
         out = io.BytesIO()
@@ -112,8 +117,8 @@ def s2_read_npy_matrices(f):
             stream.write(out.getvalue())
         return pd.DataFrame({"mol_id": rows.mol_id.iloc[:1]})
 
-    f.some(f.ham("pred"), "mol_id", 200).groupBy("mol_id").applyInPandas(write, "mol_id bigint").write.mode("overwrite").format("noop").save()
-    return files.read_npy_matrices(f.spark, path).select("mol_id", "source", "i", r9(matrices.total(F.col("vals"))).alias("row_sum"), F.size("vals").cast("long").alias("n"))
+    f.ham("pred").groupBy("mol_id").applyInPandas(write, "mol_id bigint").write.mode("overwrite").format("noop").save()
+    return files.read_npy_matrices(f.spark, path).select("mol_id", "source", "i", at(matrices.total(F.col("vals")), 9).alias("row_sum"), F.size("vals").cast("long").alias("n"))
 
 
 @query(sql("molecules", "SELECT smile, count(*) AS n FROM molecules GROUP BY smile"))
@@ -123,16 +128,32 @@ def s3_read_smiles(f):
     return files.read_smiles(f.spark, path).groupBy("smile").agg(F.count("*").alias("n"))
 
 
-@query(sql("vox", "SELECT mol_id, ix, iy, iz, vp AS value FROM vox"))
+def _by_plane(df, *keys: str, value: str = "value"):
+    """Voxels summed with weights of their places, for each plane ix of a molecule's grid."""
+    weighted = F.sum((F.col("iy") * fx.GRID + F.col("iz") + 1) * F.col(value))
+    return df.groupBy("mol_id", "ix", *keys).agg(F.count("*").alias("voxels"), weighted.alias("weighted"))
+
+
+def _by_plane_sql(rows: str, keys: str = "") -> str:
+    return f"SELECT mol_id, ix, {keys} count(*) AS voxels, sum((iy * {fx.GRID} + iz + 1) * value) AS weighted FROM ({rows}) GROUP BY ALL"
+
+
+@query(sql("vox", _by_plane_sql("SELECT mol_id, ix, iy, iz, vp AS value FROM vox")))
 def s4_read_cubes(f):
+    """Writes a tree of cube files, one for each molecule, and reads it."""
     path = files.shared_path(f.spark, "cubes")
-    files.cube_texts(f.voxels("pred"), fx.GRID).write.partitionBy("mol_id", "field").text(path)
-    return files.read_cubes(f.spark, path).drop("field")
+    texts = files.cube_texts(f.voxels("pred"), fx.GRID)
+    files.write_texts(texts.select(F.concat(F.lit("cube/idx_"), F.col("mol_id").cast("string")).alias("folder"), "value"), path, "predicted_HOMO.cube")
+    return _by_plane(files.read_cubes(f.spark, path))
 
 
 @query("SELECT c_custkey, -abs(c_acctbal) AS low_value, CAST(c_custkey % 8 AS DOUBLE) AS low_x, CAST(c_custkey % 5 AS DOUBLE) AS low_y, CAST(c_nationkey AS DOUBLE) AS low_z, CASE WHEN c_custkey % 2 = 0 THEN abs(c_acctbal) END AS high_value, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 3 AS DOUBLE) END AS high_x, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 7 AS DOUBLE) END AS high_y, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS DOUBLE) END AS high_z, 'a.u.' AS unit FROM customer")
 def s5_read_esp_logs(f):
-    return files.parse_esp_logs(f.esp_logs(), "c_custkey", "a.u.")
+    """Writes a tree of logs, one for each customer, and reads it."""
+    path = files.shared_path(f.spark, "logs")
+    files.write_texts(f.esp_logs().select(F.concat(F.lit("esp/"), F.col("c_custkey").cast("string")).alias("folder"), "value"), path, "run.log")
+    found = files.read_esp_logs(f.spark, path, "a.u.")
+    return found.select(F.split("path", "/")[1].cast("bigint").alias("c_custkey"), *found.columns[1:])
 
 
 # Sinks, read back
@@ -142,15 +163,16 @@ def s5_read_esp_logs(f):
 def k1_write_matrices(f):
     path = files.shared_path(f.spark, "matrices")
     files.write_matrices(f.matrix_rows(), path)
-    return files.read_matrices(f.spark, path).groupBy("mol_id", "source", "kind").agg(F.count("*").alias("n_rows"), r9(F.sum(matrices.total(F.col("vals")))).alias("total"))
+    return files.read_matrices(f.spark, path).groupBy("mol_id", "source", "kind").agg(F.count("*").alias("n_rows"), at(F.sum(matrices.total(F.col("vals"))), 9).alias("total"))
 
 
-@query(sql("atoms", "SELECT mol_id, count(*) AS n_atoms FROM (SELECT * FROM atoms UNION ALL SELECT * FROM atoms WHERE mol_id % 100 = 0) GROUP BY mol_id"))
+@query(sql("atoms", "SELECT mol_id, 2 * count(*) AS n_atoms FROM atoms GROUP BY mol_id"))
 def k2_write_structures(f):
+    """Appends all structures to all structures."""
     path = files.shared_path(f.spark, "appended")
     own = structures.fold_structures(f.atoms())
     files.write_structures(own, path)
-    files.write_structures(own.filter("mol_id % 100 = 0"), path)
+    files.write_structures(own, path)
     return structures.unfold_structures(files.read_structures(f.spark, path)).groupBy("mol_id").agg(F.count("*").alias("n_atoms"))
 
 
@@ -162,7 +184,7 @@ def k3_write_frontier_csv(f):
     path = files.shared_path(f.spark, "frontier")
     files.write_frontier_csv(orbitals.frontier_ev(orbitals.frontier(f.orbitals("pred"), orbitals.electron_count(f.atoms()))), path)
     back = f.spark.read.schema("HOMO double, LUMO double, Gap double").csv(path, header=True)
-    return back.select(*(F.round(c, 6).alias(n) for c, n in (("HOMO", "homo"), ("LUMO", "lumo"), ("Gap", "gap")))).groupBy("homo", "lumo", "gap").agg(F.count("*").alias("n"))
+    return back.select(*(at(c, 6).alias(n) for c, n in (("HOMO", "homo"), ("LUMO", "lumo"), ("Gap", "gap")))).groupBy("homo", "lumo", "gap").agg(F.count("*").alias("n"))
 
 
 MAE = "SELECT mol_id, round(avg(abs(hp - hr)), 9) AS mae FROM h GROUP BY mol_id"
@@ -186,7 +208,8 @@ def k5_write_rejects(f):
 def k6_write_xyz(f):
     path = files.shared_path(f.spark, "xyz")
     files.write_xyz(f.atoms(), path)
-    return f.spark.read.schema("value string, mol_id bigint").text(path, wholetext=True).select("mol_id", F.regexp_replace("value", r"\n$", "").alias("value"))
+    back = f.spark.read.format("text").options(wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.xyz").load(path)
+    return back.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).cast("bigint").alias("mol_id"), "value")
 
 
 IDX = "SELECT mol_id, row_number() OVER (ORDER BY mol_id) - 1 AS idx FROM (SELECT DISTINCT mol_id FROM atoms)"
@@ -194,18 +217,21 @@ IDX = "SELECT mol_id, row_number() OVER (ORDER BY mol_id) - 1 AS idx FROM (SELEC
 
 @query(sql("h", "SELECT mol_id, idx, mae FROM (" + MAE + ") JOIN idx USING (mol_id) WHERE idx < 10", idx=IDX))
 def k7_write_detail_sample(f):
+    """The first molecules are picked before their details are computed."""
     path = files.shared_path(f.spark, "details")
-    index = structures.dense_index(f.atoms().select("mol_id").distinct(), "mol_id")
-    files.write_detail_sample(rounded(matrices.matrix_mae(matrices.align(f.ham("pred"), f.ham("ref"))), "mae").join(index, "mol_id"), path)
+    index = structures.first_n(structures.dense_index(f.atoms().select("mol_id").distinct(), "mol_id"), 10)
+    own = [f.ham(s).join(index.select("mol_id"), "mol_id", "left_semi") for s in ("pred", "ref")]
+    files.write_detail_sample(rounded(matrices.matrix_mae(matrices.align(*own)), "mae").join(index, "mol_id"), path)
     return f.spark.read.parquet(path).select("mol_id", "idx", "mae")
 
 
-@query(sql("atoms", "SELECT mol_id, count(*) AS n_atoms FROM atoms WHERE mol_id % 100 = 0 GROUP BY mol_id"))
+@query(sql("atoms", "SELECT mol_id, count(*) AS n_atoms FROM atoms GROUP BY mol_id"))
 def k8_output_mode(f):
+    """What was written before, all structures twice, is replaced."""
     path = files.shared_path(f.spark, "overwritten")
     own = structures.fold_structures(f.atoms())
-    files.write_structures(own, path)
-    files.write_structures(own.filter("mol_id % 100 = 0"), path, overwrite=True)
+    files.write_structures(own.unionAll(own), path)
+    files.write_structures(own, path, overwrite=True)
     return structures.unfold_structures(files.read_structures(f.spark, path)).groupBy("mol_id").agg(F.count("*").alias("n_atoms"))
 
 
@@ -229,18 +255,15 @@ def p3_downcast(f):
     return structures.downcast(f.atoms().select("mol_id", "atom", "z", (F.col("x") / 3).alias("x"), (F.col("y") / 7).alias("y")))
 
 
-REPORT = "SELECT 'pred_vs_ref' AS comparison, avg(m) AS hamiltonian_mae, avg(o) AS overlap_mae FROM (SELECT mol_id, avg(abs(hp - hr)) AS m, avg(abs(s - s)) AS o FROM h GROUP BY mol_id) UNION ALL SELECT 'label_vs_ref', avg(m), avg(o) FROM (SELECT mol_id, avg(abs(hl - hr)) AS m, avg(abs(s - s)) AS o FROM h GROUP BY mol_id)"
+REPORT = "SELECT 'pred_vs_ref' AS comparison, avg(m) AS hamiltonian_mae, avg(o) AS overlap_mae FROM (SELECT mol_id, avg(abs(hp - hr)) AS m, avg(abs(s - CASE WHEN i = j THEN 1 ELSE 0 END)) AS o FROM h GROUP BY mol_id) UNION ALL SELECT 'label_vs_ref', avg(m), avg(o) FROM (SELECT mol_id, avg(abs(hl - hr)) AS m, avg(abs(s - CASE WHEN i = j THEN 1 ELSE 0 END)) AS o FROM h GROUP BY mol_id)"
 
 
 def _metrics(f):
+    """Of the prediction and the label against the reference: the Hamiltonian's error, and that of an
+    orthonormal basis's overlap against the reference's."""
     parts = [report.long_form(matrices.matrix_mae(matrices.align(f.ham(s), f.ham("ref"))), f"{s}_vs_ref", {"mae": "hamiltonian_mae"}) for s in ("pred", "label")]
-    return report.union_metrics(parts + [report.long_form(matrices.matrix_mae(matrices.align(f.overlap(), f.overlap())), f"{s}_vs_ref", {"mae": "overlap_mae"}) for s in ("pred", "label")])
-
-
-@query(sql("h", "SELECT comparison, round(hamiltonian_mae * 1e6, 6) AS hamiltonian_mae, overlap_mae FROM rep", rep=REPORT))
-def p4_report_row(f):
-    out = report.report_row(report.corpus_report(_metrics(f)), ["hamiltonian_mae", "overlap_mae"])
-    return out.select("comparison", F.round("hamiltonian_mae", 6).alias("hamiltonian_mae"), "overlap_mae")
+    overlap = matrices.matrix_mae(matrices.align(f.identity(), f.overlap()))
+    return report.union_metrics(parts + [report.long_form(overlap, f"{s}_vs_ref", {"mae": "overlap_mae"}) for s in ("pred", "label")])
 
 
 @query("SELECT o_orderkey, CASE WHEN v >= 1 THEN round(v, 2) ELSE round(v, CAST(2 - floor(log10(v)) AS INT)) END AS shown FROM (SELECT o_orderkey, (o_orderkey % 997 + 1) * 3 / 1024.0::DOUBLE AS v FROM orders WHERE ((o_orderkey % 997 + 1) * 3) % 64 <> 0) WHERE abs(v * 100 * 8 - round(v * 100 * 8)) > 0")
@@ -269,13 +292,10 @@ def p9_occupations(f):
     return orbitals.occupations(f.orbitals("pred"), orbitals.electron_count(f.atoms())).select("mol_id", "k", "occ")
 
 
-@query(sql("atoms conv", "SELECT mol_id, name, count(*) AS n FROM atoms JOIN conv USING (z) WHERE name = CASE WHEN mol_id % 100 = 0 THEN 'back2pyscf' ELSE 'back_2_thu_pyscf' END GROUP BY mol_id, name"))
+@query(sql("atoms conv", "SELECT mol_id, name, count(*) AS n FROM atoms JOIN conv USING (z) WHERE name IN ('back2pyscf', 'back_2_thu_pyscf') GROUP BY mol_id, name"))
 def p10_resolve_basis(f):
-    out = []
-    for basis_set, chosen in (("def2svp", "mol_id % 100 = 0"), ("6311gdp", "mol_id % 100 <> 0")):
-        name = resolve_basis(basis_set)
-        out.append(basis.ao_layout(f.atoms().filter(chosen), name).groupBy("mol_id").agg(F.lit(name).alias("name"), F.count("*").alias("n")))
-    return out[0].unionByName(out[1])
+    own = [basis.ao_layout(f.atoms(), name).groupBy("mol_id").agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in map(resolve_basis, ("def2svp", "6311gdp"))]
+    return own[0].unionByName(own[1])
 
 
 def _cos(a: str, b: str) -> str:
@@ -290,10 +310,19 @@ def _homo_similarity(f):
     return orbitals.abs_cosine(*(orbitals.orbital_pick(f.orbitals(s), e, 0) for s in ("pred", "ref")), ["mol_id"]).withColumnRenamed("cosine", "similarity")
 
 
-@query(sql("coef", "SELECT mol_id, 'idx_' || idx || '_sim_' || printf('%.2f', similarity) AS label FROM sim JOIN idx USING (mol_id)", sim=HOMO_SIM, idx=IDX))
+LABEL_SIM = f"SELECT mol_id, {_cos('cp', '(cp + cr)')} AS label_similarity FROM coef WHERE k = homo_idx GROUP BY mol_id"
+
+
+@query(sql("coef", "SELECT mol_id, 'idx_' || idx || '_sim_' || printf('%.2g', similarity) AS label, 'idx_' || idx || '_pred_sim_' || printf('%.2g', similarity) || '_label_sim_' || printf('%.2g', label_similarity) AS two_label FROM sim JOIN other USING (mol_id) JOIN idx USING (mol_id)", sim=HOMO_SIM, other=LABEL_SIM, idx=IDX))
 def p11_detail_label(f):
+    """Similarities of the predicted HOMO to the reference's, and to the sum of the two."""
     index = structures.dense_index(f.atoms().select("mol_id").distinct(), "mol_id")
-    return _homo_similarity(f).join(index, "mol_id").select("mol_id", report.detail_label(F.col("idx"), F.col("similarity")).alias("label"))
+    e = orbitals.electron_count(f.atoms())
+    pick = lambda s: orbitals.orbital_pick(f.orbitals(s), e, 0).select("mol_id", F.col("coef").alias(s))
+    both = pick("pred").join(pick("ref"), "mol_id").join(index, "mol_id")
+    other = F.zip_with("pred", "ref", lambda x, y: x + y)
+    both = both.select("mol_id", "idx", orbitals.cosine(F.col("pred"), F.col("ref")).alias("a"), orbitals.cosine(F.col("pred"), other).alias("b"))
+    return both.select("mol_id", report.detail_label(F.col("idx"), F.col("a")).alias("label"), report.detail_label(F.col("idx"), F.col("a"), F.col("b")).alias("two_label"))
 
 
 @query(sql("orb", "SELECT mol_id, k, ep AS eps FROM orb WHERE k <= homo_idx"))
@@ -320,17 +349,18 @@ def f1_detail_selection(f):
     return rounded(report.detail_selection(_homo_similarity(f).join(index, "mol_id"), 10, 0.05), "similarity").select("mol_id", "idx", "similarity")
 
 
-@query(sql("vox", "SELECT mol_id, ix, iy, iz, vp AS value, CASE WHEN vp >= 0.05 THEN 'pos' ELSE 'neg' END AS lobe FROM vox WHERE abs(vp) >= 0.05"))
+@query(sql("vox", _by_plane_sql("SELECT mol_id, ix, iy, iz, vp AS value, CASE WHEN vp >= 0.05 THEN 'pos' ELSE 'neg' END AS lobe FROM vox WHERE abs(vp) >= 0.05", "lobe,")))
 def f3_iso_select(f):
-    return fields.iso_select(f.voxels("pred").drop("field"), 0.05)
+    return _by_plane(fields.iso_select(f.voxels("pred"), 0.05), "lobe")
 
 
 # Joins
 
 
-@query(sql("h molecules", "SELECT mol_id, count(DISTINCT i) AS n_rows FROM h SEMI JOIN molecules USING (mol_id) WHERE mol_id % 150 <> 0 GROUP BY mol_id UNION ALL SELECT mol_id, 0 FROM molecules WHERE mol_id NOT IN (SELECT mol_id FROM h WHERE mol_id % 150 <> 0)"))
+@query(sql("sizes molecules", "SELECT mol_id, CAST(coalesce(n, 0) AS BIGINT) AS n_rows FROM molecules LEFT JOIN sizes USING (mol_id)"))
 def j1_structures_matrices(f):
-    own = f.ham("pred").filter("mol_id % 150 <> 0")
+    """Orders without line items have no matrix."""
+    own = f.ham("pred")
     found = matrices.join_structures(f.molecules(), own).groupBy("mol_id").agg(F.count("*").alias("n_rows"))
     return found.unionByName(matrices.missing_matrices(f.molecules(), own).select("mol_id", F.lit(0).cast("long").alias("n_rows")))
 
@@ -348,7 +378,7 @@ def j3_permute_basis(f):
 
 @query(sql("delta", "SELECT mol_id, i, round(sum(hr + delta * s), 9) AS row_sum FROM h JOIN delta USING (mol_id) GROUP BY mol_id, i"))
 def j4_shift_reference(f):
-    return matrices.shift_reference(f.ham("pred"), f.ham("ref"), f.overlap()).select("mol_id", "i", r9(matrices.total(F.col("vals"))).alias("row_sum"))
+    return matrices.shift_reference(f.ham("pred"), f.ham("ref"), f.overlap()).select("mol_id", "i", at(matrices.total(F.col("vals")), 9).alias("row_sum"))
 
 
 def _occupied(f, source):
@@ -406,12 +436,12 @@ def a2_block_mae(f):
 def a2_block_mae_def2svp(f):
     own = basis.element_transform_index(f.atoms()).select("mol_id", F.col("place").alias("pos"), "atom")
     out = matrices.block_mae(matrices.align(f.ham("pred"), f.ham("ref")), basis.owners(own))
-    return out.select("mol_id", *(F.round(c, 12).alias(c) for c in ("diag_mae", "non_diag_mae")))  # means of few blocks end within 12 decimals
+    return out.select("mol_id", *(at(c, 12).alias(c) for c in ("diag_mae", "non_diag_mae")))  # means of few blocks end within 12 decimals
 
 
 @query(sql("delta", "SELECT * FROM (SELECT mol_id, round(avg(abs(hp - (hr + delta * s))), 9) AS mae FROM h JOIN delta USING (mol_id) GROUP BY mol_id) JOIN (" + BLOCK.format("abs(hp - (hr + delta * s))", "JOIN delta ON delta.mol_id = h.mol_id", "ao", "ao") + ") USING (mol_id)"))
 def a3_shifted_mae(f):
-    aligned = matrices.align(f.ham("pred"), matrices.shift_reference(f.ham("pred"), f.ham("ref"), f.overlap()))
+    aligned = matrices.move_reference(matrices.align(f.ham("pred"), f.ham("ref")), f.overlap())
     return rounded(matrices.matrix_mae(aligned).join(matrices.block_mae(aligned, basis.owners(f.ao())), "mol_id"), "mae", "diag_mae", "non_diag_mae")
 
 
@@ -453,13 +483,13 @@ def _dipole_sql(d: str) -> str:
 @query(sql("dens", "SELECT mol_id, round(dx, 6) AS dx, round(dy, 6) AS dy, round(dz, 6) AS dz, round(norm, 6) AS norm FROM mu", mu=_dipole_sql("dp")))
 def a9_dipole(f):
     mu = orbitals.dipole(orbitals.density(_occupied(f, "pred")), f.ao_dipole(), f.atoms())
-    return mu.select("mol_id", *(F.round(c, 6).alias(c) for c in ("dx", "dy", "dz", "norm")))
+    return mu.select("mol_id", *(at(c, 6).alias(c) for c in ("dx", "dy", "dz", "norm")))
 
 
 @query(sql("dens", "SELECT mol_id, round(abs(a.norm - b.norm), 6) AS dipole_error FROM a JOIN b USING (mol_id)", a=_dipole_sql("dp"), b=_dipole_sql("dr")))
 def a10_dipole_error(f):
     a, b = (orbitals.dipole(orbitals.density(_occupied(f, s)), f.ao_dipole(), f.atoms()) for s in ("pred", "ref"))
-    return orbitals.dipole_error(a, b).select("mol_id", F.round("dipole_error", 6).alias("dipole_error"))
+    return orbitals.dipole_error(a, b).select("mol_id", at("dipole_error", 6).alias("dipole_error"))
 
 
 @query(sql("h", "SELECT mol_id, round(avg(abs(s - CASE WHEN i = j THEN 1 ELSE 0 END)), 9) AS mae FROM h GROUP BY mol_id"))
@@ -482,10 +512,11 @@ def a14_field_extrema(f):
     return fields.field_extrema(f.voxels("pred"))
 
 
-def _evaluation_sql() -> str:
+def _evaluation_sql(body: str) -> str:
+    """SQL over ``{long}``, all metrics of all molecules."""
     moved = "abs(hp - (hr + delta * s))"
     wide = {
-        "m1": "SELECT mol_id, avg(abs(hp - hr)) AS hamiltonian_mae, 0.0::DOUBLE AS overlap_mae FROM h GROUP BY mol_id",
+        "m1": "SELECT mol_id, avg(abs(hp - hr)) AS hamiltonian_mae, avg(abs(s - CASE WHEN i = j THEN 1 ELSE 0 END)) AS overlap_mae FROM h GROUP BY mol_id",
         "m2": BLOCK.format("abs(hp - hr)", "", "ao", "ao").replace("AS diag_mae", "AS hamiltonian_diag_mae").replace("AS non_diag_mae", "AS hamiltonian_non_diag_mae"),
         "m3": f"SELECT mol_id, avg({moved}) AS shifted_mae FROM h JOIN delta USING (mol_id) GROUP BY mol_id",
         "m4": BLOCK.format(moved, "JOIN delta ON delta.mol_id = h.mol_id", "ao", "ao").replace("AS diag_mae", "AS shifted_diag_mae").replace("AS non_diag_mae", "AS shifted_non_diag_mae"),
@@ -494,18 +525,40 @@ def _evaluation_sql() -> str:
         "m7": "SELECT mol_id, avg(abs(ep - er)) AS occupied_energy_mae FROM orb WHERE k <= homo_idx GROUP BY mol_id",
         "m8": f"SELECT mol_id, abs(hp - hr) * {HARTREE_EV} AS homo_mae, abs(lp - lr) * {HARTREE_EV} AS lumo_mae, abs((lp - hp) - (lr - hr)) * {HARTREE_EV} AS gap_mae FROM front",
         "m9": f"SELECT mol_id, {_cos('cp', 'cr')} AS homo_similarity FROM coef WHERE k = homo_idx GROUP BY mol_id",
+        "m11": "SELECT mol_id, abs(a.norm - b.norm) AS dipole_error FROM mu_a a JOIN mu_b b USING (mol_id)",
         "m10": f"SELECT mol_id, {_cos('cp', 'cr')} AS lumo_similarity FROM coef WHERE homo_idx >= 0 AND k = homo_idx + 1 GROUP BY mol_id",
     }
-    names = {"m1": ["hamiltonian_mae", "overlap_mae"], "m2": ["hamiltonian_diag_mae", "hamiltonian_non_diag_mae"], "m3": ["shifted_mae"], "m4": ["shifted_diag_mae", "shifted_non_diag_mae"], "m5": ["density_mae"], "m6": ["occupied_similarity"], "m7": ["occupied_energy_mae"], "m8": ["homo_mae", "lumo_mae", "gap_mae"], "m9": ["homo_similarity"], "m10": ["lumo_similarity"]}
-    body = " UNION ALL ".join(f"SELECT mol_id, 'pred_vs_ref' AS comparison, '{n}' AS metric, round({n}, 9) AS value FROM {m}" for m, own in names.items() for n in own)
-    return sql("delta dens orb", body, front=FRONT, **wide)
+    names = {"m1": ["hamiltonian_mae", "overlap_mae"], "m2": ["hamiltonian_diag_mae", "hamiltonian_non_diag_mae"], "m3": ["shifted_mae"], "m4": ["shifted_diag_mae", "shifted_non_diag_mae"], "m5": ["density_mae"], "m6": ["occupied_similarity"], "m7": ["occupied_energy_mae"], "m8": ["homo_mae", "lumo_mae", "gap_mae"], "m9": ["homo_similarity"], "m10": ["lumo_similarity"], "m11": ["dipole_error"]}
+    wide = {m: re.sub(r"round\((avg\(m\) FILTER \([^)]*\)), 9\)", r"\1", text) for m, text in wide.items()}  # rounded once, at the end
+    long = " UNION ALL ".join(f"SELECT mol_id, 'pred_vs_ref' AS comparison, '{n}' AS metric, {n} AS value FROM {m}" for m, own in names.items() for n in own)
+    return sql("delta dens orb", body.format(long=f"({long})"), front=FRONT, mu_a=_dipole_sql("dp"), mu_b=_dipole_sql("dr"), **wide)
 
 
-@query(_evaluation_sql())
-def a15_evaluate(f):
+def _evaluate(f):
+    """The prediction, in an orthonormal basis, against the reference."""
     e = orbitals.electron_count(f.atoms())
-    out = report.evaluate(f.ham("pred"), f.ham("ref"), f.overlap(), f.overlap(), _occupied(f, "pred"), _occupied(f, "ref"), e, basis.owners(f.ao()), "pred_vs_ref")
-    return out.select("mol_id", "comparison", "metric", r9(F.col("value")).alias("value"))
+    return report.evaluate(f.ham("pred"), f.ham("ref"), f.overlap(), f.identity(), _occupied(f, "pred"), _occupied(f, "ref"), e, basis.owners(f.ao()), f.ao_dipole(), f.atoms(), "pred_vs_ref")
+
+
+@query(_evaluation_sql("SELECT mol_id, comparison, metric, round(value, 6) AS value FROM {long}"))
+def a15_evaluate(f):
+    return _evaluate(f).withColumn("value", at("value", 6)).select("mol_id", "comparison", "metric", "value")
+
+
+@query(_evaluation_sql("SELECT comparison, metric, round(avg(value), 6) AS value, count(value) AS items FROM {long} GROUP BY ALL"))
+def a12_corpus_evaluation(f):
+    """The corpus report of all metrics."""
+    return report.corpus_report(_evaluate(f)).withColumn("value", at("value", 6))
+
+
+_SHOWN = "CASE WHEN abs({v}) >= 1 THEN CAST(printf('%.2f', {v}) AS DOUBLE) ELSE CAST(printf('%.3g', {v}) AS DOUBLE) END"
+_FACTORS = ", ".join(f"('{m}', {x}::DOUBLE)" for m, x in report.FACTORS.items())
+
+
+@query(_evaluation_sql("SELECT comparison, " + ", ".join(f"max({_SHOWN.format(v='v')}) FILTER (WHERE metric = '{m}') AS {m}" for m in report.FACTORS) + ", max(items) AS total_items FROM (SELECT comparison, metric, avg(value) * factor AS v, count(value) AS items FROM {long} JOIN (VALUES " + _FACTORS + ") t(metric, factor) USING (metric) GROUP BY comparison, metric, factor) GROUP BY comparison"))
+def p4_report_row(f):
+    """The whole report: sixteen metrics in its units and format, and the number of items."""
+    return report.report_row(report.corpus_report(_evaluate(f)))
 
 
 # Windows, order, sets
@@ -534,11 +587,10 @@ def l1_first_n(f):
 
 @query(sql("orb", "SELECT mol_id, k, CAST(row_number() OVER (PARTITION BY mol_id ORDER BY er DESC) - 1 AS INT) AS from_top FROM orb"))
 def l2_orbitals_by_energy(f):
-    ranked = f.orbitals("ref").groupBy("mol_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("eps", "k")))).alias("o"))
-    return ranked.select("mol_id", F.posexplode("o").alias("from_top", "e")).select("mol_id", F.col("e.k").alias("k"), "from_top")
+    return orbitals.orbitals_by_energy(f.orbitals("ref"), descending=True).withColumnRenamed("place", "from_top")
 
 
-@query(sql("h", "SELECT mol_id, comparison, 'hamiltonian_mae' AS metric, round(value, 9) AS value FROM (SELECT mol_id, 'pred_vs_ref' AS comparison, avg(abs(hp - hr)) AS value FROM h GROUP BY mol_id UNION ALL SELECT mol_id, 'label_vs_ref', avg(abs(hl - hr)) FROM h GROUP BY mol_id) UNION ALL SELECT mol_id, c, 'overlap_mae', 0.0 FROM sizes, (VALUES ('pred_vs_ref'), ('label_vs_ref')) t(c)"))
+@query(sql("h", "SELECT mol_id, comparison, 'hamiltonian_mae' AS metric, round(value, 9) AS value FROM (SELECT mol_id, 'pred_vs_ref' AS comparison, avg(abs(hp - hr)) AS value FROM h GROUP BY mol_id UNION ALL SELECT mol_id, 'label_vs_ref', avg(abs(hl - hr)) FROM h GROUP BY mol_id) UNION ALL SELECT mol_id, c, 'overlap_mae', round(o, 9) FROM (SELECT mol_id, avg(abs(s - CASE WHEN i = j THEN 1 ELSE 0 END)) AS o FROM h GROUP BY mol_id), (VALUES ('pred_vs_ref'), ('label_vs_ref')) t(c)"))
 def u1_union_metrics(f):
     return rounded(_metrics(f), "value")
 
@@ -546,28 +598,31 @@ def u1_union_metrics(f):
 # Fields
 
 
-@query(sql("atoms", "SELECT mol_id, ix, iy, iz, round(lx - 1.5 + ix * (hx - lx + 3) / 4, 9) AS x, round(ly - 1.5 + iy * (hy - ly + 3) / 4, 9) AS y, round(lz - 1.5 + iz * (hz - lz + 3) / 4, 9) AS z FROM (SELECT mol_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z_c) AS lz, max(z_c) AS hz FROM atoms GROUP BY mol_id), (SELECT CAST(range AS INT) AS ix FROM range(5)), (SELECT CAST(range AS INT) AS iy FROM range(5)), (SELECT CAST(range AS INT) AS iz FROM range(5))"))
+_SIDE = "SELECT mol_id, i, l - 1.5 + i * (h - l + 3) / 39 AS at FROM (SELECT mol_id, min({c}) AS l, max({c}) AS h FROM atoms GROUP BY mol_id), range(40) t(i)"
+
+
+@query(sql("atoms", "SELECT mol_id, 64000 AS points, " + ", ".join(f"round({g}({c}.at), 9) AS {c}_{n}" for c in "xyz" for n, g in (("low", "min"), ("high", "max"))) + " FROM x JOIN y USING (mol_id) JOIN z USING (mol_id) WHERE x.i IN (0, 39) AND y.i IN (0, 39) AND z.i IN (0, 39) GROUP BY mol_id", **{k: _SIDE.format(c=c) for k, c in (("x", "x"), ("y", "y"), ("z", "z_c"))}))
 def v1_voxel_lattice(f):
-    if f.whole:  # the lattices of the reference, of orbitals and densities
-        orbital, density = (fields.voxel_lattice(f.atoms(), n, 1.5).select(F.lit(n).alias("points"), "*") for n in (75, 40))
-        return rounded(orbital.unionByName(density), "x", "y", "z")
-    return rounded(fields.voxel_lattice(f.atoms(), 5, 1.5), "x", "y", "z")
+    """The density lattice, 40 points a side: each molecule's number of points and where they end."""
+    ends = {f"{c}_{n}": g(c) for c in "xyz" for n, g in (("low", F.min), ("high", F.max))}
+    out = fields.voxel_lattice(f.atoms(), 40, 1.5).groupBy("mol_id").agg(F.count("*").cast("int").alias("points"), *(e.alias(n) for n, e in ends.items()))
+    return rounded(out, *ends)
 
 
-@query(sql("aov coef", "SELECT mol_id, ix, iy, iz, sum(cp * phi) AS value FROM aov JOIN coef USING (mol_id) WHERE mu = i AND k = homo_idx GROUP BY mol_id, ix, iy, iz"))
+@query(sql("aov cvec", _by_plane_sql("SELECT mol_id, ix, iy, iz, list_dot_product(c, phi) AS value FROM aov JOIN cvec USING (mol_id) WHERE k = homo_idx")))
 def v2_orbital_field(f):
     homo = orbitals.orbital_pick(f.orbitals("pred"), orbitals.electron_count(f.atoms()), 0)
-    return fields.orbital_field(homo, f.ao_values()).drop("k")
+    return _by_plane(fields.orbital_field(homo, f.ao_values(), slabs=1))
 
 
-@query(sql("aov coef", "SELECT mol_id, ix, iy, iz, sum(2 * psi * psi) AS value FROM (SELECT mol_id, k, ix, iy, iz, sum(cp * phi) AS psi FROM aov JOIN coef USING (mol_id) WHERE mu = i AND k < n_occ GROUP BY ALL) GROUP BY mol_id, ix, iy, iz"))
+@query(sql("aov cvec", _by_plane_sql("SELECT mol_id, ix, iy, iz, sum(2 * psi * psi) AS value FROM (SELECT mol_id, ix, iy, iz, list_dot_product(c, phi) AS psi FROM aov JOIN cvec USING (mol_id) WHERE k < n_occ) GROUP BY mol_id, ix, iy, iz")))
 def v3_density_field(f):
-    return fields.density_field(_occupied(f, "pred"), f.ao_values())
+    return _by_plane(fields.density_field(_occupied(f, "pred"), f.ao_values(), slabs=1))  # 512 voxels a molecule
 
 
-@query(sql("vox", "SELECT mol_id, ix, iy, iz, vr - CASE WHEN turn < 0 THEN -vp ELSE vp END AS value FROM vox JOIN (SELECT mol_id, sum(vr * vp) AS turn FROM vox GROUP BY mol_id) USING (mol_id)"))
+@query(sql("vox", _by_plane_sql("SELECT mol_id, ix, iy, iz, vr - CASE WHEN turn < 0 THEN -vp ELSE vp END AS value FROM vox JOIN (SELECT mol_id, sum(vr * vp) AS turn FROM vox GROUP BY mol_id) USING (mol_id)")))
 def v4_difference_field(f):
-    return fields.difference_field(f.voxels("ref"), f.voxels("pred"), align_sign=True)
+    return _by_plane(fields.difference_field(f.voxels("ref"), f.voxels("pred"), align_sign=True))
 
 
 @query(sql("vox", "SELECT mol_id, CASE WHEN vp >= 0.05 THEN 'pos' ELSE 'neg' END AS lobe, count(*) AS voxels, sum(vp) AS integral FROM vox WHERE abs(vp) >= 0.05 GROUP BY ALL"))
@@ -582,16 +637,15 @@ def v5_iso_lobes(f):
 def e1_solver_trace(f):
     """With S = I, the energies sum to the trace and their squares to the squared norm."""
     eps = orbitals.solve_orbitals(f.ham("pred"), f.identity())
-    return eps.groupBy("mol_id").agg(F.round(F.sum("eps"), 10).alias("sum_eps"), F.round(F.sum(F.col("eps") * F.col("eps")), 6).alias("sum_eps2"))
+    return eps.groupBy("mol_id").agg(at(F.sum("eps"), 10).alias("sum_eps"), at(F.sum(F.col("eps") * F.col("eps")), 6).alias("sum_eps2"))
 
 
 @query(sql("h", "SELECT mol_id, true AS solved FROM sizes"))
 def e1_solver_residual(f):
     """F C = S C eps to 1e-8 in every entry."""
     eps = orbitals.solve_orbitals(f.ham("pred"), f.overlap())
-    rows = matrices.align(f.ham("pred"), f.overlap()).join(eps, "mol_id")
-    residual = F.abs(matrices.dot(F.col("a"), F.col("coef")) - F.col("eps") * matrices.dot(F.col("b"), F.col("coef")))
-    return rows.select("mol_id", residual.alias("r")).groupBy("mol_id").agg((F.max("r") < 1e-8).alias("solved"))
+    residual = orbitals.solver_residual(f.ham("pred"), f.overlap(), eps)
+    return residual.select("mol_id", (F.col("residual") < 1e-8).alias("solved"))
 
 
 @query(sql("elec sizes", "SELECT mol_id, round(2.0::DOUBLE * n_occ, 6) AS electrons FROM elec JOIN sizes USING (mol_id) WHERE n_occ > 0"))
@@ -599,42 +653,45 @@ def e1_density_trace(f):
     """tr(DS) is the number of electrons in occupied orbitals."""
     own = orbitals.occupations(orbitals.solve_orbitals(f.ham("pred"), f.overlap()), orbitals.electron_count(f.atoms()))
     rows = matrices.align(orbitals.density(own), f.overlap())
-    return rows.groupBy("mol_id").agg(F.round(F.sum(matrices.dot(F.col("a"), F.col("b"))), 6).alias("electrons"))
+    return rows.groupBy("mol_id").agg(at(F.sum(matrices.dot(F.col("a"), F.col("b"))), 6).alias("electrons"))
 
 
-@query(sql("atoms", "SELECT mol_id AS idx, atom, 0.5 * z + 0.25 * x + 0.125 * y + z_c AS score FROM atoms SEMI JOIN (SELECT mol_id FROM idx WHERE idx < 25) USING (mol_id)", idx=IDX))
+@query(sql("atoms", "SELECT idx, atom, 0.5 * z + 0.25 * x + 0.125 * y + z_c AS score FROM atoms JOIN idx USING (mol_id)", idx=IDX))
 def e2_score_structures(f):
     def predict(batch: pd.DataFrame) -> pd.DataFrame:
-        rows = [(m, k, 0.5 * z + 0.25 * float(p[0]) + 0.125 * float(p[1]) + float(p[2])) for m, n, pos in zip(batch["mol"], batch["numbers"], batch["pos"], strict=True) for k, (z, p) in enumerate(zip(n, pos, strict=True))]
-        return pd.DataFrame(rows, columns=["idx", "atom", "score"])
+        """A linear model of an atom's number and place."""
+        sizes = batch["numbers"].str.len().to_numpy()
+        place = np.concatenate([np.stack(p) for p in batch["pos"]]).astype(np.float64)
+        score = np.concatenate(batch["numbers"].to_list()) * 0.5 + place @ (0.25, 0.125, 1.0)
+        atom = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return pd.DataFrame({"idx": np.repeat(batch["idx"].to_numpy(), sizes), "atom": atom.astype(np.int32), "score": score})
 
     records = structures.dense_index(structures.model_records(f.atoms()).withColumnRenamed("idx", "mol"), "mol")
-    return orbitals.score_structures(records, predict, "idx bigint, atom int, score double", limit=None if f.whole else 25)
+    return orbitals.score_structures(records, predict, "idx bigint, atom int, score double")
 
 
-@query(sql("h", "SELECT mol_id, i, j, hp AS v FROM h WHERE mol_id % 200 = 0"))
+@query(sql("h", "SELECT mol_id, i, count(*) AS n, sum((j + 1) * hp) AS weighted FROM h GROUP BY mol_id, i"))
 def e3_assemble_gamma(f):
-    nodes, edges, first = f.blocks()
-    return orbitals.assemble_gamma(f.some(nodes, "mol_id", 200), f.some(edges, "mol_id", 200), first).select("mol_id", "i", "j", "v")
+    """Blocks of every molecule give back its matrix."""
+    gamma = orbitals.assemble_gamma(*f.blocks())
+    return gamma.groupBy("mol_id", "i").agg(F.count("*").alias("n"), F.sum((F.col("j") + 1) * F.col("v")).alias("weighted"))
 
 
-def _frontier_job(f):
-    """The job on whole matrices; the CSV that it writes is read again."""
+@query()
+def e4_frontier_job(f):
+    """Structures, matrices, permutation, solver, frontier and CSV, on whole matrices; the CSV
+    is read again.  SQL cannot solve them: a test holds the rows against numpy."""
     path = files.shared_path(f.spark, "frontier_job")
     ham = matrices.join_structures(f.molecules(), basis.permute_basis(f.ham("pred"), f.ao()))
     eps = orbitals.solve_orbitals(ham, f.overlap())
     files.write_frontier_csv(orbitals.frontier_ev(orbitals.frontier(eps, orbitals.electron_count(f.atoms()))), path)
-    return f.spark.read.schema("HOMO double, LUMO double, Gap double").csv(path, header=True).select(*(F.round(c, 6).alias(c.lower()) for c in ("HOMO", "LUMO", "Gap")))
+    return f.spark.read.schema("HOMO double, LUMO double, Gap double").csv(path, header=True).select(*(at(c, 6).alias(c.lower()) for c in ("HOMO", "LUMO", "Gap")))
 
 
-@query(sql("h", "SELECT mol_id, round(((-b - sqrt(b * b - 4 * a * c)) / (2 * a)), 6) AS homo, round(((-b + sqrt(b * b - 4 * a * c)) / (2 * a)), 6) AS lumo FROM (SELECT mol_id, s00 * s11 - s01 * s01 AS a, -(f00 * s11 + f11 * s00 - 2 * f01 * s01) AS b, f00 * f11 - f01 * f01 AS c FROM (SELECT mol_id, max(CASE WHEN i = 0 AND j = 0 THEN hp END) AS f00, max(CASE WHEN i = 0 AND j = 1 THEN hp END) AS f01, max(CASE WHEN i = 1 AND j = 1 THEN hp END) AS f11, max(CASE WHEN i = 0 AND j = 0 THEN s END) AS s00, max(CASE WHEN i = 0 AND j = 1 THEN s END) AS s01, max(CASE WHEN i = 1 AND j = 1 THEN s END) AS s11 FROM h GROUP BY mol_id))"))
-def e4_frontier_job(f):
-    """Structures, matrices, permutation, solver and frontier, on the first two orbitals of each
-    molecule, whose energies are the roots of a quadratic."""
-    if f.whole:
-        return _frontier_job(f)
-    cut = lambda rows: rows.filter("i < 2").withColumn("vals", F.slice("vals", 1, 2))
-    ham = matrices.join_structures(f.molecules(), basis.permute_basis(f.ham("pred"), f.ao()))  # the first two are s functions and stay
-    eps = orbitals.solve_orbitals(cut(ham), cut(f.overlap()))
-    electrons = f.sizes().select("mol_id", F.lit(0).alias("homo_idx"))
-    return orbitals.frontier(eps, electrons).select("mol_id", F.round("homo", 6).alias("homo"), F.round("lumo", 6).alias("lumo"))
+@query(sql("h", "SELECT mol_id, round(sum(CASE WHEN i = j THEN hp ELSE 0 END), 6) AS sum_eps FROM h GROUP BY mol_id"))
+def e4_frontier_job_trace(f):
+    """The energies that the job solves, in an orthonormal basis, sum to the trace, which the
+    permutation of both sides leaves alone."""
+    ham = matrices.join_structures(f.molecules(), basis.permute_basis(f.ham("pred"), f.ao()))
+    eps = orbitals.solve_orbitals(ham, basis.permute_basis(f.identity(), f.ao()))
+    return eps.groupBy("mol_id").agg(at(F.sum("eps"), 6).alias("sum_eps"))

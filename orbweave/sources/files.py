@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,10 +20,13 @@ MATRIX_FILES = {"predicted_ham": ("pred", "ham"), "original_ham": ("label", "ham
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); only
-    where that is unset, as in local tests, in a temporary folder of this machine."""
+    """A fresh path in the folder that driver and executors share, which spark.checkpoint.dir
+    names.  Only a local session, as in tests, may leave that unset and gets a temporary
+    folder of this machine; on a cluster it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or "cluster" in spark.conf.get("spark.master", ""):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = getattr(shared_path, "own", None) or "file://" + tempfile.mkdtemp(prefix="orbweave-")
         shared_path.own = base
     return f"{base.rstrip('/')}/orbweave/{name}-{uuid.uuid4().hex}"
@@ -64,17 +68,19 @@ def read_matrices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_smiles(spark: SparkSession, path: str) -> DataFrame:
-    """``smile``: one on each line, trimmed, blank lines left out."""
+    """``smile``: one on each line, trimmed, blank lines left out.  Spark deals out files by bytes,
+    so lines have no number; dense_index() gives one where an order is needed."""
     return spark.read.text(path).select(F.trim("value").alias("smile")).filter("smile != ''")
 
 
 def parse_cubes(texts: DataFrame) -> DataFrame:
-    """Grid fields of whole cube texts ``mol_id, field, value``: two comment lines, the number of
+    """Grid fields of whole cube texts ``value``, with their other columns: two comment lines, the number of
     atoms, three axis lines, the atoms, then the values with z running fastest."""
-    words = texts.select("mol_id", "field", F.split(F.regexp_replace("value", r"^[^\n]*\n[^\n]*\n\s*|\s+$", ""), r"\s+").alias("w"))
+    keys = [c for c in texts.columns if c != "value"]
+    words = texts.select(*keys, F.split(F.regexp_replace("value", r"^[^\n]*\n[^\n]*\n\s*|\s+$", ""), r"\s+").alias("w"))
     size = lambda k: F.get("w", F.lit(k)).cast("int")
-    rows = words.select("mol_id", "field", size(8).alias("ny"), size(12).alias("nz"), F.posexplode(F.slice("w", 17 + F.abs(size(0)) * 5, F.size("w"))).alias("at", "v"))
-    return rows.select("mol_id", "field", F.expr("CAST(at DIV (ny * nz) AS INT)").alias("ix"), F.expr("CAST(pmod(at DIV nz, ny) AS INT)").alias("iy"), F.expr("CAST(pmod(at, nz) AS INT)").alias("iz"), F.col("v").cast("double").alias("value"))
+    rows = words.select(*keys, size(8).alias("ny"), size(12).alias("nz"), F.posexplode(F.slice("w", 17 + F.abs(size(0)) * 5, F.size("w"))).alias("at", "v"))
+    return rows.select(*keys, F.expr("CAST(at DIV (ny * nz) AS INT)").alias("ix"), F.expr("CAST(pmod(at DIV nz, ny) AS INT)").alias("iy"), F.expr("CAST(pmod(at, nz) AS INT)").alias("iz"), F.col("v").cast("double").alias("value"))
 
 
 def cube_texts(field: DataFrame, n: int) -> DataFrame:
@@ -84,10 +90,23 @@ def cube_texts(field: DataFrame, n: int) -> DataFrame:
     return field.groupBy("mol_id", "field").agg(F.concat(F.lit(head), F.array_join(values, " ")).alias("value"))
 
 
-def read_cubes(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """Grid fields of a tree ``mol_id={id}/field={name}/...`` of cube files."""
-    texts = spark.read.schema("value string, mol_id bigint, field string").text(path, wholetext=True, pathGlobFilter=glob)
-    return parse_cubes(texts)
+def read_cubes(spark: SparkSession, path: str, glob: str = "*.cube") -> DataFrame:
+    """``folder, mol_id, field, ix, iy, iz, value`` of all cube files under a folder, at any depth.
+
+    ``folder`` is the name of a file's own folder, ``field`` the file's name without its ending,
+    and ``mol_id`` the first number in the folder's name, null without one."""
+    texts = spark.read.format("text").options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).load(path)
+    name = lambda k: F.element_at(F.split(F.col("_metadata.file_path"), "/"), k)
+    mol = F.nullif(F.regexp_extract(name(-2), r"(\d+)", 1), F.lit("")).try_cast("bigint")
+    return parse_cubes(texts.select("value", name(-2).alias("folder"), mol.alias("mol_id"), F.regexp_replace(name(-1), r"\.[^.]*$", "").alias("field")))
+
+
+def read_esp_logs(spark: SparkSession, path: str, unit: str, glob: str = "*.log") -> DataFrame:
+    """Extrema of all logs under a folder, at any depth, as parse_esp_logs() gives them, by
+    ``path``, the log's path from the folder on."""
+    logs = spark.read.format("text").options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).load(path)
+    below = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+    return parse_esp_logs(logs.select(below.alias("path"), "value"), "path", unit)
 
 
 def parse_esp_logs(logs: DataFrame, key: str, unit: str) -> DataFrame:
@@ -101,6 +120,25 @@ def parse_esp_logs(logs: DataFrame, key: str, unit: str) -> DataFrame:
     return logs.select(*out, F.lit(unit).alias("unit"))
 
 
+def write_texts(texts: DataFrame, path: str, name: str) -> None:
+    """A file ``{folder}/{name}`` for each row ``folder, value``, written by the task that has it:
+    the trees of whole files that other programs read.  A task that runs again writes the
+    same files anew."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for folder, value in zip(batch.folder, batch.value, strict=True):
+                store.create_dir(f"{root}/{folder}", recursive=True)
+                with store.open_output_stream(f"{root}/{folder}/{name}") as stream:
+                    stream.write(value.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    texts.select("folder", "value").mapInPandas(write, "n bigint").write.mode("overwrite").format("noop").save()
+
+
 def write_frontier_csv(df: DataFrame, path: str) -> None:
     """``HOMO, LUMO, Gap`` in the order of the molecules."""
     df.orderBy("mol_id").select(F.col("homo_ev").alias("HOMO"), F.col("lumo_ev").alias("LUMO"), F.col("gap_ev").alias("Gap")).write.mode("overwrite").csv(path, header=True)
@@ -124,8 +162,8 @@ def xyz_texts(atoms: DataFrame, comment: str = "") -> DataFrame:
 
 
 def write_xyz(atoms: DataFrame, path: str) -> None:
-    """A folder for each molecule with its XYZ text."""
-    xyz_texts(atoms).write.mode("overwrite").partitionBy("mol_id").text(path)
+    """``{mol_id}/atomic_structure.xyz`` for each molecule."""
+    write_texts(xyz_texts(atoms).select(F.col("mol_id").cast("string").alias("folder"), "value"), path, "atomic_structure.xyz")
 
 
 def write_detail_sample(df: DataFrame, path: str, n: int = 10) -> None:

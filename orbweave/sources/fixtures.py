@@ -1,14 +1,21 @@
-"""Molecule tables derived from the order tables, for queries and tests.
+"""Molecule tables derived from the order tables, for queries and tests: every order is a
+molecule, every line item an atom.
 
 All arithmetic is on whole numbers with a last division by a power of two, so sums are exact
-in any order.  The formulas are SQL text that Spark and DuckDB both read."""
+in any order.  The formulas are SQL text that Spark and DuckDB both read; those of arrays,
+which stand for the matrix files of a run, are also numpy functions, applied in the tasks
+that would read those files."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.operators.basis import ao_layout
+from orbweave.operators.basis import ao_layout, convention
 
 #: Factors of the matrix and orbital formulas, by source.
 HAMILTONIAN = {"pred": (31, 17, 13, 7), "ref": (29, 19, 11, 5), "label": (23, 11, 7, 3)}
@@ -54,49 +61,86 @@ def ao_value() -> str:
     return "CAST((ix * 3 + iy * 5 + iz * 7 + mu * 11) % 17 - 8 AS DOUBLE) / 16"
 
 
-class Fixtures:
-    """The derived tables of one scale factor: with ``whole``, of every order, else of those
-    that the SQL of the queries reads."""
+# The same formulas for arrays: of a row's columns and the place j in its array.
+
+
+def _hamiltonian(source: str) -> Callable:
+    a, b, c, d = HAMILTONIAN[source]
+    return lambda r, j: ((r["mol_id"] * a + (np.minimum(r["i"], j) * b + np.maximum(r["i"], j) * c) * d) % 257 - 128) / 1024
+
+
+def _overlap(r, j):
+    return np.where(r["i"] == j, 1.0, ((r["mol_id"] * 7 + np.minimum(r["i"], j) * 3 + np.maximum(r["i"], j) * 5) % 9 - 4) / 1024)
+
+
+def _coefficient(source: str) -> Callable:
+    a, b, c = COEFFICIENT[source]
+    return lambda r, j: ((r["mol_id"] * a + j * b + r["k"] * c) % 127 - 63) / 64
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
 
-    def some(self, df: DataFrame, key: str, modulus: int) -> DataFrame:
-        return df if self.whole else df.filter(f"{key} % {modulus} = 0")
+def _dipole_integral(axis: int) -> Callable:
+    return lambda r, j: ((r["mol_id"] + np.minimum(r["i"], j) * 5 + np.maximum(r["i"], j) * 3 + axis * 7) % 65 - 32) / 64
+
+
+def with_arrays(rows: DataFrame, arrays: dict[str, Callable]) -> DataFrame:
+    """The rows with an array of n values for each formula, in place of their column ``n``."""
+    kept = [c for c in rows.columns if c != "n"]
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), *(f"{a} array<double>" for a in arrays)])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2000):  # arrays of a part stay in the processor's cache
+                batch = whole.slice(low, 2000)
+                n = np.asarray(batch.column(batch.num_columns - 1))
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                j = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+                own = {c: np.repeat(np.asarray(batch.column(k), np.int64), n) for k, c in enumerate(kept) if pa.types.is_integer(batch.column(k).type)}
+                made = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(f(own, j), pa.float64())) for f in arrays.values()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*kept, *arrays])
+
+    return rows.select(*kept, "n").mapInArrow(fill, schema)
+
+
+class Fixtures:
+    """The derived tables of one scale factor."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def atoms(self) -> DataFrame:
-        own = self.some(self.table("lineitem"), "l_orderkey", 50)
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-        return own.select(
+        return self.table("lineitem").select(
             F.col("l_orderkey").alias("mol_id"), (F.row_number().over(order) - 1).alias("atom"), F.expr("element_at(array(1, 1, 6, 8, 7, 9, 3), CAST(l_partkey % 7 AS INT) + 1)").alias("z"),
             F.expr("CAST(l_suppkey % 16 AS DOUBLE) / 4").alias("x"), F.expr("CAST(l_partkey % 16 AS DOUBLE) / 4").alias("y"), F.expr("CAST(l_linenumber * 3 % 16 AS DOUBLE) / 4").alias("z_c"),
         )
 
     def molecules(self) -> DataFrame:
-        return self.some(self.table("orders"), "o_orderkey", 50).select(F.col("o_orderkey").alias("mol_id"), F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("smile"), F.expr("CAST(o_orderkey % 3 - 1 AS INT)").alias("charge"))
+        return self.table("orders").select(F.col("o_orderkey").alias("mol_id"), F.concat(F.lit("C"), F.col("o_orderkey").cast("string")).alias("smile"), F.expr("CAST(o_orderkey % 3 - 1 AS INT)").alias("charge"))
 
     def ao(self, convention: str = "back2pyscf") -> DataFrame:
         return ao_layout(self.atoms(), convention)
 
     def sizes(self) -> DataFrame:
-        """``mol_id, n`` orbitals."""
-        return self.ao().groupBy("mol_id").agg(F.count("*").cast("int").alias("n"))
+        """``mol_id, n`` orbitals; no layout is needed to count them."""
+        shells = convention(self.spark, "back2pyscf").groupBy("z").agg(F.count("*").alias("n"))
+        z = F.expr("element_at(array(1, 1, 6, 8, 7, 9, 3), CAST(l_partkey % 7 AS INT) + 1)").alias("z")
+        return self.table("lineitem").select(F.col("l_orderkey").alias("mol_id"), z).join(F.broadcast(shells), "z").groupBy("mol_id").agg(F.sum("n").cast("int").alias("n"))
 
-    def _rows(self, expression: str) -> DataFrame:
-        rows = self.sizes().select("mol_id", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-        return rows.select("mol_id", "i", F.expr(f"transform(sequence(0, n - 1), j -> {expression})").alias("vals"))
+    def per_orbital(self, name: str) -> DataFrame:
+        """``mol_id, n, name``: a row for each of a molecule's n orbitals."""
+        return self.sizes().select("mol_id", "n", F.explode(F.expr("sequence(0, n - 1)")).alias(name))
 
     def ham(self, source: str) -> DataFrame:
-        return self._rows(hamiltonian(source))
+        return with_arrays(self.per_orbital("i"), {"vals": _hamiltonian(source)})
 
     def overlap(self) -> DataFrame:
-        return self._rows(overlap())
+        return with_arrays(self.per_orbital("i"), {"vals": _overlap})
 
     def identity(self) -> DataFrame:
-        return self._rows("CASE WHEN i = j THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")
+        return with_arrays(self.per_orbital("i"), {"vals": lambda r, j: (r["i"] == j) * 1.0})
 
     def matrix_rows(self) -> DataFrame:
         """All Hamiltonians and the overlaps, as one table."""
@@ -104,21 +148,19 @@ class Fixtures:
         return own[0].unionByName(own[1]).unionByName(own[2]).unionByName(self.overlap().select("mol_id", F.lit("ref").alias("source"), F.lit("overlap").alias("kind"), "i", "vals"))
 
     def orbitals(self, source: str) -> DataFrame:
-        rows = self.sizes().select("mol_id", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("k"))
-        return rows.select("mol_id", "k", F.expr(energy(source)).alias("eps"), F.expr(f"transform(sequence(0, n - 1), i -> {coefficient(source)})").alias("coef"))
-
-    def pairs(self, a: str, b: str) -> DataFrame:
-        step = F.expr("sequence(0, n - 1)")
-        return self.sizes().select("mol_id", "n", F.explode(step).alias(a)).select("mol_id", a, F.explode(step).alias(b))
+        rows = self.per_orbital("k").select("mol_id", "n", "k", F.expr(energy(source)).alias("eps"))
+        return with_arrays(rows, {"coef": _coefficient(source)})
 
     def cross_overlap(self) -> DataFrame:
-        return self.pairs("mu", "nu").select("mol_id", "mu", "nu", F.expr(cross_overlap()).alias("s"))
+        """``mol_id, nu, s``: s over mu."""
+        return with_arrays(self.per_orbital("nu"), {"s": lambda r, j: ((r["mol_id"] * 3 + j * 7 + r["nu"] * 11) % 33 - 16) / 32})
 
     def ao_dipole(self) -> DataFrame:
-        return self.pairs("i", "j").select("mol_id", "i", "j", *(F.expr(dipole_integral(k)).alias(f"r{c}") for k, c in enumerate("xyz")))
+        """``mol_id, i, rx, ry, rz``: integrals over j."""
+        return with_arrays(self.per_orbital("i"), {f"r{c}": _dipole_integral(k) for k, c in enumerate("xyz")})
 
     def grid(self) -> DataFrame:
-        out = self.some(self.sizes(), "mol_id", 500)
+        out = self.sizes()
         for axis in ("ix", "iy", "iz"):
             out = out.withColumn(axis, F.explode(F.expr(f"sequence(0, {GRID - 1})")))
         return out
@@ -127,7 +169,8 @@ class Fixtures:
         return self.grid().select("mol_id", F.lit(field).alias("field"), "ix", "iy", "iz", F.expr(voxel(field)).alias("value"))
 
     def ao_values(self) -> DataFrame:
-        return self.grid().withColumn("mu", F.explode(F.expr("sequence(0, n - 1)"))).select("mol_id", "ix", "iy", "iz", "mu", F.expr(ao_value()).alias("phi"))
+        """``mol_id, ix, iy, iz, phi``: phi over mu."""
+        return with_arrays(self.grid(), {"phi": lambda r, j: ((r["ix"] * 3 + r["iy"] * 5 + r["iz"] * 7 + j * 11) % 17 - 8) / 16})
 
     def esp_logs(self) -> DataFrame:
         low = "concat('Start of run\n The minimum is ', CAST(-abs(c_acctbal) AS STRING), ' at ', c_custkey % 8, ' ', c_custkey % 5, ' ', c_nationkey, ' Bohr\n')"

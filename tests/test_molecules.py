@@ -120,7 +120,7 @@ def test_cosine_density_and_dipole_equal_numpy(spark, water):
     zero = own.withColumn("coef", F.transform("coef", lambda x: x * 0))
     assert {r.cosine for r in orbitals.abs_cosine(own, zero, ["mol_id", "k"]).collect()} == {None}
     r = np.random.default_rng(2).normal(size=(3, 4, 4))
-    integrals = spark.createDataFrame([(1, i, j, *(float(r[a, i, j]) for a in range(3))) for i in range(4) for j in range(4)], "mol_id bigint, i int, j int, rx double, ry double, rz double")
+    integrals = spark.createDataFrame([(1, i, *([float(v) for v in r[a, i]] for a in range(3))) for i in range(4)], "mol_id bigint, i int, rx array<double>, ry array<double>, rz array<double>")
     row = orbitals.dipole(orbitals.density(occ), integrals, water).first()
     mu = (np.array([1.0, 1.0, 0.0]) * 1.8897259886 - (d * r).sum((1, 2))) * 2.541746
     assert np.allclose([row.dx, row.dy, row.dz, row.norm], [*mu, np.linalg.norm(mu)])
@@ -139,7 +139,17 @@ def test_reports_skip_missing_values(spark):
     out = report.corpus_report(own)
     assert {(r.metric, r.value, r["items"]) for r in out.collect()} == {("hamiltonian_mae", 2.0, 1), ("homo_similarity", 0.5, 1)}
     row = report.report_row(out, ["hamiltonian_mae", "homo_similarity"]).first()
-    assert (row.hamiltonian_mae, row.homo_similarity) == (2e6, 50.0)
+    assert (row.hamiltonian_mae, row.homo_similarity, row.total_items) == (2e6, 50.0, 1)
+    whole = report.report_row(out).first()
+    assert len(report.FACTORS) == 16 and whole.dipole_error is None and whole.hamiltonian_mae == 2e6
+
+
+def test_labels_have_two_significant_digits(spark):
+    values = [0.9999, 0.0042, 0.5, 0.123, 0.00004321, 0.000123, 1.0, 0.0, 9.96, 99.6, 123.0, -0.27, 0.996, None]
+    own = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k")
+    assert [r.s for r in own.select(report.two_digits(F.col("v")).alias("s")).collect()] == [None if v is None else f"{v:.2g}" for v in values]
+    one, two = report.detail_label(F.lit(3), F.lit(0.9999)), report.detail_label(F.lit(3), F.lit(0.9999), F.lit(0.0042))
+    assert tuple(own.select(one, two).first()) == ("idx_3_sim_1", "idx_3_pred_sim_1_label_sim_0.0042")
 
 
 def test_structures_round_trip(spark, water, tmp_path):
@@ -158,6 +168,15 @@ def test_dense_index_and_limits(spark):
     assert {(r.mol_id, r.idx) for r in index.collect()} == {(k, k) for k in range(101)}
     assert [structures.first_n(index, n).count() for n in (None, 0, 3, 500)] == [101, 0, 3, 101]
     assert structures.dense_index(own.limit(0), "mol_id").count() == 0
+    odd = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("b", 4)], "name string, x int")
+    found = sorted(structures.dense_index(odd, "name", "place").collect(), key=lambda r: r.place)
+    assert [r.name for r in found] == [None, "a", "b", "b"] and [r.place for r in found] == [0, 1, 2, 3]
+
+
+def test_orbitals_by_energy(spark):
+    own = spark.createDataFrame([(1, 0, 2.0), (1, 1, -1.0), (1, 2, 2.0)], "mol_id bigint, k int, eps double")
+    assert {(r.k, r.place) for r in orbitals.orbitals_by_energy(own).collect()} == {(1, 0), (0, 1), (2, 2)}
+    assert {(r.k, r.place) for r in orbitals.orbitals_by_energy(own, descending=True).collect()} == {(2, 0), (0, 1), (1, 2)}
 
 
 def test_smiles_and_rejects(spark, tmp_path, water):
@@ -195,6 +214,31 @@ def test_fields(spark):
     assert fields.difference_field(own, turned).filter("value != 0").count() == 4
 
 
+def test_orbital_and_density_fields_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    c, phi = rng.normal(size=(3, 4)), rng.normal(size=(8, 4))
+    own = spark.createDataFrame([(1, k, 2.0 * (k < 2), [float(v) for v in c[k]]) for k in range(3)], "mol_id bigint, k int, occ double, coef array<double>")
+    grid = spark.createDataFrame([(m, x, 0, 0, [float(v) for v in phi[x]]) for x in range(8) for m in (1, 2)], "mol_id bigint, ix int, iy int, iz int, phi array<double>")
+    for slabs in (1, 3, 8):
+        psi = {(r.k, r.ix): r.value for r in fields.orbital_field(own, grid, slabs).collect()}
+        assert psi == {(k, x): pytest.approx((phi @ c.T)[x, k]) for k in range(3) for x in range(8)}
+        rho = {r.ix: r.value for r in fields.density_field(own, grid, slabs).collect()}
+        assert rho == {x: pytest.approx(2 * ((phi @ c[:2].T)[x] ** 2).sum()) for x in range(8)}
+
+
+def test_trees_of_cubes_and_logs(spark, tmp_path):
+    for folder, name in (("a/idx_7_sim_1", "HOMO.cube"), ("b/c/idx_12", "LUMO.cube"), ("d", "skip.txt")):
+        (tmp_path / "cubes" / folder).mkdir(parents=True)
+        (tmp_path / "cubes" / folder / name).write_text("c\nc\n1 0 0 0\n1 1 0 0\n2 0 1 0\n2 0 0 1\n8 8.0 0 0 0\n 1.0 2.0 3.0\n 4.0\n")
+    rows = files.read_cubes(spark, f"file://{tmp_path}/cubes").collect()
+    assert {(r.mol_id, r.folder, r.field) for r in rows} == {(7, "idx_7_sim_1", "HOMO"), (12, "idx_12", "LUMO")}
+    assert {(r.ix, r.iy, r.iz): r.value for r in rows if r.mol_id == 7} == {(0, 0, 0): 1.0, (0, 0, 1): 2.0, (0, 1, 0): 3.0, (0, 1, 1): 4.0}
+    (tmp_path / "logs" / "x").mkdir(parents=True)
+    (tmp_path / "logs" / "x" / "1.log").write_text("The minimum is -2.5 at 1 2 3 Bohr")
+    row = files.read_esp_logs(spark, f"file://{tmp_path}/logs", "a.u.").first()
+    assert (row.path, row.low_value, row.low_z, row.high_value, row.unit) == ("x/1.log", -2.5, 3.0, None, "a.u.")
+
+
 def test_edges_within_cutoffs(spark, water):
     cut = spark.createDataFrame([(a, b, 1.2) for a in (1, 8) for b in (1, 8)], "z_i int, z_j int, cutoff double")
     assert {(r.mol_id, r.atom_i, r.atom_j) for r in structures.radius_edges(water, cut).collect()} == {(1, 0, 1), (1, 1, 0), (1, 0, 2), (1, 2, 0)}
@@ -207,4 +251,5 @@ def test_downcast_keeps_other_columns(spark):
 
 def test_fixture_sizes(spark):
     f = Fixtures(spark, "/root/testdata/sf0.001")
-    assert (f.atoms().select("mol_id").distinct().count(), f.atoms().count(), f.ao().count()) == (30, 116, 1245)
+    assert f.atoms().count() == f.table("lineitem").count()
+    assert f.ao().count() == f.sizes().agg(F.sum("n")).first()[0] == f.ham("pred").count()

@@ -36,5 +36,5 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() == 30
+    assert __spark_entry__.entry(spark).count() == 1473
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
