@@ -2,10 +2,11 @@
 
 Each permutation of a document's shingle hashes gives two signature values, its minimum
 and its maximum, so half as many permutations are evaluated for a signature of the same
-length.  Bands of the signature are buckets.  Links are decided on the full shingle
-sets: first between each bucket's smallest document and the others, then, in clusters
-that this leaves in several components, between the documents outside the largest
-component and the whole cluster, in blocks.
+length.  Bands of the signature are buckets.  Documents of equal sets are one class.  Links
+are decided on the full shingle sets: first between each bucket's smallest class and the
+others, then, in buckets that this leaves in several components, between the classes outside
+the bucket's largest component and the whole bucket, in blocks.  The work follows the sizes of
+buckets, whatever chains of buckets they form.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import HashFiles, hash_files, mix, ngram_hashes, odd_numbers, release, slices, split_words, staged, tune
 from orbweave.llm.graph import components
 
-#: Shingles in one block of the comparison inside clusters.
+#: Shingles in one block of the comparison inside buckets.
 BLOCK_SHINGLES = 1 << 18
 
 
@@ -48,45 +49,48 @@ def min_max_signature(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray
     return (mix(np.stack([low, high], 1).ravel()) >> np.uint64(48)).astype(np.uint16)
 
 
+#: A class of documents with equal shingle sets: 126 bits of two sums of the set's hashes.
+CLASS = pa.decimal128(38, 0)
+
+
+def class_numbers(sets: list[np.ndarray]) -> pa.Array:
+    halves = [(own.sum(dtype=np.uint64) >> np.uint64(2), np.bitwise_xor.reduce(mix(own))) if len(own) else (0, 0) for own in sets]
+    both = np.array([(low, high) for high, low in halves], np.uint64).reshape(-1, 2)
+    return pa.Array.from_buffers(CLASS, len(sets), [None, pa.py_buffer(both.tobytes())])
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, permutations: int) -> DataFrame:
-    """``id, n, a, b, sig``: a document's set size, two hashes of its set, its signature."""
+    """``id, n, node, sig``: a document's set size, its class, its signature."""
     kind = df.schema[id_col].dataType.simpleString()
     multipliers = odd_numbers(permutations, 11)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                n, a, b, sig = [], [], [], []
-                for own in shingle_sets(part.column(1), shingle):
-                    n.append(len(own))
-                    a.append(own.sum(dtype=np.uint64) if len(own) else np.uint64(0))
-                    b.append(np.bitwise_xor.reduce(mix(own)) if len(own) else np.uint64(0))
-                    sig.append(min_max_signature(own, multipliers).tobytes())
-                hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *hashes, pa.array(sig, pa.binary())], names=["id", "n", "a", "b", "sig"])
+                sets = list(shingle_sets(part.column(1), shingle))
+                sig = pa.array([min_max_signature(own, multipliers).tobytes() for own in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(own) for own in sets], pa.int64()), class_numbers(sets), sig], names=["id", "n", "node", "sig"])
         release()
 
-    return df.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, n bigint, a bigint, b bigint, sig binary")
+    return df.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, n bigint, node decimal(38,0), sig binary")
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, chosen: HashFiles) -> DataFrame:
-    """``id, hashes``: the whole shingle set, as sorted 64-bit numbers, of each document whose
+    """``node, hashes``: class and whole shingle set, as sorted 64-bit numbers, of each document whose
     id's xxhash64 is chosen.  The texts are not shuffled for that."""
-    kind = df.schema[id_col].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(chosen.has(batch.column(2).to_numpy().view(np.uint64))))
+            batch = batch.filter(pa.array(chosen.has(batch.column(1).to_numpy().view(np.uint64))))
             for part in slices(batch, text_col):
-                own = [s.tobytes() for s in shingle_sets(part.column(1), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["id", "hashes"])
+                own = list(shingle_sets(part.column(0), shingle))
+                yield pa.RecordBatch.from_arrays([class_numbers(own), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "hashes"])
 
-    return df.select(id_col, text_col, F.xxhash64(id_col).alias("hash of id")).mapInArrow(sets, f"id {kind}, hashes binary")
+    return df.select(text_col, F.xxhash64(id_col).alias("hash of id")).mapInArrow(sets, "node decimal(38,0), hashes binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs ``u, v``, those whose full sets are alike enough."""
-    kind = pairs.schema["u"].dataType.simpleString()
     left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("hu"))
     right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv"))
     joined = pairs.join(left, "u").join(right, "v")
@@ -101,11 +105,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("u", "v", "hu", "hv").mapInArrow(confirm, f"u {kind}, v {kind}")
+    return joined.select("u", "v", "hu", "hv").mapInArrow(confirm, "u decimal(38,0), v decimal(38,0)")
 
 
 def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between two blocks of a cluster, one for each document and foreign component."""
+    """Links between two blocks of a bucket, one for each pair of components."""
     found = []
     if len(left) and len(right):
         sets = [np.frombuffer(h, np.uint64) for h in left.hashes]
@@ -127,28 +131,27 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.Da
     return out.drop_duplicates(["cu", "cv"])[["u", "v"]]
 
 
-def _cluster_links(star: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that the stars of the buckets left out: documents outside the largest
-    component of their cluster against all of the cluster, block by block."""
-    kind = star.schema["u"].dataType.simpleString()
-    cluster = components(star, "clusters").withColumnRenamed("label", "cluster")
-    cluster = cluster.union(cluster.select(F.col("cluster").alias("node"), "cluster").distinct())
-    comp = components(links, "linked").withColumnRenamed("label", "comp")
-    members = cluster.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    members = staged(members.join(sets.select("node", (F.octet_length("hashes") / 8).cast("long").alias("size")), "node"), "members")
-    by_comp = members.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    by_cluster = by_comp.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max_by("size", F.struct("n", "comp")).alias("main_size"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-    parts = lambda size: (F.floor(F.col(size) / BLOCK_SHINGLES) + 1).cast("int")
-    by_cluster = by_cluster.select("cluster", "main", parts("size").alias("all_parts"), (F.floor((F.col("size") - F.col("main_size")) / BLOCK_SHINGLES) + 1).cast("int").alias("parts"))
-    members = members.join(by_cluster, "cluster").join(sets, "node")
+def _bucket_links(buckets: DataFrame, hubs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that the hubs of the buckets left out: classes outside the largest component of
+    their bucket against all of the bucket, block by block.  A hub settles a bucket of two;
+    of buckets with the same members one is enough."""
+    larger = hubs.filter("c > 2").groupBy("u", "c", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
+    comp = components(links, "linked")
+    members = buckets.join(larger, "bucket", "left_semi").join(comp, "node", "left")
+    members = staged(members.select("bucket", "node", "n", F.xxhash64(F.coalesce("label", "node")).alias("comp")), "members")
+    by_comp = members.groupBy("bucket", "comp").agg(F.count("*").alias("many"), F.sum("n").alias("size"))
+    largest = F.struct("many", "comp")
+    of_bucket = by_comp.groupBy("bucket").agg(F.max_by("comp", largest).alias("main"), F.max_by("size", largest).alias("main_size"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
+    parts = lambda size: (F.floor(size / BLOCK_SHINGLES) + 1).cast("int")
+    of_bucket = staged(of_bucket.select("bucket", "main", parts(F.col("size")).alias("all_parts"), parts(F.col("size") - F.col("main_size")).alias("parts")), "buckets")  # a table of its own, so that a bucket of many members can be split in the join
+    members = members.join(of_bucket, "bucket").join(sets, "node")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    minor = members.filter("comp != main").select("cluster", "node", "comp", "hashes", part("parts").alias("block"), each("all_parts").alias("part"))
-    every = members.select("cluster", "node", "comp", "hashes", part("all_parts").alias("part"), each("parts").alias("block"))
+    minor = members.filter("comp != main").select("bucket", "node", "comp", "hashes", part("parts").alias("block"), each("all_parts").alias("part"))
+    every = members.select("bucket", "node", "comp", "hashes", part("all_parts").alias("part"), each("parts").alias("block"))
     every = every.toDF(*every.columns)  # attributes of its own for the cogroup
-    keys = ["cluster", "block", "part"]
-    pairs = minor.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(lambda x, y: _block_links(x, y, percent), f"u {kind}, v {kind}")
-    return pairs
+    keys = ["bucket", "block", "part"]
+    return minor.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(lambda x, y: _block_links(x, y, percent), "u decimal(38,0), v decimal(38,0)")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, permutations: int = 64, rows: int = 5) -> DataFrame:
@@ -158,8 +161,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the size of the shingle set, the smallest id that links reach, and whether that is the
     row's own id.  Null and empty texts, and texts without words, have an empty set, are
     linked with nothing and kept; so are rows with a null id, whose component is null.
-    Ids are taken to be unique; of rows that repeat an id each has its own set.
-    Other columns are not read; an empty table gives no rows.
+    Rows that repeat an id are documents of their own, each linked by its own text, so that
+    they can be in several components.  Ids may have any type that has an order.  Other
+    columns are not read; an empty table gives no rows.
 
     With the defaults, a pair at the threshold shares a bucket of 25 bands of 5 values with
     a probability over 0.9998 at 0.8 and 0.9999995 at 0.85; every link that is made is
@@ -168,20 +172,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tune(df.sparkSession)
     bands = 2 * permutations // rows
     all_rows = staged(sketches(df, id_col, text_col, shingle, permutations), "sketches")
-    classes = staged(all_rows.filter("n > 0 AND id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "classes")
+    classes = staged(all_rows.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     band = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")
-    buckets = classes.select("node", "sig", band).select("node", F.xxhash64("band", F.expr(f"substring(sig, band * {2 * rows} + 1, {2 * rows})")).alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("c")).filter("c > 1").select("bucket", "u")
+    buckets = classes.select("node", "n", "sig", band).select("node", "n", F.xxhash64("band", F.expr(f"substring(sig, band * {2 * rows} + 1, {2 * rows})")).alias("bucket"))
+    hubs = staged(buckets.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("c > 1"), "hubs")
     star = staged(buckets.join(hubs, "bucket").filter("node != u").select("u", F.col("node").alias("v")).distinct(), "star")
     nodes = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
-    chosen = hash_files(nodes.select(F.xxhash64("node").alias("h")), "nodes")
+    chosen = hash_files(classes.join(nodes, "node", "left_semi").select(F.xxhash64("id").alias("h")), "nodes")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = full_sets(docs, "id", "text", shingle, chosen).withColumnRenamed("id", "node")
+    sets = full_sets(docs, "id", "text", shingle, chosen)
     sets = staged(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
     links = staged(_confirmed(star, sets, percent), "links")
-    links = staged(links.union(_cluster_links(star, links, sets, percent)), "all-links")
-    label = components(links, "labels").select("node", F.col("label").alias("component_id"))
-    of_set = classes.select("n", "a", "b", "node").join(label, "node", "left").select("n", "a", "b", F.coalesce("component_id", "node").alias("component_id"))
-    out = all_rows.select("id", "n", "a", "b").join(of_set, ["n", "a", "b"], "left")
-    own = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    links = staged(links.union(_bucket_links(buckets, hubs, links, sets, percent)), "all-links")
+    label = components(links, "labels")
+    label = label.union(label.select(F.col("label").alias("node"), "label").distinct())
+    of_class = staged(label.join(classes.select("node", "id"), "node"), "labelled")
+    smallest = staged(of_class.groupBy("label").agg(F.min("id").alias("component_id")), "components")
+    of_class = of_class.join(smallest, "label").select("node", "component_id")
+    out = all_rows.select("id", "n", "node").join(classes.select("node", F.col("id").alias("least")).join(of_class, "node", "left"), "node", "left")
+    own = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component_id", "least"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))

@@ -64,6 +64,35 @@ def test_near_duplicates_on_odd_and_empty_tables(odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def test_rows_of_one_id_are_linked_by_their_own_texts(spark):
+    p, q = [f"p{i}" for i in range(60)], [f"q{i}" for i in range(60)]
+    rows = [(5, p), (5, q), (7, [*p[:-1], "x"]), (9, [*q[:-1], "y"])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()} == {(5, 5, True), (7, 5, False), (9, 5, False)}
+    names = spark.createDataFrame([(f"n{i}", " ".join(w)) for i, w in rows], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(names).collect()} == {("n5", "n5"), ("n7", "n5"), ("n9", "n5")}
+
+
+def test_buckets_that_chain_are_compared_one_by_one(spark, monkeypatch):
+    """Texts on a ring, each alike enough to its neighbours to share buckets with them but not to be
+    linked: what is compared grows with the texts, not with their square."""
+    n, step, size = 1500, 8, 40
+    ring = [f"w{i}" for i in range(n * step)]
+    rows = [(i, " ".join((ring * 2)[i * step : i * step + size])) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    compared = []
+    real = minhash._bucket_links
+
+    def counted(buckets, hubs, *rest):
+        compared.append(hubs.filter("c > 2").selectExpr("sum(c * c) AS pairs").first()["pairs"] or 0)
+        return real(buckets, hubs, *rest)
+
+    monkeypatch.setattr(minhash, "_bucket_links", counted)
+    found = minhash.near_duplicates(docs, shingle=3, percent=85).collect()
+    assert all(r.kept for r in found) and len(found) == n
+    assert compared[0] < 20 * n
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
