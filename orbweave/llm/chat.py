@@ -59,24 +59,26 @@ def reply_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     ``branches`` best paths of each tree (None: all), ranked by the sum of scores, of equal
     sums by the larger leaf.  ``node`` is unique over all trees; a parent that is null or
     unknown makes a root; a null score counts as 0; nodes that reply to each other in a
-    circle have no leaf and no path.  The number of rounds is the logarithm of the longest
-    path."""
+    circle, and those that reply to them, have no root and no path.  The number of rounds is
+    the logarithm of the longest path; where there are circles, that of the number of nodes,
+    over those alone that lead into one."""
     nodes = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     pointers = nodes.select("node", F.col("parent").alias("up")).join(nodes.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up")
     parents = pointers.select(F.col("up").alias("node")).distinct()
-    paths = nodes.join(parents, "node", "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
-    reach = 1
+    levels, reach, n_nodes = [], 1, nodes.count()
     while True:
         pointers = staged(pointers, "pointers")
-        if pointers.isEmpty():
-            break
-        further = paths.join(pointers, "node").select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist"))
-        paths = staged(paths.union(further), "paths")
+        if reach > n_nodes or pointers.isEmpty():
+            break  # what still points after as many steps as there are nodes has no root
+        levels.append((reach, pointers))
         other = pointers.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        pointers = pointers.join(other, "up").filter("next != node").select("node", F.col("next").alias("up"))
+        pointers = pointers.join(other, "up").select("node", F.col("next").alias("up"))
         reach *= 2
-        if reach > 1 << 40:
-            raise ValueError("messages reply to each other in a circle")
+    leaves = nodes.join(parents, "node", "left_anti").join(pointers.select("node"), "node", "left_anti")
+    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
+    for reach, pointers in levels:
+        further = paths.join(pointers, "node").select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist"))
+        paths = staged(paths.union(further), "paths")
     scored = paths.join(nodes.select("node", "score"), "node").groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
     if branches == 1:
         best = scored.groupBy("tree").agg(F.max(F.struct("score", "leaf")).alias("best")).select("tree", "best.leaf", F.lit(1).alias("rank"))

@@ -12,8 +12,10 @@ def test_template_round_trip():
 
 
 def test_reply_trees_rank_branches(spark):
-    nodes = [("t", "a", None, 1.0), ("t", "b", "a", 1.0), ("t", "c", "a", 5.0), ("t", "d", "b", 9.0), ("t", "e", "c", None), ("s", "x", "gone", 0.0), ("s", "p", "q", 0.0), ("s", "q", "p", 0.0)]
-    nodes = spark.createDataFrame([n for n in nodes if n[1] not in "pq"], "tree string, node string, parent string, score double")
+    """Also with a circle, a message that replies into it, and one that replies to itself."""
+    nodes = [("t", "a", None, 1.0), ("t", "b", "a", 1.0), ("t", "c", "a", 5.0), ("t", "d", "b", 9.0), ("t", "e", "c", None), ("s", "x", "gone", 0.0)]
+    nodes += [("s", "p", "q", 0.0), ("s", "q", "r", 0.0), ("s", "r", "p", 0.0), ("s", "into", "p", 9.0), ("s", "self", "self", 9.0)]
+    nodes = spark.createDataFrame([(*n, 1, "x") for n in nodes], "tree string, node string, parent string, score double, leaf int, up string")
     every = chat.reply_paths(nodes, branches=None).collect()
     path = lambda leaf: [r.node for r in sorted(every, key=lambda r: -r.dist) if r.leaf == leaf]
     assert path("d") == ["a", "b", "d"] and path("e") == ["a", "c", "e"] and path("x") == ["x"]
@@ -21,6 +23,13 @@ def test_reply_trees_rank_branches(spark):
     assert {r.leaf for r in chat.reply_paths(nodes).collect()} == {"d", "x"}
 
 
+def test_very_long_and_clashing_conversations(spark):
+    rows = [(1, 0, "user", "x" * 300_000, 1, "a"), (1, 1, "assistant", "<|end|>" * 40_000, 2, "b")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, node int, tree string")
+    row = chat.conversation_digest(chat.format_conversations(turns)).first()
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (2, 280_000, hashlib.sha256(rows[1][3].encode()).hexdigest())
+
+
 def test_conversations_digest(spark):
     rows = [(1, k, "user" if k % 2 else "assistant", f"text {k}") for k in range(70)] + [(2, 0, None, None), (2, 0, "assistant", "b"), (None, 1, "user", "z"), (3, 1, "assistant", "")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
