@@ -176,18 +176,23 @@ def release() -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers get."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bounds the Arrow batches that Python workers get, where the session sets no bound of
+    its own.  Spark reads the setting when a result is asked for, so it stays set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see.
+    """A folder that the driver and all executors see, which spark.checkpoint.dir names.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset, as in local
-    tests, a temporary folder of this machine takes its place.
-    """
+    Only a local session, as in tests, may leave that unset and gets a temporary folder of this
+    machine; on a cluster it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="orbweave-")
         shared_dir.own = base
     return base.rstrip("/") + "/orbweave"
