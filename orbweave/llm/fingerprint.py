@@ -8,10 +8,12 @@ number of distinct shingles.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,6 @@ from orbweave.llm.common import ngram_hashes, slices, split_words, tune
 
 K = 128
 SHINGLE = 5
-#: Most ranges that documents are ordered in; each range is one task's sequence.
-MAX_RANGES = 2000
 
 
 def sketch_texts(texts: pa.Array, k: int = K, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -75,34 +75,42 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     return min(1.0, alike * both / max(distinct_shingles(a, k), 1e-9)) if len(a) else 1.0
 
 
-def _range_of(column, bounds: list, low: int = 0):
-    """Number of bounds up to the column's value, as a binary search of conditions."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(column < bounds[mid], _range_of(column, bounds[:mid], low)).otherwise(_range_of(column, bounds[mid + 1 :], low + mid + 1))
+def ranges_of(df: DataFrame, column: str) -> tuple[list, bool]:
+    """The smallest value of each of as many ranges of a column as there are shuffle partitions,
+    found by Spark for any type with an order, and whether the column has nulls."""
+    values = df.select(F.col(column).alias("value"))
+    dealt = values.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("value").asc_nulls_first())
+    found = dealt.groupBy(F.spark_partition_id()).agg(F.min("value").alias("low"), F.max(F.col("value").isNull()).alias("nulls")).collect()
+    return sorted(r["low"] for r in found if r["low"] is not None), any(r["nulls"] for r in found)
 
 
 def in_sequence(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, text, range, tail``: rows in ascending order of id within ranges, each range
-    in one partition and closed by a copy of the next range's first row (``tail`` 1); the
+    """``id, text, range, tail``: rows in ascending order of id within ranges, each range a
+    partition of its own and closed by a copy of the next range's first row (``tail`` 1); the
     last range is closed by the very first row.  Rows of one id are ordered by their
-    text's hash, a null id comes first.  Only one bound and one id for each range pass
-    through the driver; the texts are shuffled once."""
+    text's hash, a null id comes first.  Only one id for each range passes through the
+    driver; the texts are shuffled once."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(docs.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    kind = docs.schema["id"].dataType
-    bounds = [int(b) for b in bounds] if kind.simpleString() != "double" else bounds
-    place = F.when(F.col("id").isNull(), 0).otherwise(_range_of(F.col("id"), bounds)).alias("range")
-    firsts = sorted((r["range"], r["first"]["id"]) for r in docs.select("id", place).groupBy("range").agg(F.min(F.struct("id")).alias("first")).collect())
-    ranges = [r for r, _ in firsts]
-    rows = [(r, first, before) for (r, first), before in zip(firsts, ranges[-1:] + ranges[:-1], strict=True)]
-    firsts_df = spark.createDataFrame(rows, f"range int, first {kind.simpleString()}, before int")
-    copies = F.when(F.col("id").eqNullSafe(F.col("first")), F.array(F.struct(F.col("range"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("range"), F.lit(1).alias("tail")))).otherwise(F.array(F.struct(F.col("range"), F.lit(0).alias("tail"))))
-    dealt = docs.select("id", "text", place).join(F.broadcast(firsts_df), "range").select("id", "text", F.explode(copies).alias("to")).select("id", "text", "to.range", "to.tail")
-    return dealt.repartition(n, "range").sortWithinPartitions("range", "tail", "id", F.xxhash64("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    lows, nulls = ranges_of(docs, "id")
+    bounds, n = lows[1:], max(1, len(lows))
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        missing = ids.isna().to_numpy()
+        out = np.zeros(len(ids), np.int32)
+        out[~missing] = [bisect.bisect_right(bounds, x) for x in ids[~missing].astype(object)] if not whole else np.searchsorted(np.array(bounds, np.int64), ids[~missing].astype(np.int64), "right")
+        return pd.Series(out)
+
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    firsts = [None if nulls else low for low in lows[:1]] + bounds if lows else [None]
+    firsts_df = spark.createDataFrame([(k, first, (k - 1) % n) for k, first in enumerate(firsts)], f"range int, first {kind}, before int")
+    marked = docs.withColumn("range", range_of("id"))
+    own, tail = F.struct(F.col("range"), F.lit(0).alias("tail")), F.struct(F.col("before").alias("range"), F.lit(1).alias("tail"))
+    copies = F.when(F.col("id").eqNullSafe(F.col("first")), F.array(own, tail)).otherwise(F.array(own))
+    dealt = marked.join(F.broadcast(firsts_df), "range").select("id", "text", F.explode(copies).alias("to")).select("id", "text", "to.range", "to.tail")
+    return dealt.repartitionById(n, "range").sortWithinPartitions("range", "tail", "id", F.xxhash64("text"))
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = K, shingle: int = SHINGLE) -> DataFrame:
@@ -115,8 +123,8 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to the next document.  A null text counts as empty; empty texts and texts without words
     have an empty fingerprint, alike (1.0) to another empty one only.  Equal texts have
     equal fingerprints.  Rows that repeat an id follow each other in the order of their
-    text's hash; a null id comes first.  A single row is its own next one.  Other columns
-    are not read; an empty table gives no rows.
+    text's hash; a null id comes first.  Ids may have any type that has an order.  A single row
+    is its own next one.  Other columns are not read; an empty table gives no rows.
     """
     tune(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
