@@ -144,6 +144,14 @@ def ngram_hashes(words: np.ndarray, n: int, seed: int = 2) -> np.ndarray:
     return mix(total)
 
 
+def hashes_at(words: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """What ngram_hashes() has at some places."""
+    total = np.zeros(len(at), _U)
+    for i, m in enumerate(odd_numbers(n, seed)):
+        total += words[at + i] * m
+    return mix(total)
+
+
 def within(words: Words, n: int) -> np.ndarray:
     """True for each position at which n words of one text start; as long as ngram_hashes()."""
     size = max(0, len(words.hashes) - n + 1)

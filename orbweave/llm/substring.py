@@ -6,8 +6,9 @@ anchors.  The index holds, in blocks of sorted arrays, the first place of each a
 occurs twice.  Each document is parsed against every block: neighbouring anchors whose
 first places continue one another form a factor, a copy of earlier text, and all windows in a
 factor of a window's length or more repeat.  The windows that cross factor boundaries are
-checked one by one against the first places of such windows.  The result is exact: a window
-that is the first of its kind is in no factor, so the boundary check finds it.
+checked one by one against the first places of such windows.  The result is exact, up to word
+sequences that agree in two 64-bit hashes: a window that is the first of its kind is in no
+factor, so the boundary check finds it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Words, fresh_dir, mapped, mix, ngram_hashes, release, runs, slices, split_words, tune, within, write_arrays
+from orbweave.llm.common import Words, fresh_dir, hashes_at, mapped, mix, ngram_hashes, release, runs, slices, split_words, tune, within, write_arrays
 
 #: Places that a task gathers before it sends their first ones on.
 FLUSH_PLACES = 2_000_000
@@ -41,10 +42,21 @@ def sliding(op, values: np.ndarray, size: int) -> np.ndarray:
     return op(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+@dataclass
+class Keys:
+    """Word sequences by two independent 64-bit hashes; both have to agree."""
+
+    one: np.ndarray
+    two: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.one)
+
+
 @dataclass
 class Index:
     """First place (document, word) of each key that occurs at least twice, in blocks by
-    the key's top bits."""
+    the top bits of the key's first hash."""
 
     bits: int
     files: dict[str, dict[int, tuple[str, str, int]]] = field(default_factory=dict)
@@ -53,41 +65,53 @@ class Index:
         spec = self.files.get(name, {}).get(b)
         return mapped(*spec) if spec else np.zeros(0, np.int64)
 
-    def first(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def first(self, keys: Keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each key occurs twice, and its first document and word."""
-        some, inverse = np.unique(keys, return_inverse=True)
-        found, doc, word = np.zeros(len(some), bool), np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-        for b, low, high in runs((some >> np.uint64(64 - self.bits)).astype(np.int64)):
-            known = self.block("key", b)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, some[low:high]), len(known) - 1)
-                found[low:high] = known[at] == some[low:high]
-                doc[low:high], word[low:high] = self.block("doc", b)[at], self.block("word", b)[at]
-        return found[inverse], doc[inverse], word[inverse]
-
-
-def _firsts(keys, docs, words, many) -> tuple[np.ndarray, ...]:
+        order = np.argsort(keys.one, kind="stable")
+        one, two = keys.one[order], keys.two[order]
+        found, doc, word = np.zeros(len(one), bool), np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        for b, low, high in runs((one >> np.uint64(64 - self.bits)).astype(np.int64)):
+            known, other = self.block("key", b), self.block("check", b)
+            if not len(known):
+                continue
+            at = np.minimum(np.searchsorted(known, one[low:high]), len(known) - 1)
+            some = np.flatnonzero(known[at] == one[low:high])
+            while len(some):  # once, but where two keys share their first hash
+                hit = other[at[some]] == two[low + some]
+                place = low + some[hit]
+                found[place], doc[place], word[place] = True, self.block("doc", b)[at[some[hit]]], self.block("word", b)[at[some[hit]]]
+                some = some[~hit]
+                at[some] += 1
+                some = some[(at[some] < len(known)) & (known[np.minimum(at[some], len(known) - 1)] == one[low + some])]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return found[back], doc[back], word[back]
+
+
+def _firsts(keys, checks, docs, words, many) -> tuple[np.ndarray, ...]:
     """Each key once, with its first place and how often it occurs (2 stands for more)."""
-    order = np.lexsort((words, docs, keys))
-    keys, docs, words, many = keys[order], docs[order], words[order], many[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    order = np.lexsort((words, docs, checks, keys))
+    keys, checks, docs, words, many = keys[order], checks[order], docs[order], words[order], many[order]
+    start = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])])) if len(keys) else np.zeros(0, np.int64)
     total = np.minimum(np.add.reduceat(many, start), 2) if len(keys) else many
-    return keys[start], docs[start], words[start], total
+    return keys[start], checks[start], docs[start], words[start], total
 
 
-_PLACES = "bucket int, keys binary, docs binary, words binary, many binary"
+_COLUMNS = {"keys": np.uint64, "checks": np.uint64, "docs": np.int64, "words": np.uint32, "many": np.uint8}
+_PLACES = "bucket int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 _SUMMARY = "name string, bucket int, uri string, dtype string, n bigint"
 
 
-def _place_rows(gathered: list[tuple[np.ndarray, ...]], bits: int) -> tuple[pa.RecordBatch, int]:
-    keys, docs, words, many = _firsts(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
-    rows = [(b, keys[i:j].tobytes(), docs[i:j].tobytes(), words[i:j].astype(np.uint32).tobytes(), many[i:j].astype(np.uint8).tobytes()) for b, i, j in runs((keys >> np.uint64(64 - bits)).astype(np.int64))]
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "docs", "words", "many"]), len(keys)
+def _place_rows(gathered: list[tuple[np.ndarray, ...]], bits: int) -> pa.RecordBatch:
+    own = _firsts(*(np.concatenate(x) for x in zip(*gathered, strict=True)))
+    own = [x.astype(kind, copy=False) for x, kind in zip(own, _COLUMNS.values(), strict=True)]
+    rows = [(b, *(x[i:j].tobytes() for x in own)) for b, i, j in runs((own[0] >> np.uint64(64 - bits)).astype(np.int64))]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", *_COLUMNS])
 
 
 def build_index(docs: DataFrame, places, folder: str) -> Index:
-    """Index of what ``places(ids, texts)`` yields, a tuple of keys, documents and words."""
+    """Index of what ``places(ids, texts)`` yields: keys, documents and words."""
     spark = docs.sparkSession
     bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
@@ -96,21 +120,21 @@ def build_index(docs: DataFrame, places, folder: str) -> Index:
         for batch in batches:
             for part in slices(batch, "text"):
                 keys, ids, words = places(part.column(0).fill_null(_NULL_ID).to_numpy(), part.column(1))
-                held.append((keys, ids, words, np.ones(len(keys), np.int64)))
+                held.append((keys.one, keys.two, ids, words, np.ones(len(keys), np.int64)))
                 size += len(keys)
                 if size > FLUSH_PLACES:
-                    yield _place_rows(held, bits)[0]
+                    yield _place_rows(held, bits)
                     held, size = [], 0
         if held:
-            yield _place_rows(held, bits)[0]
+            yield _place_rows(held, bits)
             held = []
         release()
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        read = lambda column, dtype: np.concatenate([np.frombuffer(x, dtype) for x in rows[column]])
-        keys, ids, words, many = _firsts(read("keys", np.uint64), read("docs", np.int64), read("words", np.uint32), read("many", np.uint8).astype(np.int64))
+        own = [np.concatenate([np.frombuffer(x, kind) for x in rows[column]]) for column, kind in _COLUMNS.items()]
+        keys, checks, ids, words, many = _firsts(*own[:4], own[4].astype(np.int64))
         twice = many > 1
-        files = write_arrays(folder, {"key": keys[twice], "doc": ids[twice], "word": words[twice]})
+        files = write_arrays(folder, {"key": keys[twice], "check": checks[twice], "doc": ids[twice], "word": words[twice]})
         return pd.DataFrame([(name, int(rows.bucket.iloc[0]), uri, dtype, n) for name, uri, dtype, n in files], columns=["name", "bucket", "uri", "dtype", "n"])
 
     index = Index(bits)
@@ -126,7 +150,7 @@ class Parse:
     words: Words
     copied: np.ndarray  #: for each place in the word sequence, whether a window in a factor starts there
     check: np.ndarray  #: places of the windows to be checked
-    keys: np.ndarray  #: hashes of those windows
+    keys: Keys  #: those windows
     doc: np.ndarray  #: text of each place
     inside: np.ndarray  #: number of the place in its text
 
@@ -153,19 +177,19 @@ class Parser:
         start = np.flatnonzero(windows)
         return at, mix(grams[at] + np.uint64(1)), start, mix(low[start] + np.uint64(1))
 
-    def places(self, ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, ids: np.ndarray, texts: pa.Array) -> tuple[Keys, np.ndarray, np.ndarray]:
         """Every anchor: key, document and word."""
         words = split_words(texts)
         at, keys, _, _ = self.anchors(words)
         doc = words.doc_of_word()[at]
-        return keys, ids[doc], at - words.offs[doc]
+        return Keys(keys, hashes_at(words.hashes, at, self.anchor, 7)), ids[doc], at - words.offs[doc]
 
     def parse(self, ids: np.ndarray, texts: pa.Array, index: Index) -> Parse:
         words = split_words(texts)
         doc = words.doc_of_word()
         inside = np.arange(len(doc)) - words.offs[doc]
         at, keys, start, own_key = self.anchors(words)
-        twice, first_doc, first_word = index.first(keys)
+        twice, first_doc, first_word = index.first(Keys(keys, hashes_at(words.hashes, at, self.anchor, 7)))
         copy = twice & ~((first_doc == ids[doc[at]]) & (first_word == inside[at]))
         # A factor goes on while the next anchor's first place is as far behind.
         onward = np.zeros(len(at), bool)
@@ -181,11 +205,10 @@ class Parser:
         copied = np.cumsum(step[:-1]) > 0
         shared = keys[twice]
         check = start[~copied[start] & np.isin(own_key, shared)] if len(start) else start
-        hashes = ngram_hashes(words.hashes, self.size, 6)
-        return Parse(words, copied, check, hashes[check] if len(check) else hashes[:0], doc, inside)
+        return Parse(words, copied, check, Keys(hashes_at(words.hashes, check, self.size, 6), hashes_at(words.hashes, check, self.size, 8)), doc, inside)
 
     def open_windows(self, index: Index):
-        def places(ids: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def places(ids: np.ndarray, texts: pa.Array) -> tuple[Keys, np.ndarray, np.ndarray]:
             parse = self.parse(ids, texts, index)
             return parse.keys, ids[parse.doc[parse.check]], parse.inside[parse.check]
 

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from orbweave.llm import fingerprint, minhash, substring
 from orbweave.llm.common import table
@@ -135,6 +136,33 @@ def test_substrings_of_repetitive_texts(spark):
     assert cut[0] == rows[0][1] or digest[0][1]
 
 
+def test_sequences_that_share_one_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash of three bits, the second one decides."""
+    real = substring.Parser.anchors
+
+    def coarse(self, words):
+        at, keys, start, own = real(self, words)
+        few = np.uint64(0xE000000000000000)
+        return at, keys & few, start, own & few
+
+    rng = random.Random(9)
+    passages = [" ".join(f"p{k}x{i}" for i in range(9)) for k in range(12)]
+    rows = [(i, f"a{i} b{i} {rng.choice(passages)} c{i} {rng.choice(passages)} d{i}") for i in range(30)]
+    index_of = substring.Parser(5)
+    monkeypatch.setattr(substring.Parser, "anchors", coarse)
+    texts = pa.array([t for _, t in rows])
+    keys, ids, words = index_of.places(np.arange(30), texts)
+    firsts = substring._firsts(keys.one, keys.two, ids, words, np.ones(len(keys), np.int64))
+    assert len(set(firsts[0].tolist())) <= 8 < len(set(zip(firsts[0].tolist(), firsts[1].tolist(), strict=True))) == len(firsts[0])
+    twice = firsts[4] > 1
+    index = substring.Index(1)
+    monkeypatch.setattr(index, "block", lambda name, b: dict(zip(("key", "check", "doc", "word"), (x[twice & (firsts[0] >> np.uint64(63) == b)] for x in firsts[:4]), strict=True))[name])
+    found, doc, word = index.first(keys)
+    place = {(a, b): (c, d) for a, b, c, d, t in zip(*(x.tolist() for x in firsts[:4]), twice.tolist(), strict=True) if t}
+    for a, b, f, d, w in zip(keys.one.tolist(), keys.two.tolist(), found.tolist(), doc.tolist(), word.tolist(), strict=True):
+        assert f == ((a, b) in place) and (not f or place[a, b] == (d, w))
+
+
 def test_substrings_on_odd_and_empty_tables(odd_docs, no_docs):
     assert substring.duplicate_digest(odd_docs, min_words=20).count() == odd_docs.count()
     assert substring.without_duplicates(odd_docs).columns == odd_docs.columns
@@ -151,6 +179,22 @@ def test_sketches_merge_and_estimate():
     assert (fingerprint.from_string(fingerprint.to_string(a)) == a).all()
 
 
+def test_resemblance_is_near_the_exact_one(spark, sf_dir):
+    """Against the whole shingle sets, made without the module: on average within 0.03, for
+    sets that fit into a sketch exactly."""
+    texts = [r.text for r in table(spark, sf_dir, "documents").select("text").collect()]
+    pairs = [(t, t[: len(t) * k // 8] + u[: len(u) // 3]) for k, (t, u) in enumerate(zip(texts, texts[1:], strict=False), 1) for k in (k % 8 + 1,)]
+    off = []
+    for a, b in pairs:
+        x, y = shingles(a, 5), shingles(b, 5)
+        exact = len(x & y) / len(x | y) if x and y else float(not x and not y)
+        found = fingerprint.resemblance(*fingerprint.sketch_texts(pa.array([a, b])))
+        off.append(abs(found - exact))
+        if len(x | y) <= fingerprint.K:
+            assert found == pytest.approx(exact)
+    assert np.mean(off) < 0.03 and max(off) < 0.2
+
+
 def test_fingerprints_of_edits(spark, sf_dir, odd_docs, no_docs):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     texts = dict(docs.collect())
@@ -165,6 +209,10 @@ def test_fingerprints_of_edits(spark, sf_dir, odd_docs, no_docs):
         assert (r.fingerprint, r.edited_fingerprint) == (fingerprint.to_string(a), fingerprint.to_string(b))
         assert (r.near_edited, r.near_next) == (fingerprint.resemblance(a, b), fingerprint.resemblance(a, c))
     assert len(rows) == len(ids)
+    names = docs.selectExpr("concat('n', lpad(doc_id, 9, '0')) AS doc_id", "text").union(spark.createDataFrame([(None, "no id")], "doc_id string, text string"))
+    named = {r.doc_id: r for r in fingerprint.fingerprint_edits(names).collect()}
+    assert all(named[f"n{i:09d}"].edited_sha256 == rows[i].edited_sha256 for i in ids[:-1]) and len(named) == len(ids) + 1
+    assert named[None].near_next == fingerprint.resemblance(*fingerprint.sketch_texts(pa.array(["no id", texts[ids[0]]])))
     odd = fingerprint.fingerprint_edits(odd_docs).collect()
     assert len(odd) == odd_docs.count()
     assert len({r.fingerprint for r in odd if r.doc_id == 8}) == 1

@@ -3,6 +3,7 @@ import math
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -170,6 +171,102 @@ def test_decontamination_finds_items_that_many_documents_hold(spark, copies):
     assert found == expected
 
 
+def exhaustive(docs, items, lcs=0.6, answer=0.5):
+    """Every passage of every document against every item, on the texts."""
+    found = set()
+    words = decontaminate.terms_of(pa.array([t for _, t in docs], pa.string()))
+    asked = decontaminate.terms_of(pa.array([t for _, t in items], pa.string()))
+    for d, (doc, _) in enumerate(docs):
+        own = words.hashes[words.offs[d] : words.offs[d + 1]]
+        for k, (item, _) in enumerate(items):
+            q = asked.hashes[asked.offs[k] : asked.offs[k + 1]]
+            said = q[-max(3, len(q) // 4) :]
+            for at in range(0, max(1, len(own) - 16), 16):
+                near = own[max(0, at - len(q)) : at + 32 + len(q)]
+                if np.isin(q, near).mean() >= lcs and np.isin(said, near).mean() >= answer and decontaminate.longest_common_subsequence(q, near) / len(q) >= lcs:
+                    found.add((doc, item))
+                    break
+    return found
+
+
+def test_decontamination_equals_an_exhaustive_search(spark, sf_dir):
+    docs = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).collect()}
+    assert found == exhaustive(docs, items)
+
+
+def planted(kind, own, other, rng):
+    """An item as a document may hold it; ``other`` gives each word's synonym."""
+    if kind == "dropped":
+        return [w for w in own if rng.random() > 0.15]
+    if kind == "synonyms":
+        return [other[w] if rng.random() < 0.25 else w for w in own]
+    if kind == "reordered":  # two neighbours in six change places
+        return [w for k in range(0, len(own), 6) for w in (own[k : k + 6] if len(own) < k + 6 else [own[k + 1], own[k], *own[k + 2 : k + 6]])]
+    return list(own)
+
+
+def test_recall_of_plants_of_each_kind_by_both_searches_and_by_the_latent_one_alone(spark, monkeypatch):
+    rng = random.Random(12)
+    vocab = [f"t{i}" for i in range(1500)]
+    other = {w: f"s{w}" for w in vocab}
+    either = lambda n: [w if rng.random() < 0.6 else other[w] for w in rng.choices(vocab, k=n)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(20, 45)))) for k in range(120)]
+    kinds, rows, expected = ("literal", "dropped", "reordered", "synonyms"), [], {}
+    for i in range(240):
+        words = either(rng.randint(40, 200))
+        if i % 2:
+            kind, k = kinds[i // 2 % 4], i // 2 % 120
+            at = rng.randrange(len(words))
+            words[at:at] = planted(kind, items[k][1].split(), other, rng)
+            expected.setdefault(kind, set()).add((i, k))
+        rows.append((i, " ".join(words)))
+    docs, asked = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    every = exhaustive(rows, items)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, asked).collect()}
+    assert found <= every and len(found) >= 0.99 * len(every)
+    for kind, own in expected.items():
+        assert len(found & own) >= 0.9 * len(own & every) and len(own & every) >= 0.8 * len(own), kind  # the others lost their answers
+    search = decontaminate.Search(decontaminate._items([{"id": i, "text": t, "answer": ""} for i, t in items], 8), np.ones(len({w for _, t in items for w in t.split()}), np.float32))
+    decontaminate.fit_latent(docs, search)
+    assert search.basis.shape[1] == 60 < len(items)  # half the items
+    hits = {(i, k) for i, t in rows for _, k, _ in _latent_only(search, t)}
+    for kind, own in expected.items():
+        assert len(hits & own) >= 0.75 * len(own & every), kind
+
+
+def _latent_only(search, text):
+    words = decontaminate.terms_of(pa.array([text]))
+    search.literal = lambda h, at, term: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return search.confirmed(words)
+
+
+def test_latent_basis_equals_the_singular_vectors(spark):
+    """The span holds as much of passages and items as that of numpy's decomposition."""
+    rng = random.Random(3)
+    topics = [[f"t{k}x{i}" for i in range(30)] for k in range(6)]
+    items = [(k, " ".join(rng.choices(topics[k % 6], k=20))) for k in range(24)]
+    rows = [(i, " ".join(rng.choices(topics[i % 6], k=rng.randint(10, 120)))) for i in range(80)]
+    search = decontaminate.Search(decontaminate._items([{"id": i, "text": t, "answer": ""} for i, t in items], 8), np.linspace(0.5, 2, len({w for _, t in items for w in t.split()})).astype(np.float32))
+    decontaminate.fit_latent(spark.createDataFrame(rows, "doc_id bigint, text string"), search, latent=6)
+    h, at, term = search.weighted(decontaminate.terms_of(pa.array([t for _, t in rows])))
+    dense = np.diag(search.idf)
+    passages, own = search.project(h, at, term, dense.astype(np.float32)), search.item_sums(np.eye(len(dense), dtype=np.float32))
+    whole = np.concatenate([passages, own * np.sqrt(max(1.0, (passages**2).sum() / (own**2).sum()))])
+    best = (np.linalg.svd(whole, compute_uv=False)[:6] ** 2).sum()
+    basis = search.basis / search.idf[:, None]
+    assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-4)
+    assert ((whole @ basis) ** 2).sum() > 0.98 * best
+
+
+def test_short_items_have_to_stand_there_whole(spark):
+    docs = spark.createDataFrame([(1, "a short, QUESTION here"), (2, "short here question"), (3, "question"), (4, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "short question"), (2, "Question!"), (3, "..."), (4, "short")], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id, r.lcs) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == {(1, 1, 1.0), (1, 2, 1.0), (2, 2, 1.0), (3, 2, 1.0), (1, 4, 1.0), (2, 4, 1.0)}
+
+
 def test_decontamination_on_odd_and_empty_tables(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, None), (None, "a b c d e f g h i j k")], "item_id bigint, text string")
     assert decontaminate.contaminated(odd_docs, items).count() == 0
@@ -178,8 +275,6 @@ def test_decontamination_on_odd_and_empty_tables(spark, odd_docs, no_docs):
 
 
 def test_common_subsequence_equals_the_table():
-    import numpy as np
-
     rng = random.Random(4)
     for _ in range(50):
         a, b = (np.array(rng.choices(range(6), k=rng.randint(1, 70))) for _ in range(2))
@@ -191,8 +286,6 @@ def test_common_subsequence_equals_the_table():
 
 
 def test_mix_is_a_permutation():
-    import numpy as np
-
     from orbweave.llm.common import mix, unmix
 
     x = np.concatenate([np.arange(1000), np.random.default_rng(1).integers(0, 2**63, 1000)]).astype(np.uint64)
