@@ -53,7 +53,8 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can express neither the trained model nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the trained model nor the tokenizer; tests/llm/test_pipeline.py holds each stage against
+#: brute force, at its own parameters (the toxicity stage against the labels).
 ORACLE_SQL = None
 
 

@@ -98,6 +98,12 @@ class Model:
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: tokens, known tokens, base score and model score (log10)."""
+        offs, *columns = self.token_scores(texts)
+        return np.diff(offs), *(np.add.reduceat(c, offs[:-1]) for c in columns)
+
+    def token_scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's tokens begin, and of each token whether it is known, its base score
+        and its model score (log10); a text's last token is its end."""
         stream, offs = token_stream(texts)
         hashes, inverse = np.unique(stream, return_inverse=True)
         numbers = self.word_numbers(hashes)
@@ -134,7 +140,7 @@ class Model:
         seen = total[before]
         share = np.where(seen > 0, (c - (self.high.of(c) if self.high else 0) + left[before] * lower[inverse]) / np.maximum(seen, 1), lower[inverse])
         logs = np.log10(share)
-        return np.diff(offs), np.add.reduceat((counts > 0)[inverse].astype(np.int64), offs[:-1]), np.add.reduceat(base[inverse], offs[:-1]), np.add.reduceat(logs, offs[:-1])
+        return offs, (counts > 0)[inverse].astype(np.int64), base[inverse], logs
 
 
 def pair_hashes(context: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -230,6 +236,8 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> M
         if r["name"] == "hash":
             sizes[r["bucket"] + 1] = r["n"]
     first = np.cumsum(sizes)
+    if first[-1] >= 1 << 32:
+        raise ValueError("words are numbered in 32 bits: the training texts have more different ones")
     vocabulary, tokens = int(first[-1]), sum(r["sums"][0] for r in words if r["name"] == "hash")
     width = -(-(vocabulary + 1) // (1 << bits))
     model = Model(bits, width, vocabulary, tokens, 0, first)

@@ -18,30 +18,37 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every document: numbers and digests."""
     return bpe.encode_digest(table(spark, sf_dir, "documents"), path=tokenizer_path("word_bpe_49k.json"))
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by a model of six sevenths of them."""
     return ngram_lm.held_out_scores(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates: three words, 85 percent."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by a model of four fifths of the labels."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages of 20 words that stand earlier too."""
     return substring.duplicate_digest(table(spark, sf_dir, "documents"), min_words=20)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats every conversation, and one full of marks, and reads them back."""
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
@@ -49,14 +56,17 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts the tokens of every document."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), model_path=tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints every document and its edited text."""
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page and reads the archives back."""
     _, records = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

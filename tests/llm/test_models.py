@@ -64,11 +64,12 @@ def test_language_model_on_odd_and_empty_tables(odd_docs, no_docs):
 
 
 def test_probabilities_sum_to_one(spark):
+    """Over all known words, the end and one unknown word, after a word, an unknown one and the start."""
     docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices("abcdef", k=9))) for i in range(40)], "doc_id bigint, text string")
     model = ngram_lm.fit(docs)
-    two = model.score(pa.array([f"a {w}" for w in [*"abcdef", "zzz"]]))[3] - 0
-    one = model.score(pa.array(["a"]))[3]
-    assert len(two) == 7 and (two < one + 20).all()
+    for before in ("a ", "f ", "zzz ", ""):
+        offs, _, _, logs = model.token_scores(pa.array([before + w for w in [*"abcdef", "zzz", ""]]))
+        assert sum(10 ** logs[offs[:-1] + len(before.split())]) == pytest.approx(1, abs=1e-9)
 
 
 def bags(n, seed):
@@ -98,6 +99,49 @@ def test_toxicity_learns_sentences_from_document_labels(spark):
     assert toxicity.clean_documents(docs, model).count() == sum(r.score < 0.5 for r in toxicity.score_documents(docs, model).collect())
 
 
+def test_toxicity_scores_and_weights_equal_brute_force(spark):
+    """Scores by loops over sentences, and weights at which the likelihood cannot grow."""
+    rows = bags(300, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+    found = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    for i, text, _ in rows[:100]:
+        clean = 1.0
+        for sentence in text.split("."):
+            own = toxicity.sentences(pa.array([sentence])).features.ravel().tolist()
+            if own:
+                clean *= 1 - 1 / (1 + math.exp(-model.bias - sum(weight.get(f, 0.0) for f in own)))
+        assert found[i] == pytest.approx(1 - clean, abs=1e-5)
+    rng = np.random.default_rng(1)
+    toxic, plain = rng.integers(0, 2, 60), rng.integers(0, 3, 60)
+    doc = np.sort(rng.integers(0, 60, 150))
+    plain[np.bincount(doc, minlength=60) == 0] += 1
+    sentence, feature = np.repeat(np.arange(150), 2), rng.integers(0, 8, 300)
+    w, bias = toxicity.fit_noisy_or(toxic, plain, doc, sentence, feature, 8, rounds=3000, l2=0.5, weights=(1.0, 2.0))
+
+    def loss(w, bias):
+        total = 0.25 * (w**2).sum()
+        for d in range(60):
+            z = [bias] * plain[d] + [bias + sum(w[feature[sentence == s]]) for s in np.flatnonzero(doc == d)]
+            clean = math.prod(1 - 1 / (1 + math.exp(-x)) for x in z)
+            total -= 2.0 * math.log(1 - clean) if toxic[d] else math.log(clean)
+        return total
+
+    best = loss(w, bias)
+    for k in range(9):
+        for step in (-0.05, 0.05):
+            assert loss(w + step * (np.arange(8) == k), bias + step * (k == 8)) > best - 1e-4
+
+
+def test_toxicity_of_one_class_and_of_repeated_labels(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} text.") for i in range(60)], "doc_id bigint, text string")
+    one = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id bigint, toxic int")
+    assert {r.predicted for r in toxicity.toxicity(docs, one).collect()} == {0}
+    both = one.union(spark.createDataFrame([(i, 0) for i in range(60)], "doc_id bigint, toxic int"))  # the largest label counts
+    assert {r.predicted for r in toxicity.toxicity(docs, both).collect()} == {0}
+
+
 def test_toxicity_decides_alike_where_the_sample_is_bounded(spark):
     """A word of which three documents in ten are toxic is no reason to call one toxic, whether
     the sample has the classes' shares or as many documents of each."""
@@ -253,7 +297,7 @@ def test_latent_basis_equals_the_singular_vectors(spark):
     h, at, term = search.weighted(decontaminate.terms_of(pa.array([t for _, t in rows])))
     dense = np.diag(search.idf)
     passages, own = search.project(h, at, term, dense.astype(np.float32)), search.item_sums(np.eye(len(dense), dtype=np.float32))
-    whole = np.concatenate([passages, own * np.sqrt(max(1.0, (passages**2).sum() / (own**2).sum()))])
+    whole = np.concatenate([passages, own * np.sqrt((passages.sum(1) ** 2).sum() / (own**2).sum())])
     best = (np.linalg.svd(whole, compute_uv=False)[:6] ** 2).sum()
     basis = search.basis / search.idf[:, None]
     assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-4)
