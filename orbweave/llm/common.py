@@ -11,9 +11,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +31,9 @@ CHUNK_BYTES = 1 << 21
 #: Most bytes of one Arrow batch between Spark and Python, so that long texts come in small batches.
 ARROW_BYTES = 8 << 20
 
+#: Most bytes of remote files that an executor keeps copies of.
+CACHE_BYTES = 16 << 30
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -191,6 +196,19 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs that are built and run inside give their shuffle files back when they end; what
+    they leave is in files of the shared folder.  The session's own setting comes back after."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see, which spark.checkpoint.dir names.
 
@@ -253,19 +271,92 @@ def write_arrays(folder: str, arrays: dict[str, np.ndarray]) -> list[tuple[str,
     return out
 
 
-@lru_cache(maxsize=100_000)
+def remove_files(spark: SparkSession, uris: list[str]) -> None:
+    """Removes files of the shared folder that no later step reads, a task for many."""
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                files, path = store(uri)
+                with contextlib.suppress(FileNotFoundError):  # a task that is run again
+                    files.delete_file(path)
+            yield batch.slice(0, 0)
+
+    if uris:
+        spark.createDataFrame([(u,) for u in uris], "uri string").mapInArrow(remove, "uri string").collect()
+
+
+def bucket_bits(texts: DataFrame, text_col: str, bucket_bytes: int) -> int:
+    """Bits that number buckets of about ``bucket_bytes`` of text each, at least as many as
+    shuffle partitions."""
+    size = texts.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(2, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    return (buckets - 1).bit_length()
+
+
 def mapped(uri: str, dtype: str, n: int) -> np.ndarray:
-    """The array in a file, mapped into memory; from a store without local paths, the
-    worker first copies the file to its own disk, once."""
+    """The array in a file, mapped into memory.  Of a store without local paths, an executor's
+    workers share a copy; see ``_Copies``."""
     if not n:
         return np.zeros(0, dtype)
-    if not (path := local_path(uri)):
-        files, remote = store(uri)
-        with tempfile.NamedTemporaryFile(prefix="orbweave-", delete=False) as copy, files.open_input_stream(remote, compression=None) as source:
-            while part := source.read(1 << 22):
-                copy.write(part)
-        path = copy.name
-    return np.memmap(path, dtype, "r", shape=(n,))
+    return _mapped_file(uri, dtype, n) if local_path(uri) else _COPIES.mapped(uri, dtype, n)
+
+
+@lru_cache(maxsize=100_000)
+def _mapped_file(uri: str, dtype: str, n: int) -> np.ndarray:
+    return np.memmap(local_path(uri), dtype, "r", shape=(n,))
+
+
+class _Copies:
+    """Copies of remote files in a folder that the workers of an executor share, inside the
+    executor's own Spark folder, which Spark removes when the executor ends.
+
+    A copy appears under its name only when it is whole.  The folder holds at most CACHE_BYTES,
+    or the one file in use where that is larger: the copies used longest ago go first.  A worker
+    keeps at most as much mapped."""
+
+    def __init__(self) -> None:
+        self.open: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def mapped(self, uri: str, dtype: str, n: int) -> np.ndarray:
+        if uri in self.open:
+            self.open.move_to_end(uri)
+            return self.open[uri]
+        size = n * np.dtype(dtype).itemsize
+        while self.open and sum(a.nbytes for a in self.open.values()) + size > CACHE_BYTES:
+            self.open.popitem(last=False)
+        folder = os.path.join(os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0], "orbweave-copies")
+        path = os.path.join(folder, hashlib.sha1(uri.encode()).hexdigest())
+        while uri not in self.open:
+            try:
+                os.utime(path)
+                self.open[uri] = np.memmap(path, dtype, "r", shape=(n,))
+            except FileNotFoundError:  # no copy yet, or another worker has just removed it
+                os.makedirs(folder, exist_ok=True)
+                self._make_room(folder, size)
+                files, remote = store(uri)
+                with tempfile.NamedTemporaryFile(dir=folder, delete=False) as copy, files.open_input_stream(remote, compression=None) as source:
+                    while part := source.read(1 << 22):
+                        copy.write(part)
+                os.replace(copy.name, path)
+        return self.open[uri]
+
+    @staticmethod
+    def _make_room(folder: str, size: int) -> None:
+        found = []
+        for entry in os.scandir(folder):
+            with contextlib.suppress(FileNotFoundError):
+                found.append((entry.stat().st_mtime, entry.stat().st_size, entry.path))
+        total = sum(n for _, n, _ in found) + size
+        for _, n, path in sorted(found):
+            if total <= CACHE_BYTES:
+                break
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(path)
+            total -= n
+
+
+_COPIES = _Copies()
 
 
 def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:

@@ -1,7 +1,9 @@
 import base64
 import hashlib
 
-from orbweave.llm import chat, warc
+import numpy as np
+
+from orbweave.llm import chat, common, warc
 
 
 def test_template_round_trip():
@@ -65,3 +67,21 @@ def test_archives_round_trip(spark, tmp_path):
 def test_short_payloads_are_responses(spark):
     pages = spark.createDataFrame([(1, "a", "same"), (2, "b", "same")], "page_id bigint, url string, html string")
     assert {r.record_type for r in warc.archive(pages, min_bytes=5)[1].collect()} == {"response"}
+
+
+def test_copies_of_remote_files_are_shared_and_bounded(tmp_path, monkeypatch):
+    """A store without local paths, played by file URIs."""
+    written = common.write_arrays(f"file://{tmp_path}/store", {f"a{i}": np.arange(1000, dtype=np.int64) + i for i in range(8)})
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path}/executor,{tmp_path}/other")
+    monkeypatch.setattr(common, "CACHE_BYTES", 3 * 8000)
+    monkeypatch.setattr(common, "local_path", lambda uri: None)
+    folder = tmp_path / "executor" / "orbweave-copies"
+    workers = common._Copies(), common._Copies()
+    for name, uri, dtype, n in [*written, *written]:
+        first, second = (w.mapped(uri, dtype, n) for w in workers)
+        assert first[0] == second[0] == int(name[1:]) and len(first) == 1000
+        assert first.filename == second.filename and len(list(folder.iterdir())) <= 3
+        assert all(sum(a.nbytes for a in w.open.values()) <= common.CACHE_BYTES for w in workers)
+    monkeypatch.setattr(common, "CACHE_BYTES", 10)  # less than one file
+    name, uri, dtype, n = written[0]
+    assert common._Copies().mapped(uri, dtype, n)[5] == 5 and len(list(folder.iterdir())) == 1

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -11,43 +12,51 @@ from orbweave.llm import decontaminate, ngram_lm, toxicity
 from orbweave.llm.common import table
 
 
-def kneser_ney(training, scored):
+def kneser_ney(training, scored, order=2):
     """Interpolated modified Kneser-Ney with dictionaries."""
     tokens = lambda t: [*(t or "").encode().lower().split(), "</s>"]
-    uni, bi = collections.Counter(), collections.Counter()
+
+    def grams(own, k):
+        own = ["<s>"] * (order - 1) + own
+        return [tuple(own[i - k + 1 : i + 1]) for i in range(order - 1, len(own))]
+
+    uni, tables = collections.Counter(), {order: collections.Counter()}
     for t in training:
-        own = tokens(t)
-        uni.update(own)
-        bi.update(zip(["<s>", *own[:-1]], own))
-    cont, follow = collections.Counter(w for _, w in bi), collections.defaultdict(list)
-    for (h, _), c in bi.items():
-        follow[h].append(c)
-
-    def discounts(counts):
-        return ngram_lm.Discounts.estimate(*(sum(c == k for c in counts) for k in (1, 2, 3, 4))).values
-
-    high, low, v, n = discounts(bi.values()), discounts([cont[w] for w in uni]), len(uni), sum(uni.values())
-    cut = lambda d, c: d[min(c, 3) - 1] if c else 0.0
-    mass = sum(cut(low, cont[w]) for w in uni) / len(bi)
+        uni.update(tokens(t))
+        tables[order].update(grams(tokens(t), order))
+    for k in range(order - 1, 0, -1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+    cut = {k: ngram_lm.Discounts.estimate(*(sum(c == n for c in t.values()) for n in (1, 2, 3, 4))).values for k, t in tables.items()}
+    follow = collections.defaultdict(list)
+    for k in range(2, order + 1):
+        for g, c in tables[k].items():
+            follow[g[:-1]].append(c)
+    less = lambda k, c: cut[k][min(c, 3) - 1] if c else 0.0
+    v, n, pairs = len(uni), sum(uni.values()), len(tables[2])
+    mass = sum(cut[1][min(tables[1][w,] or 3, 3) - 1] for w in uni) / pairs
+    totals = {h: (sum(cs), sum(less(len(h) + 1, c) for c in cs)) for h, cs in follow.items()}
     out = []
     for t in scored:
         own, base, score = tokens(t), 0.0, 0.0
-        for h, w in zip(["<s>", *own[:-1]], own):
-            p = (cont[w] - cut(low, cont[w])) / len(bi) + mass / (v + 1)
-            if follow.get(h):
-                total = sum(follow[h])
-                p = (bi[h, w] - cut(high, bi[h, w]) + sum(cut(high, c) for c in follow[h]) * p) / total
+        for w, full in zip(own, grams(own, order), strict=True):
+            p = (tables[1][w,] - less(1, tables[1][w,])) / pairs + mass / (v + 1)
+            for k in range(2, order + 1):
+                g = full[-k:]
+                if g[:-1] in totals:
+                    total, left = totals[g[:-1]]
+                    p = (tables[k][g] - less(k, tables[k][g]) + left * p) / total
             score += math.log10(p)
             base += math.log10((uni[w] + 1) / (n + v + 1))
         out.append((len(own), sum(w in uni for w in own), base, score))
     return out, n
 
 
-def test_language_model_equals_dictionaries(spark, sf_dir):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_equals_dictionaries(spark, sf_dir, order):
     rows = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
-    found = {r.doc_id: r for r in ngram_lm.held_out_scores(table(spark, sf_dir, "documents")).collect()}
+    found = {r.doc_id: r for r in ngram_lm.held_out_scores(table(spark, sf_dir, "documents"), order=order).collect()}
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}
-    expected, n = kneser_ney([r.text for r in rows if not held[r.doc_id]], [r.text for r in rows])
+    expected, n = kneser_ney([r.text for r in rows if not held[r.doc_id]], [r.text for r in rows], order)
     for r, (tokens, known, base, score) in zip(rows, expected, strict=True):
         f = found[r.doc_id]
         assert (f.held_out, f.n_tokens, f.n_known, f.train_tokens) == (held[r.doc_id], tokens, known, n)
@@ -61,13 +70,26 @@ def test_language_model_on_odd_and_empty_tables(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(math.isfinite(r.score) for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert ngram_lm.held_out_scores(no_docs).count() == 0
+    three = ngram_lm.held_out_scores(odd_docs, order=3).collect()
+    assert len(three) == len(rows) and all(math.isfinite(r.score) for r in three)
+
+
+def test_language_model_in_many_buckets(spark, sf_dir):
+    """Buckets by the size of the texts, more of them than shuffle partitions; the session's settings come back."""
+    docs = table(spark, sf_dir, "documents")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    few, many = ngram_lm.fit(docs), ngram_lm.fit(docs, bucket_bytes=2000)
+    assert many.bits > few.bits and spark.conf.get(name) == before
+    texts = pa.array([r.text for r in docs.select("text").limit(50).collect()])
+    for a, b in zip(few.score(texts), many.score(texts), strict=True):
+        assert a == pytest.approx(b, rel=1e-12)
 
 
 def test_probabilities_sum_to_one(spark):
-    """Over all known words, the end and one unknown word, after a word, an unknown one and the start."""
+    """Over all known words, the end and one unknown word, after words, an unknown one and the start."""
     docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices("abcdef", k=9))) for i in range(40)], "doc_id bigint, text string")
-    model = ngram_lm.fit(docs)
-    for before in ("a ", "f ", "zzz ", ""):
+    for model, before in itertools.product([ngram_lm.fit(docs, order=k) for k in (2, 3)], ("a ", "f ", "a b ", "b b b ", "zzz ", "")):
         offs, _, _, logs = model.token_scores(pa.array([before + w for w in [*"abcdef", "zzz", ""]]))
         assert sum(10 ** logs[offs[:-1] + len(before.split())]) == pytest.approx(1, abs=1e-9)
 
