@@ -114,7 +114,7 @@ class Model:
     def values(self, names: tuple[str, ...], columns: list[np.ndarray]) -> list[np.ndarray]:
         """Values of n-grams, given by columns of numbers; 0 for unseen ones."""
         order = len(columns)
-        ids, inverse = np.unique(columns[0] if order == 1 else gram_hashes(columns), return_inverse=True)
+        ids, inverse = distinct(columns[0] if order == 1 else gram_hashes(columns))
         out = [np.zeros(len(ids), np.int64) for _ in names]
         for b, low, high in runs(self.bucket(ids, order)):
             known = None if order == 1 else self.array(f"key{order}", b)
@@ -138,7 +138,7 @@ class Model:
         """Where each text's tokens begin, and of each token whether it is known, its base score
         and its model score (log10); a text's last token is its end."""
         stream, offs = token_stream(texts)
-        hashes, inverse = np.unique(stream, return_inverse=True)
+        hashes, inverse = distinct(stream)
         number, count = (v[inverse] for v in self.words(hashes))
         base = np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
         share = np.full(len(stream), 1.0 / (self.vocabulary + 1))
@@ -162,6 +162,15 @@ class Model:
         return offs, (count > 0).astype(np.int64), base, np.log10(share)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and which of them each one is; only the distinct ones are sorted."""
+    codes, found = pd.factorize(values)
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[codes]
+
+
 def gram_columns(number: np.ndarray, offs: np.ndarray, order: int, start: int) -> list[np.ndarray]:
     """For each token the numbers of the order - 1 tokens before it, the start of its text where
     there are fewer, and its own."""
@@ -189,7 +198,7 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _merged(keys: list[np.ndarray], values: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys in the order of their ids, these, and the sums of their values."""
     key, ids = np.concatenate(keys), np.concatenate([_ids(k) for k in keys])
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     ids = ids[order]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     sums = [np.concatenate(v).astype(np.int64)[order] for v in zip(*values, strict=True)]
@@ -228,7 +237,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], keys_of: Callable, bucket_of: C
     for batch in batches:
         for part in slices(batch, "text"):
             found = keys_of(part.column(0))
-            key, _, value = _merged([found], [[np.ones(len(found), np.int64)]])
+            if found.ndim == 1:
+                key, *value = np.unique(found, return_counts=True)
+            else:
+                key, _, value = _merged([found], [[np.ones(len(found), np.int64)]])
             keys.append(key), values.append(value)
             size += len(key)
             if size > FLUSH_TOKENS:
@@ -300,7 +312,7 @@ def _fit(texts: DataFrame, folder: str | None, order: int, bucket_bytes: int) ->
 
     def grams(texts: pa.Array) -> np.ndarray:
         stream, offs = token_stream(texts)
-        hashes, inverse = np.unique(stream, return_inverse=True)
+        hashes, inverse = distinct(stream)
         columns = gram_columns(model.words(hashes)[0][inverse], offs, order, vocabulary)
         return gram_hashes(columns) if order == 2 else np.stack(columns, 1).astype(np.uint32)
 
