@@ -403,8 +403,11 @@ def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is not among ``ids`` (one column); rows with a null id stay.
 
     Ids are compared by their 64-bit xxhash64 in mapped files, so that the texts are not
-    shuffled: of n rows against m ids, n * m / 2**64 are expected to go by chance."""
-    chosen = hash_files(ids.select(F.xxhash64(ids.columns[0]).alias("h")), "ids")
+    shuffled.  That hash is a permutation of 64-bit numbers, so integer ids are told apart
+    exactly; of n rows with ids of another type, against m ids, n * m / 2**64 are expected to go
+    by chance."""
+    kind = df.schema[id_col].dataType
+    chosen = hash_files(ids.select(F.xxhash64(F.col(ids.columns[0]).cast(kind)).alias("h")), "ids")
     names = df.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

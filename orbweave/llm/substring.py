@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Words, fresh_dir, hashes_at, mapped, mix, ngram_hashes, release, runs, slices, split_words, tune, within, write_arrays
+from orbweave.llm.common import Words, bucket_bits, fresh_dir, hashes_at, mapped, mix, ngram_hashes, release, runs, slices, split_words, tune, within, write_arrays
 
+#: Text bytes for each bucket of the index.
+BUCKET_BYTES = 256 << 20
 #: Places that a task gathers before it sends their first ones on.
 FLUSH_PLACES = 2_000_000
 _NULL_ID = np.iinfo(np.int64).min
@@ -111,9 +113,9 @@ def _place_rows(gathered: list[tuple[np.ndarray, ...]], bits: int) -> pa.RecordB
 
 
 def build_index(docs: DataFrame, places, folder: str) -> Index:
-    """Index of what ``places(ids, texts)`` yields: keys, documents and words."""
-    spark = docs.sparkSession
-    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    """Index of what ``places(ids, texts)`` yields: keys, documents and words.  A bucket holds
+    what about BUCKET_BYTES of text yield; there are at least as many as shuffle partitions."""
+    bits = bucket_bits(docs, "text", BUCKET_BYTES)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

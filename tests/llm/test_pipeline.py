@@ -62,3 +62,25 @@ def test_dropping_ids_keeps_the_rest(odd_docs, spark):
     left = without_ids(odd_docs, "doc_id", gone)
     assert left.columns == odd_docs.columns
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 9]
+
+
+def test_hashes_of_integer_ids_are_a_permutation(spark):
+    """Each step of the hash taken back gives the id again, so no two ids share one."""
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    word = (1 << 64) - 1
+    back = lambda x, p: x * pow(p, -1, 1 << 64) & word
+    turn = lambda x, n: (x >> n | x << 64 - n) & word
+    ids = [0, 1, -1, 50, 2**63 - 1, -(2**63), *(i * 7919**4 for i in range(-900, 900))]
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint").select("id", F.xxhash64("id").alias("h")).collect()
+    for r in rows:
+        x = r.h & word
+        x = back(x ^ x >> 32, p3)
+        x = back(x ^ x >> 29 ^ x >> 58, p2)
+        x ^= x >> 33
+        x = turn(back(x - p4, p1), 27) ^ (42 + p5 + 8)
+        assert back(turn(back(x, p1), 31), p2) == r.id & word
+
+
+def test_dropping_ids_of_another_integer_type(odd_docs, spark):
+    gone = spark.createDataFrame([(8,), (2,)], "x int")
+    assert without_ids(odd_docs, "doc_id", gone).count() == odd_docs.count() - 3
