@@ -12,13 +12,16 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import fresh_dir, slices, staged, store, tune
+from orbweave.llm.common import fresh_dir, mapped, runs, slices, staged, store, tune, write_arrays
 
 FRAME_BYTES = 1 << 20  #: records of a frame, before compression; a larger record is a frame of its own
 BUNDLE_BYTES = 128 << 20  #: frames of a bundle, before compression
@@ -139,6 +142,59 @@ def read_record(uri: str, frame: int, offset: int) -> tuple[dict[str, str], byte
     return fields, block
 
 
+@dataclass
+class Responses:
+    """Ids of the responses of payloads that repeat: sorted digests and the ids' texts, in files
+    of the shared folder, by the digests' top bits."""
+
+    bits: int
+    files: dict[str, dict[int, tuple[str, str, int]]] = field(default_factory=dict)
+
+    def array(self, name: str, bucket: int) -> np.ndarray:
+        return mapped(*self.files[name][bucket])
+
+    def of(self, sha1: list[str]) -> list[str | None]:
+        """Id of the response of each payload, None for one that does not repeat."""
+        digests, out = _digests(sha1), [None] * len(sha1)
+        top = digests.view(np.uint8).reshape(-1, 20)[:, :3].astype(np.int64) @ [1 << 16, 1 << 8, 1] >> (24 - self.bits)
+        order = np.argsort(top)
+        for b, low, high in runs(top[order]):
+            if b not in self.files.get("digests", {}):
+                continue
+            rows, known = order[low:high], self.array("digests", b)
+            at = np.minimum(np.searchsorted(known, digests[rows]), len(known) - 1)
+            found = known[at] == digests[rows]
+            ends, ids = self.array("ends", b), self.array("ids", b)
+            for row, k in zip(rows[found], at[found], strict=True):
+                out[row] = ids[ends[k] : ends[k + 1]].tobytes().decode()
+        return out
+
+
+def _digests(sha1: list[str]) -> np.ndarray:
+    return np.frombuffer(bytes.fromhex("".join(sha1)), "S20")
+
+
+def _responses(rows: DataFrame, min_bytes: int, folder: str) -> Responses:
+    """The responses of payloads of ``min_bytes`` or more that repeat; only digests and ids are shuffled."""
+    spark = rows.sparkSession
+    bits = min(24, max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    groups = rows.filter(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.max("id").cast("string").alias("last"), F.count("*").alias("n"))
+    groups = groups.filter("n > 1 AND last IS NOT NULL").select("sha1", "last", F.shiftright(F.conv(F.substring("sha1", 1, 6), 16, 10).cast("int"), 24 - bits).alias("bucket"))
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        digests, ids = _digests(group["sha1"].tolist()), [i.encode() for i in group["last"]]
+        order = np.argsort(digests)
+        ids = [ids[k] for k in order]
+        arrays = {"digests": digests[order], "ends": np.cumsum([0, *map(len, ids)]), "ids": np.frombuffer(b"".join(ids), np.uint8)}
+        out = pd.DataFrame(write_arrays(folder, arrays), columns=["name", "uri", "dtype", "n"])
+        return out.assign(bucket=int(group["bucket"].iloc[0]))[["name", "bucket", "uri", "dtype", "n"]]
+
+    found = Responses(bits)
+    for r in groups.groupBy("bucket").applyInPandas(write, "name string, bucket int, uri string, dtype string, n bigint").collect():
+        found.files.setdefault(r["name"], {})[r["bucket"]] = (r["uri"], r["dtype"], r["n"])
+    return found
+
+
 def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Writes a record for each row and returns the index ``id_col, bundle, frame, offset``.
 
@@ -148,28 +204,31 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     id is a revisit where its payload has a response with an id.  Rows that repeat the
     response's id are responses too.  Other columns are not read; an empty table writes no
     file.
+
+    Pages are written by the tasks that read them: they are not shuffled, so a payload that
+    many pages share stays spread over these.  Tasks look the responses of repeating payloads
+    up in mapped files.
     """
     tune(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1("html"))
-    last = rows.groupBy("sha1").agg(F.max("id").alias("last"))
-    rows = rows.join(last, "sha1")
-    refers = F.when((F.octet_length("html") >= min_bytes) & F.col("last").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last"))
-    rows = rows.select("id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), "url", "sha1", refers.cast("string").alias("refers_to"), "html")
+    responses = _responses(rows, min_bytes, fresh_dir(pages.sparkSession, "warc-responses"))
+    rows = rows.select("id", F.col("id").cast("string").alias("own"), "url", "sha1", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in batches:
             for part in slices(batch, "html"):
                 ids, found = part.column(0), []
-                for name, url, sha1, refers_to, html in zip(*(c.to_pylist() for c in part.columns[1:]), strict=True):
+                own, url, sha1, html = (c.to_pylist() for c in part.columns[1:])
+                for o, u, s, h, last in zip(own, url, sha1, html, responses.of(sha1), strict=True):
                     if bundle is None or bundle.total > BUNDLE_BYTES:
                         if bundle:
                             bundle.close()
                         bundle = BundleWriter(folder)
-                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                    found.append((bundle.uri, *bundle.add(record(name, url, html.encode(), digest, refers_to))))
+                    digest = base64.b32encode(bytes.fromhex(s)).decode()
+                    found.append((bundle.uri, *bundle.add(record(o or "", u, h.encode(), digest, None if o == last else last))))
                 uris, frames, offsets = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(uris, pa.string()), pa.array(frames, pa.int32()), pa.array(offsets, pa.int64())], names=[id_col, "bundle", "frame", "offset"])
         if bundle:

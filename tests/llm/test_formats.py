@@ -85,3 +85,23 @@ def test_copies_of_remote_files_are_shared_and_bounded(tmp_path, monkeypatch):
     monkeypatch.setattr(common, "CACHE_BYTES", 10)  # less than one file
     name, uri, dtype, n = written[0]
     assert common._Copies().mapped(uri, dtype, n)[5] == 5 and len(list(folder.iterdir())) == 1
+
+
+def test_shared_payloads_without_a_shuffle_of_pages(spark):
+    """A third of the pages share one payload; ids are texts, one of them null; payloads under min_bytes are responses."""
+    import base64
+    import hashlib
+
+    rows = [(f"p{i:03d}", "u", "<p>gone</p>" if i % 3 == 0 else "" if i % 10 == 1 else f"<p>{i // 2}</p>", "x") for i in range(300)] + [(None, None, "<p>gone</p>", "y")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, refers_to string").repartition(5)
+    last = {}
+    for name, _, html, _ in rows:
+        last[html] = max(last.get(html, ""), name or "")
+    for low in (0, 1):
+        index, records = warc.archive(pages, min_bytes=low)
+        got = {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in records.collect()}
+        digest = lambda html: base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        assert got == {n: (len(h), digest(h), None if n == last[h] or len(h) < low else last[h]) for n, _, h, _ in rows}
+        assert index.count() == len(rows)
+    plan = warc.write_bundles(pages.filter("page_id > 'p'"), common.fresh_dir(spark, "warc"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
