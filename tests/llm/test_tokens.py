@@ -88,3 +88,28 @@ def test_whole_table_round_trip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     coded = bpe.encode_column(docs, path=WORDS).select("doc_id", F.size("token_ids").cast("bigint").alias("n"))
     assert coded.join(bpe.encode_digest(docs, path=WORDS), "doc_id").filter("n != n_tokens").count() == 0
+
+
+def test_ids_of_every_code_point():
+    """Each alone, between letters and between digits: classes and lower case are the library's."""
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(WORDS), bpe.word_codec(WORDS)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    near = [c for c in every if ord(c) < 0x34000 or 0xE0000 <= ord(c) < 0xE0200]
+    for texts in (every, [f"a{c}b" for c in near], [f"1{c}1" for c in near]):
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert codec.encode_array(pa.array(texts)).to_pylist() == expected
+        assert texts is every or codec.digest(pa.array(texts))[1] == [sha(" ".join(map(str, e))) for e in expected]
+
+
+def test_ids_of_many_random_texts():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    pools = [PARTS, [chr(c) for c in range(0x20, 0x250)], [chr(rng.randrange(0x34000)) for _ in range(4000)], ["́", "̣", "e", "o", "ᄀ", "ᅡ", "ᆨ", "क", "़", "ে", "া", "'", "s", "<|", " "]]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 25))).encode("utf-8", "ignore").decode() for pool in pools for _ in range(5000)]
+    library, codec = Tokenizer.from_file(WORDS), bpe.word_codec(WORDS)
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert codec.encode_array(pa.array(texts)).to_pylist() == expected
+    assert codec.digest(pa.array(texts))[1] == [sha(" ".join(map(str, e))) for e in expected]
