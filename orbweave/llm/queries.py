@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, chat, decontaminate, fingerprint, minhash, ngram_lm, oracles, substring, token_count, toxicity, warc
+from orbweave.llm import bpe, chat, decontaminate, fingerprint, minhash, ngram_lm, oracles, substring, token_count, token_store, toxicity, warc
 from orbweave.llm.common import table
 
 
@@ -71,6 +72,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every document to a store and reads each document back by its key."""
+    docs = table(spark, sf_dir, "documents")
+    own = token_store.write_store(docs, path=tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_documents(own, docs.select("doc_id")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -83,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_count": op8_token_count,
         "op9_fingerprint": op9_fingerprint,
         "op10_warc": op10_warc,
+        "op11_token_store": op11_token_store,
     }
 
 
