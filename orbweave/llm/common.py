@@ -69,7 +69,8 @@ def odd_numbers(n: int, seed: int) -> np.ndarray:
 _BYTE_MULT = odd_numbers(1 << 12, 1)
 
 
-def _byte_mult(n: int) -> np.ndarray:
+def byte_mult(n: int) -> np.ndarray:
+    """Multipliers of the first n bytes of a string that is hashed."""
     global _BYTE_MULT
     if n > len(_BYTE_MULT):
         _BYTE_MULT = odd_numbers(1 << (n - 1).bit_length(), 1)
@@ -132,7 +133,7 @@ def split_words(column: pa.Array, lower: bool = False, space: np.ndarray = _SPAC
     first_char = np.cumsum(sizes) - sizes
     inside = np.arange(len(chars)) - np.repeat(first_char, sizes)
     chars += _U(1)
-    chars *= _byte_mult(int(sizes.max()))[inside]
+    chars *= byte_mult(int(sizes.max()))[inside]
     sums = np.add.reduceat(chars, first_char)
     return Words(data, at, starts, ends, offs, mix(sums + sizes.astype(_U) * _U(0x9E3779B97F4A7C15)))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import bpe, chat, decontaminate, fingerprint, minhash, ngram_lm, oracles, substring, token_count, token_store, toxicity, warc
+from orbweave.llm import alignment, bpe, chat, decontaminate, fingerprint, minhash, ngram_lm, oracles, substring, token_count, token_store, toxicity, warc
 from orbweave.llm.common import table
 
 
@@ -79,6 +79,11 @@ def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(own, docs.select("doc_id")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligns the tokens of two tokenizers in every document."""
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), a_path=tokenizer_path("byte_bpe_50k.json"), b_path=tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprint": op9_fingerprint,
         "op10_warc": op10_warc,
         "op11_token_store": op11_token_store,
+        "op13_alignment": op13_alignment,
     }
 
 
