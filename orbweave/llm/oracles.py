@@ -37,3 +37,20 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
 CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d
 """
+
+#: The CRC-32 of a number's decimals by a table of the remainders of single bytes.
+PREFIX_TRIE = rf"""
+WITH tab AS (SELECT [list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS tab),
+t AS (SELECT conv_id, turn, coalesce(text, '') AS x, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS said FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, x, said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS k FROM t),
+c AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(d) AS BIGINT) FOR d IN string_split(CAST(conv_id AS VARCHAR), '')]), lambda c, b: xor(c >> 8, tab[CAST((xor(c, b) & 255) + 1 AS INT)])), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), tab),
+b AS (SELECT c.conv_id, k, said, x FROM c JOIN n ON n.conv_id = c.conv_id - c.conv_id % 20 AND k <= h UNION ALL SELECT conv_id, k, said, x FROM n JOIN c USING (conv_id) WHERE k > h),
+p AS (SELECT conv_id, 0 AS depth, '' AS key, 0 AS words FROM c UNION ALL SELECT conv_id, row_number() OVER w, string_agg(said, ',') OVER w, len({_WORDS.format("x")}) FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+u AS (SELECT key, depth, min(conv_id) AS id, count(*) AS n, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len), '')) AS ends FROM p JOIN l USING (conv_id) GROUP BY key, depth),
+up AS (SELECT u.key, u.depth, q.key AS parent FROM u JOIN p q ON q.conv_id = u.id AND q.depth = u.depth - 1),
+kids AS (SELECT parent AS key, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL),
+s AS (SELECT a.key, a.depth, sum((u.n - 1) * u.words) AS saved, count(*) FILTER (WHERE n_children IS NULL) AS leaves FROM u LEFT JOIN kids USING (key, depth) JOIN p a ON a.conv_id = u.id AND a.depth <= u.depth GROUP BY a.key, a.depth)
+SELECT u.id AS conv_id, CAST(u.depth AS BIGINT) AS depth, o.id AS parent_conv_id, u.n AS n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, u.ends AS ends_sha256
+FROM u JOIN s USING (key, depth) LEFT JOIN kids USING (key, depth) LEFT JOIN up USING (key, depth) LEFT JOIN u o ON o.key = up.parent AND o.depth = u.depth - 1
+"""

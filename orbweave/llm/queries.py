@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import alignment, bpe, chat, decontaminate, fingerprint, minhash, ngram_lm, oracles, substring, token_count, token_store, toxicity, warc
+from orbweave.llm import alignment, bpe, chat, decontaminate, fingerprint, minhash, ngram_lm, oracles, prefix_trie, substring, token_count, token_store, toxicity, warc
 from orbweave.llm.common import table
 
 
@@ -79,6 +79,11 @@ def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(own, docs.select("doc_id")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt with starts in common."""
+    return prefix_trie.prefix_trie(*prefix_trie.with_common_starts(prefix_trie.turn_digests(table(spark, sf_dir, "conversations"))))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligns the tokens of two tokenizers in every document."""
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"), a_path=tokenizer_path("byte_bpe_50k.json"), b_path=tokenizer_path("piece_bpe_32k.model"))
@@ -97,10 +102,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprint": op9_fingerprint,
         "op10_warc": op10_warc,
         "op11_token_store": op11_token_store,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_alignment": op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; tests hold the others against brute force."""
-    return {"op3_minhash": oracles.MINHASH, "op6_substring": oracles.SUBSTRING, "op7_chat": oracles.CHAT, "op10_warc": oracles.WARC}
+    return {"op3_minhash": oracles.MINHASH, "op6_substring": oracles.SUBSTRING, "op7_chat": oracles.CHAT, "op10_warc": oracles.WARC, "op12_prefix_trie": oracles.PREFIX_TRIE}
