@@ -67,10 +67,12 @@ def permutation(ao: DataFrame) -> DataFrame:
 def permute_basis(matrix_rows: DataFrame, ao: DataFrame) -> DataFrame:
     """``new[r, c] = old[idx[r], idx[c]] * sign[r] * sign[c]``.
 
-    The row side is a join on (molecule, old row); the column side gathers inside the row
-    by an array of the molecule, without a shuffle of entries."""
+    Both sides of the permutation are arrays of the molecule, which meet its rows in one join on the
+    molecule: a row finds its new place in one of them and gathers its entries by the other.  Rows
+    that no new place takes are left out."""
     p = permutation(ao)
-    gather = p.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("pos", "old_pos", "sign"))).alias("gather"))
-    rows = matrix_rows.select("mol_id", F.col("i").alias("old_pos"), "vals").join(p, ["mol_id", "old_pos"]).join(gather, "mol_id")
-    vals = F.transform("gather", lambda g: F.get(F.col("vals"), g["old_pos"]) * g["sign"] * F.col("sign"))
-    return rows.select("mol_id", F.col("pos").alias("i"), vals.alias("vals"))
+    ordered = lambda *names: F.array_sort(F.collect_list(F.struct(*names)))
+    sides = p.groupBy("mol_id").agg(ordered("pos", "old_pos", "sign").alias("gather"), F.map_from_entries(F.collect_list(F.struct("old_pos", F.struct("pos", "sign").alias("to")))).alias("place"))
+    rows = matrix_rows.join(sides, "mol_id").withColumn("to", F.try_element_at("place", F.col("i"))).filter("to IS NOT NULL")
+    vals = F.transform("gather", lambda g: F.get(F.col("vals"), g["old_pos"]) * g["sign"] * F.col("to.sign"))
+    return rows.select("mol_id", F.col("to.pos").alias("i"), vals.alias("vals"))

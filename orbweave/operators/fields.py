@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.operators.orbitals import stacked
+from orbweave.operators.molecules import stacked
 
 GRID = ["mol_id", "ix", "iy", "iz"]
 
@@ -52,12 +52,12 @@ def orbital_field(orbitals: DataFrame, ao_values: DataFrame, slabs: int = 8) ->
 
 
 def density_field(orbitals: DataFrame, ao_values: DataFrame, slabs: int = 8) -> DataFrame:
-    """``mol_id, ix, iy, iz, value``: sum of occ psi(r)^2 over the occupied orbitals."""
+    """``mol_id, ix, iy, iz, value``: sum of occ psi(r)^2 over the occupied orbitals, zero without any."""
 
     def values(grid: pa.Table, own: pa.Table, psi: np.ndarray) -> pa.Table:
         return grid.select(GRID).append_column("value", pa.array(psi**2 @ own["occ"].to_numpy()))
 
-    return _on_grid(orbitals.filter("occ > 0").select("mol_id", "k", "occ", "coef"), ao_values, slabs, "", values)
+    return _on_grid(orbitals.filter("occ > 0 OR k = 0").select("mol_id", "k", "occ", "coef"), ao_values, slabs, "", values)
 
 
 def difference_field(a: DataFrame, b: DataFrame, align_sign: bool = False) -> DataFrame:

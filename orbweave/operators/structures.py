@@ -48,17 +48,19 @@ def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Adds each row's place in the order of a key of any type, from 0; null comes first.
     Rows of one key have places of their own, in no fixed order.
 
-    Rows are dealt out by ranges of the key and written to the shared folder, a file for each
-    range; a range's rows are numbered by themselves and shifted by the sizes of the ranges
-    before, so that no task sees more than its range and all of them see the same ranges."""
+    Rows are dealt out by ranges of the key and written to the shared folder with the number of
+    their range, however many files that makes; a range's rows are numbered by themselves and
+    shifted by the sizes of the ranges before, so that no task sees more than its range and all of
+    them see the same ranges."""
     spark = df.sparkSession
     path, order = shared_path(spark, "ranges"), F.col(f"`{key}`").asc_nulls_first()
-    df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).write.parquet(path)
-    marked = spark.read.schema(df.schema).parquet(path).withColumn("range of key", F.col("_metadata.file_name"))  # part-00000-..., in the order of the ranges
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("range of key", F.spark_partition_id())
+    dealt.write.parquet(path)
+    marked = spark.read.schema(dealt.schema).parquet(path)
     sizes = marked.groupBy("range of key").agg(F.count("*").alias("n"))
     before = sizes.select("range of key", F.coalesce(F.sum("n").over(Window.orderBy("range of key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows before"))
     place = F.row_number().over(Window.partitionBy("range of key").orderBy(order)) - 1
-    return marked.join(F.broadcast(before), "range of key").withColumn(name, (place + F.col("rows before")).cast("long")).drop("range of key", "rows before")
+    return marked.join(F.broadcast(before), "range of key").withColumn(name, (place + F.col("rows before")).cast("long")).drop("range of key", "rows before")  # a row for each range
 
 
 def first_n(df: DataFrame, limit: int | None, index: str = "idx") -> DataFrame:
@@ -78,10 +80,22 @@ def ingest_counts(smiles: DataFrame, structures: DataFrame) -> DataFrame:
     return kept.select(F.lit("accepted").alias("status")).unionAll(rejected.select(F.lit("rejected").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def cell_pairs(atoms: DataFrame, size: float) -> DataFrame:
+    """Ordered pairs of atoms of a molecule that are in one cell of a cubic lattice or in neighbouring ones:
+    all that are no further apart than ``size``, the cells' width, and few others."""
+    names = ("x", "y", "z_c")
+    cells = atoms.select("mol_id", "atom", "z", *names, *(F.floor(F.col(c) / size).alias(f"cell_{c}") for c in names))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("atom", "z", *names)]
+    step = F.explode(F.array(*(F.struct(*(F.lit(d).alias(c) for c, d in zip(names, (i, j, k), strict=True))) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+    near = cells.withColumn("step", step).select("mol_id", *((F.col(f"cell_{c}") + F.col(f"step.{c}")).alias(f"cell_{c}") for c in names), *side("i"))
+    return near.join(cells.select("mol_id", *(f"cell_{c}" for c in names), *side("j")), ["mol_id", *(f"cell_{c}" for c in names)]).filter("atom_i != atom_j").drop(*(f"cell_{c}" for c in names))
+
+
 def radius_edges(atoms: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """``mol_id, atom_i, atom_j, d2`` of atom pairs of a molecule within the cutoff of their
-    elements; ``cutoffs(z_i, z_j, cutoff)``.  An equi-join on the molecule with a condition."""
-    side = lambda s: atoms.select("mol_id", *(F.col(c).alias(f"{c}_{s}") for c in ("atom", "z", "x", "y", "z_c")))
-    pairs = side("i").join(side("j"), "mol_id").filter("atom_i != atom_j").join(F.broadcast(cutoffs), ["z_i", "z_j"])
+    elements; ``cutoffs(z_i, z_j, cutoff)``.  Only atoms of neighbouring cells, as wide as the largest
+    cutoff, meet: work grows with the atoms, not with their square."""
+    widest = cutoffs.agg(F.max("cutoff")).first()[0]
+    pairs = cell_pairs(atoms, widest if widest and widest > 0 else 1.0).join(F.broadcast(cutoffs), ["z_i", "z_j"])
     d2 = sum((F.col(f"{c}_i") - F.col(f"{c}_j")) * (F.col(f"{c}_i") - F.col(f"{c}_j")) for c in ("x", "y", "z_c"))
     return pairs.withColumn("d2", d2).filter("d2 <= cutoff * cutoff").select("mol_id", "atom_i", "atom_j", "d2")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.constants import BOHR_PER_ANGSTROM, CONVENTIONS, DEBYE, ELEMENT_BLOCKS, HARTREE_EV, SYMBOLS, convention_rows, resolve_basis
-from orbweave.operators import basis, fields, matrices, orbitals, report, structures
+from orbweave.operators import basis, fields, matrices, molecules, orbitals, report, structures
 from orbweave.sources import files
 from orbweave.sources import fixtures as fx
 from orbweave.sources.fixtures import Fixtures
@@ -51,8 +51,8 @@ CTE = {
     "orb": f"SELECT mol_id, n, k, n_occ, homo_idx, {fx.energy('pred')} AS ep, {fx.energy('ref')} AS er FROM (SELECT mol_id, n, CAST(unnest(range(n)) AS INT) AS k FROM sizes) JOIN elec USING (mol_id)",
     "coef": f"SELECT *, {fx.coefficient('pred')} AS cp, {fx.coefficient('ref')} AS cr FROM (SELECT *, CAST(unnest(range(n)) AS INT) AS i FROM orb)",
     "delta": "SELECT mol_id, avg(hp - hr) AS delta FROM h WHERE i = j GROUP BY mol_id",
-    "occ": "SELECT mol_id, i, list(cp ORDER BY k) AS lp, list(cr ORDER BY k) AS lr FROM coef WHERE k < n_occ GROUP BY mol_id, i",
-    "dens": "SELECT a.mol_id, a.i, b.i AS j, 2 * list_dot_product(a.lp, b.lp) AS dp, 2 * list_dot_product(a.lr, b.lr) AS dr FROM occ a JOIN occ b USING (mol_id)",
+    "occ": "SELECT mol_id, i, list(cp ORDER BY k) FILTER (WHERE k < n_occ) AS lp, list(cr ORDER BY k) FILTER (WHERE k < n_occ) AS lr FROM coef GROUP BY mol_id, i",
+    "dens": "SELECT a.mol_id, a.i, b.i AS j, coalesce(2 * list_dot_product(a.lp, b.lp), 0) AS dp, coalesce(2 * list_dot_product(a.lr, b.lr), 0) AS dr FROM occ a JOIN occ b USING (mol_id)",
     "grid": f"SELECT mol_id, n, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz FROM sizes, range({fx.GRID}) a(ix), range({fx.GRID}) b(iy), range({fx.GRID}) c(iz)",
     "vox": f"SELECT mol_id, ix, iy, iz, {fx.voxel('pred')} AS vp, {fx.voxel('ref')} AS vr FROM grid",
     "aov": f"SELECT mol_id, ix, iy, iz, [{fx.ao_value()} FOR mu IN range(n)] AS phi FROM grid",
@@ -166,6 +166,26 @@ def k1_write_matrices(f):
     return files.read_matrices(f.spark, path).groupBy("mol_id", "source", "kind").agg(F.count("*").alias("n_rows"), at(F.sum(matrices.total(F.col("vals"))), 9).alias("total"))
 
 
+def _matrix_table(f):
+    """All matrices as a table dealt out by molecule."""
+    path = files.shared_path(f.spark, "matrix_table")
+    return files.write_matrix_table(f.matrix_rows(), path.rsplit("/", 1)[-1].replace("-", "_"), path)
+
+
+@query(sql("h", "SELECT mol_id, round(avg(abs(hp - hr)), 9) AS mae FROM h GROUP BY mol_id"))
+def k1_matrix_table_mae(f):
+    """Matrices are written to a table dealt out by molecule, and compared without another shuffle."""
+    own = molecules.of_table(_matrix_table(f), a=("pred", "ham"), b=("ref", "ham"))
+    return rounded(molecules.matrix_errors(own).select("mol_id", "mae"), "mae")
+
+
+@query(sql("h", "SELECT mol_id, i, sum(hp * hr) AS product FROM h GROUP BY mol_id, i"))
+def j2_align_table(f):
+    """The aligned rows of two sources of such a table."""
+    own = molecules.of_table(_matrix_table(f), a=("pred", "ham"), b=("ref", "ham"))
+    return molecules.aligned_rows(own).select("mol_id", "i", matrices.dot(F.col("a"), F.col("b")).alias("product"))
+
+
 @query(sql("atoms", "SELECT mol_id, 2 * count(*) AS n_atoms FROM atoms GROUP BY mol_id"))
 def k2_write_structures(f):
     """Appends all structures to all structures."""
@@ -266,9 +286,10 @@ def _metrics(f):
     return report.union_metrics(parts + [report.long_form(overlap, f"{s}_vs_ref", {"mae": "overlap_mae"}) for s in ("pred", "label")])
 
 
-@query("SELECT o_orderkey, CASE WHEN v >= 1 THEN round(v, 2) ELSE round(v, CAST(2 - floor(log10(v)) AS INT)) END AS shown FROM (SELECT o_orderkey, (o_orderkey % 997 + 1) * 3 / 1024.0::DOUBLE AS v FROM orders WHERE ((o_orderkey % 997 + 1) * 3) % 64 <> 0) WHERE abs(v * 100 * 8 - round(v * 100 * 8)) > 0")
+@query("SELECT o_orderkey, CASE WHEN v >= 1 THEN CAST(printf('%.2f', v) AS DOUBLE) ELSE CAST(printf('%.3g', v) AS DOUBLE) END AS shown FROM (SELECT o_orderkey, (o_orderkey % 997 + 1) * 3 / 1024.0::DOUBLE AS v FROM orders)")
 def p5_format_metric(f):
-    own = f.table("orders").select("o_orderkey", F.expr("CAST((o_orderkey % 997 + 1) * 3 AS DOUBLE) / 1024").alias("v")).filter("((o_orderkey % 997 + 1) * 3) % 64 <> 0 AND abs(v * 800 - round(v * 800)) > 0")
+    """Of every order a number; many are ties of their last decimal."""
+    own = f.table("orders").select("o_orderkey", F.expr("CAST((o_orderkey % 997 + 1) * 3 AS DOUBLE) / 1024").alias("v"))
     return own.select("o_orderkey", report.format_metric(F.col("v")).alias("shown"))
 
 
@@ -378,7 +399,7 @@ def j3_permute_basis(f):
 
 @query(sql("delta", "SELECT mol_id, i, round(sum(hr + delta * s), 9) AS row_sum FROM h JOIN delta USING (mol_id) GROUP BY mol_id, i"))
 def j4_shift_reference(f):
-    return matrices.shift_reference(f.ham("pred"), f.ham("ref"), f.overlap()).select("mol_id", "i", at(matrices.total(F.col("vals")), 9).alias("row_sum"))
+    return molecules.shifted_rows(molecules.together(a=f.ham("pred"), b=f.ham("ref"), s=f.overlap())).select("mol_id", "i", at(matrices.total(F.col("vals")), 9).alias("row_sum"))
 
 
 def _occupied(f, source):
@@ -429,20 +450,22 @@ ELEMENT_INDEX = "SELECT mol_id, CAST(shift + pos AS INT) AS pos, CAST(shift + id
 
 @query(sql("h", BLOCK.format("abs(hp - hr)", "", "ao", "ao")))
 def a2_block_mae(f):
-    return rounded(matrices.block_mae(matrices.align(f.ham("pred"), f.ham("ref")), basis.owners(f.ao())), "diag_mae", "non_diag_mae")
+    out = molecules.matrix_errors(molecules.together(a=f.ham("pred"), b=f.ham("ref")), basis.owners(f.ao()))
+    return rounded(out.select("mol_id", "diag_mae", "non_diag_mae"), "diag_mae", "non_diag_mae")
 
 
 @query(sql("h elements blocks", BLOCK.format("abs(hp - hr)", "", "el", "el").replace(", 9)", ", 12)"), el=ELEMENT_INDEX))
 def a2_block_mae_def2svp(f):
     own = basis.element_transform_index(f.atoms()).select("mol_id", F.col("place").alias("pos"), "atom")
-    out = matrices.block_mae(matrices.align(f.ham("pred"), f.ham("ref")), basis.owners(own))
+    out = molecules.matrix_errors(molecules.together(a=f.ham("pred"), b=f.ham("ref")), basis.owners(own))
     return out.select("mol_id", *(at(c, 12).alias(c) for c in ("diag_mae", "non_diag_mae")))  # means of few blocks end within 12 decimals
 
 
 @query(sql("delta", "SELECT * FROM (SELECT mol_id, round(avg(abs(hp - (hr + delta * s))), 9) AS mae FROM h JOIN delta USING (mol_id) GROUP BY mol_id) JOIN (" + BLOCK.format("abs(hp - (hr + delta * s))", "JOIN delta ON delta.mol_id = h.mol_id", "ao", "ao") + ") USING (mol_id)"))
 def a3_shifted_mae(f):
-    aligned = matrices.move_reference(matrices.align(f.ham("pred"), f.ham("ref")), f.overlap())
-    return rounded(matrices.matrix_mae(aligned).join(matrices.block_mae(aligned, basis.owners(f.ao())), "mol_id"), "mae", "diag_mae", "non_diag_mae")
+    out = molecules.matrix_errors(molecules.together(a=f.ham("pred"), b=f.ham("ref"), s=f.overlap()), basis.owners(f.ao()))
+    names = ["mae", "diag_mae", "non_diag_mae"]
+    return rounded(out.select("mol_id", *(F.col(f"shifted_{c}").alias(c) for c in names)), *names)
 
 
 @query(sql("coef", f"SELECT mol_id, k, round({_cos('cp', 'cr')}, 9) AS cosine FROM coef WHERE homo_idx >= 0 AND k IN (homo_idx, homo_idx + 1) GROUP BY mol_id, k"))
@@ -615,7 +638,7 @@ def v2_orbital_field(f):
     return _by_plane(fields.orbital_field(homo, f.ao_values(), slabs=1))
 
 
-@query(sql("aov cvec", _by_plane_sql("SELECT mol_id, ix, iy, iz, sum(2 * psi * psi) AS value FROM (SELECT mol_id, ix, iy, iz, list_dot_product(c, phi) AS psi FROM aov JOIN cvec USING (mol_id) WHERE k < n_occ) GROUP BY mol_id, ix, iy, iz")))
+@query(sql("aov cvec", _by_plane_sql("SELECT mol_id, ix, iy, iz, sum(CASE WHEN k < n_occ THEN 2 * psi * psi ELSE 0 END) AS value FROM (SELECT mol_id, ix, iy, iz, k, n_occ, list_dot_product(c, phi) AS psi FROM aov JOIN cvec USING (mol_id) WHERE k < n_occ OR k = 0) GROUP BY mol_id, ix, iy, iz")))
 def v3_density_field(f):
     return _by_plane(fields.density_field(_occupied(f, "pred"), f.ao_values(), slabs=1))  # 512 voxels a molecule
 
@@ -648,7 +671,7 @@ def e1_solver_residual(f):
     return residual.select("mol_id", (F.col("residual") < 1e-8).alias("solved"))
 
 
-@query(sql("elec sizes", "SELECT mol_id, round(2.0::DOUBLE * n_occ, 6) AS electrons FROM elec JOIN sizes USING (mol_id) WHERE n_occ > 0"))
+@query(sql("elec sizes", "SELECT mol_id, round(2.0::DOUBLE * n_occ, 6) AS electrons FROM elec JOIN sizes USING (mol_id)"))
 def e1_density_trace(f):
     """tr(DS) is the number of electrons in occupied orbitals."""
     own = orbitals.occupations(orbitals.solve_orbitals(f.ham("pred"), f.overlap()), orbitals.electron_count(f.atoms()))
@@ -672,9 +695,9 @@ def e2_score_structures(f):
 
 @query(sql("h", "SELECT mol_id, i, count(*) AS n, sum((j + 1) * hp) AS weighted FROM h GROUP BY mol_id, i"))
 def e3_assemble_gamma(f):
-    """Blocks of every molecule give back its matrix."""
+    """Blocks of every molecule, hops to lattice images among them, give back its matrix."""
     gamma = orbitals.assemble_gamma(*f.blocks())
-    return gamma.groupBy("mol_id", "i").agg(F.count("*").alias("n"), F.sum((F.col("j") + 1) * F.col("v")).alias("weighted"))
+    return gamma.select("mol_id", "i", F.size("vals").cast("long").alias("n"), matrices.total(F.transform("vals", lambda v, j: (j + 1) * v)).alias("weighted"))
 
 
 @query()

@@ -63,6 +63,17 @@ def write_matrices(df: DataFrame, path: str, overwrite: bool = True) -> None:
     df.repartition("mol_id").sortWithinPartitions("mol_id", "i").write.mode("overwrite" if overwrite else "append").partitionBy("kind", "source").parquet(path)
 
 
+def write_matrix_table(df: DataFrame, table: str, path: str, buckets: int | None = None) -> DataFrame:
+    """Matrix rows as a table that is dealt out by molecule into ``buckets`` (else as many as shuffle
+    partitions), in a folder for each kind and source; returns the table.  What groups its rows by molecule, or joins them
+    with another table of as many buckets, does not shuffle them again."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, "mol_id").write.mode("overwrite").partitionBy("kind", "source").bucketBy(n, "mol_id").sortBy("mol_id", "i")
+    dealt.option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MATRIX_ROWS).parquet(path)
 

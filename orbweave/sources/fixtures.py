@@ -178,12 +178,31 @@ class Fixtures:
         return self.table("customer").select("c_custkey", F.expr(f"concat({low}, CASE WHEN c_custkey % 2 = 0 THEN {high} ELSE '' END)").alias("value"))
 
     def blocks(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The predicted Hamiltonian as on-site blocks, blocks of atom pairs, and each atom's offset."""
-        own = self.ao().select("mol_id", "atom", "pos")
-        first = own.groupBy("mol_id", "atom").agg(F.min("pos").alias("at"))
-        own = own.join(first, ["mol_id", "atom"])
-        side = lambda s: own.select("mol_id", F.col("atom").alias(f"atom_{s}"), F.col("pos").alias(s), (F.col("pos") - F.col("at")).alias(f"in_{s}"))
-        entries = side("i").join(side("j"), "mol_id").withColumn("v", F.expr(hamiltonian("pred")))
-        nodes = entries.filter("atom_i = atom_j").select("mol_id", F.col("atom_i").alias("atom"), F.col("in_i").alias("r"), F.col("in_j").alias("c"), "v")
-        edges = entries.filter("atom_i < atom_j").select("mol_id", F.col("atom_i").alias("a"), F.col("atom_j").alias("b"), F.col("in_i").alias("r"), F.col("in_j").alias("c"), "v")
-        return nodes, edges, first
+        """The predicted Hamiltonian as on-site blocks, hopping blocks and each atom's offset and size.  A hop between two
+        atoms is spread over three lattice images, and each atom hops to an image of its own; together they give
+        back the matrix."""
+        sizes = self.ao().groupBy("mol_id", "atom").agg(F.min("pos").alias("at"), F.count("*").cast("int").alias("size"))
+        molecules = sizes.groupBy("mol_id").agg(F.array_sort(F.collect_list(F.struct("atom", "at", "size"))).alias("atoms"))
+        value = _hamiltonian("pred")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for mol, atoms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    n = sum(x["size"] for x in atoms)
+                    i, j = np.indices((n, n))
+                    matrix, image = value({"mol_id": mol, "i": i}, j), ((mol + i * 3 + j * 5) % 17 - 8) / 1024
+                    rows = []
+                    for p in atoms:
+                        for q in atoms[p["atom"] :]:
+                            at = np.s_[p["at"] : p["at"] + p["size"], q["at"] : q["at"] + q["size"]]
+                            if p is q:
+                                rows.append((p["atom"], q["atom"], 0, 0, 0, matrix[at] - image[at] - image[at].T))
+                                rows.append((p["atom"], q["atom"], 1, 0, 0, image[at]))
+                            else:
+                                rows += [(p["atom"], q["atom"], x, y, z, block) for x, y, z, block in ((0, 0, 0, matrix[at] - 2 * image[at]), (1, 0, 0, image[at]), (0, -1, 2, image[at]))]
+                    columns = [pa.array([r[k] for r in rows], pa.int32()) for k in range(5)]
+                    yield pa.RecordBatch.from_arrays([pa.array([mol] * len(rows), pa.int64()), *columns, pa.array([r[5].ravel() for r in rows], pa.list_(pa.float64()))], names=["mol_id", "a", "b", "rx", "ry", "rz", "vals"])
+
+        blocks = molecules.mapInArrow(cut, "mol_id bigint, a int, b int, rx int, ry int, rz int, vals array<double>")
+        home = "a = b AND rx = 0 AND ry = 0 AND rz = 0"
+        return blocks.filter(home).select("mol_id", F.col("a").alias("atom"), "vals"), blocks.filter(f"NOT ({home})"), sizes

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.functions.constants import HARTREE_EV, convention_rows, resolve_basis
-from orbweave.operators import basis, fields, matrices, orbitals, report, structures
+from orbweave.operators import basis, fields, matrices, molecules, orbitals, report, structures
 from orbweave.sources import files
 from orbweave.sources.fixtures import Fixtures
 
@@ -63,22 +63,22 @@ def test_matrix_errors_equal_numpy(spark, water):
     assert matrices.matrix_mae(aligned).first()["mae"] == pytest.approx(np.abs(a - b).mean())
     owner = np.array([0] * 14 + [1] * 5 + [2] * 5)
     means = {(i, j): np.abs(a - b)[np.ix_(owner == i, owner == j)].mean() for i in range(3) for j in range(3)}
-    row = matrices.block_mae(aligned, basis.owners(basis.ao_layout(water, "back2pyscf"))).first()
+    row = molecules.matrix_errors(molecules.together(a=rows_of(spark, 1, a), b=rows_of(spark, 1, b)), basis.owners(basis.ao_layout(water, "back2pyscf"))).first()
     assert row.diag_mae == pytest.approx(np.mean([v for (i, j), v in means.items() if i == j]))
     assert row.non_diag_mae == pytest.approx(np.mean([v for (i, j), v in means.items() if i != j]))
 
 
 def test_one_atom_has_no_block_off_the_diagonal(spark, water):
     m = rows_of(spark, 2, random_matrix(5, 1))
-    row = matrices.block_mae(matrices.align(m, m), basis.owners(basis.ao_layout(water, "back2pyscf"))).first()
+    row = molecules.matrix_errors(molecules.together(a=m, b=m), basis.owners(basis.ao_layout(water, "back2pyscf"))).first()
     assert (row.diag_mae, row.non_diag_mae) == (0.0, None)
 
 
 def test_shift_of_the_reference(spark):
     a, b, s = random_matrix(6, 1), random_matrix(6, 2), random_matrix(6, 3)
-    moved = matrices.shift_reference(*(rows_of(spark, 1, m) for m in (a, b, s)))
+    moved = molecules.shifted_rows(molecules.together(a=rows_of(spark, 1, a), b=rows_of(spark, 1, b), s=rows_of(spark, 1, s)))
     assert np.allclose(matrix_of(moved), b + np.diagonal(a - b).mean() * s)
-    same = matrices.shift_reference(*(rows_of(spark, 1, m) for m in (a, a, s)))
+    same = molecules.shifted_rows(molecules.together(a=rows_of(spark, 1, a), b=rows_of(spark, 1, a), s=rows_of(spark, 1, s)))
     assert np.allclose(matrix_of(same), a)
 
 
