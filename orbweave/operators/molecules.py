@@ -42,6 +42,12 @@ def together(**sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, [tagged(df, tag) for tag, df in sources.items()])
 
 
+def afresh(df: DataFrame) -> DataFrame:
+    """The same with columns of its own, so that it may be grouped together with another table that
+    comes from the same source."""
+    return df.select(*(F.col(f"`{c}`").alias(c) for c in df.columns))
+
+
 def of_table(table: DataFrame, **sources: tuple[str, str]) -> DataFrame:
     """The same of some (source, kind) of one table of matrix rows.  It is read once and not united, so
     that a table which write_matrix_table() dealt out by molecule is not shuffled again."""
@@ -128,7 +134,7 @@ def _grouped(rows: DataFrame, owner: DataFrame | None, make: Callable, schema: s
     def both(own: pa.Table, small: pa.Table) -> pa.Table:
         return make(own, small if small.num_rows else None)
 
-    return rows.groupBy("mol_id").cogroup(owner.groupBy("mol_id")).applyInArrow(both, schema)
+    return rows.groupBy("mol_id").cogroup(afresh(owner).groupBy("mol_id")).applyInArrow(both, schema)
 
 
 def _owner(small: pa.Table | None) -> np.ndarray | None:

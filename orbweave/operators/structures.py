@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,12 @@ def downcast(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{f.name}`").cast(narrow(f.dataType)).alias(f.name) for f in df.schema.fields))
 
 
+def _dealt(df: DataFrame, order: Column) -> DataFrame:
+    """Rows dealt out by ranges, with the number of their range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, order).withColumn("range of key", F.spark_partition_id())
+
+
 def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Adds each row's place in the order of a key of any type, from 0; null comes first.
     Rows of one key have places of their own, in no fixed order.
@@ -54,7 +60,7 @@ def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     them see the same ranges."""
     spark = df.sparkSession
     path, order = shared_path(spark, "ranges"), F.col(f"`{key}`").asc_nulls_first()
-    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("range of key", F.spark_partition_id())
+    dealt = _dealt(df, order)
     dealt.write.parquet(path)
     marked = spark.read.schema(dealt.schema).parquet(path)
     sizes = marked.groupBy("range of key").agg(F.count("*").alias("n"))
