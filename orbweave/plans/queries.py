@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.constants import BOHR_PER_ANGSTROM, CONVENTIONS, DEBYE, ELEMENT_BLOCKS, HARTREE_EV, SYMBOLS, convention_rows, resolve_basis
 from orbweave.operators import basis, fields, matrices, molecules, orbitals, report, structures
-from orbweave.sources import files
+from orbweave.sources import files, trees
 from orbweave.sources import fixtures as fx
 from orbweave.sources.fixtures import Fixtures
 
@@ -103,21 +103,7 @@ def s1_read_structures(f):
 def s2_read_npy_matrices(f):
     """Writes a NumPy file for each molecule from its task, then reads the tree."""
     path = files.shared_path(f.spark, "npy")
-
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        import io
-
-        from pyarrow import fs
-
-        out = io.BytesIO()
-        np.save(out, np.stack(rows.sort_values("i").vals)[None])
-        store, folder = fs.FileSystem.from_uri(path)
-        store.create_dir(f"{folder}/{rows.mol_id.iloc[0]}", recursive=True)
-        with store.open_output_stream(f"{folder}/{rows.mol_id.iloc[0]}/predicted_ham.npy") as stream:
-            stream.write(out.getvalue())
-        return pd.DataFrame({"mol_id": rows.mol_id.iloc[:1]})
-
-    f.ham("pred").groupBy("mol_id").applyInPandas(write, "mol_id bigint").write.mode("overwrite").format("noop").save()
+    files.write_npy_matrices(f.ham("pred"), path, "predicted_ham")
     return files.read_npy_matrices(f.spark, path).select("mol_id", "source", "i", at(matrices.total(F.col("vals")), 9).alias("row_sum"), F.size("vals").cast("long").alias("n"))
 
 
@@ -228,8 +214,7 @@ def k5_write_rejects(f):
 def k6_write_xyz(f):
     path = files.shared_path(f.spark, "xyz")
     files.write_xyz(f.atoms(), path)
-    back = f.spark.read.format("text").options(wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.xyz").load(path)
-    return back.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).cast("bigint").alias("mol_id"), "value")
+    return trees.read_tree(f.spark, path, "*.xyz").select(F.col("folder").cast("bigint").alias("mol_id"), F.col("content").cast("string").alias("value"))
 
 
 IDX = "SELECT mol_id, row_number() OVER (ORDER BY mol_id) - 1 AS idx FROM (SELECT DISTINCT mol_id FROM atoms)"

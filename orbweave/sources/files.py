@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import io
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.sources.trees import SCHEMA as TREE
+from orbweave.sources.trees import read_tree, write_tree
+
 MATRIX_ROWS = "mol_id bigint, source string, kind string, i int, vals array<double>"
 
 #: File names of matrices: source and kind.
@@ -42,20 +44,33 @@ def write_structures(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def read_npy_matrices(spark: SparkSession, path: str) -> DataFrame:
-    """Matrix rows of a tree ``{mol_id}/{name}.npy``; leading axes of one are dropped and only the
-    real part is kept.  Each file is decoded in the task that reads it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+    """Matrix rows of a tree ``{mol_id}/{name}.npy`` of the names of MATRIX_FILES, others left out; leading axes of
+    one are dropped and only the real part is kept.  Each file is decoded in the task that reads it."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.path, batch.content, strict=True):
-                *_, mol, file = name.split("/")
-                source, kind = MATRIX_FILES[file.removesuffix(".npy")]
+            for folder, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 matrix = np.real(np.load(io.BytesIO(content), allow_pickle=False)).astype(np.float64)
-                matrix = matrix.reshape(matrix.shape[-2:])
-                yield pd.DataFrame({"mol_id": int(mol), "source": source, "kind": kind, "i": np.arange(len(matrix), dtype=np.int32), "vals": list(matrix)})
+                matrix = np.ascontiguousarray(matrix.reshape(matrix.shape[-2:]))
+                (source, kind), (n, width) = MATRIX_FILES[name.removesuffix(".npy")], matrix.shape
+                vals = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(matrix.ravel()))
+                mol = int(folder.rpartition("/")[2])
+                yield pa.RecordBatch.from_arrays([pa.array([mol] * n, pa.int64()), pa.repeat(source, n), pa.repeat(kind, n), pa.array(np.arange(n, dtype=np.int32)), vals], names=["mol_id", "source", "kind", "i", "vals"])
+
+    known = F.regexp_replace("name", r"\.npy$", "").isin(*MATRIX_FILES)
+    return read_tree(spark, path, "*.npy").filter(known).mapInArrow(decode, MATRIX_ROWS)
+
+
+def write_npy_matrices(df: DataFrame, path: str, name: str) -> None:
+    """A file ``{mol_id}/{name}.npy`` for each molecule of matrix rows, with a leading axis of one."""
+
+    def encode(rows: pa.Table) -> pa.Table:
+        rows, out = rows.sort_by("i"), io.BytesIO()
+        flat = rows["vals"].combine_chunks()
+        np.save(out, flat.flatten().to_numpy(zero_copy_only=False).reshape(1, len(flat), -1))
+        return pa.table({"folder": [str(rows["mol_id"][0].as_py())], "name": [f"{name}.npy"], "content": pa.array([out.getvalue()], pa.binary())})
 
-    return files.mapInPandas(decode, MATRIX_ROWS)
+    write_tree(df.select("mol_id", "i", "vals").groupBy("mol_id").applyInArrow(encode, TREE), path)
 
 
 def write_matrices(df: DataFrame, path: str, overwrite: bool = True) -> None:
@@ -106,18 +121,17 @@ def read_cubes(spark: SparkSession, path: str, glob: str = "*.cube") -> DataFram
 
     ``folder`` is the name of a file's own folder, ``field`` the file's name without its ending,
     and ``mol_id`` the first number in the folder's name, null without one."""
-    texts = spark.read.format("text").options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).load(path)
-    name = lambda k: F.element_at(F.split(F.col("_metadata.file_path"), "/"), k)
-    mol = F.nullif(F.regexp_extract(name(-2), r"(\d+)", 1), F.lit("")).try_cast("bigint")
-    return parse_cubes(texts.select("value", name(-2).alias("folder"), mol.alias("mol_id"), F.regexp_replace(name(-1), r"\.[^.]*$", "").alias("field")))
+    own = F.element_at(F.split("folder", "/"), -1)
+    mol = F.nullif(F.regexp_extract(own, r"(\d+)", 1), F.lit("")).try_cast("bigint")
+    texts = read_tree(spark, path, glob).select(F.col("content").cast("string").alias("value"), own.alias("folder"), mol.alias("mol_id"), F.regexp_replace("name", r"\.[^.]*$", "").alias("field"))
+    return parse_cubes(texts)
 
 
 def read_esp_logs(spark: SparkSession, path: str, unit: str, glob: str = "*.log") -> DataFrame:
     """Extrema of all logs under a folder, at any depth, as parse_esp_logs() gives them, by
     ``path``, the log's path from the folder on."""
-    logs = spark.read.format("text").options(wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).load(path)
-    below = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
-    return parse_esp_logs(logs.select(below.alias("path"), "value"), "path", unit)
+    logs = read_tree(spark, path, glob)
+    return parse_esp_logs(logs.select(F.concat_ws("/", F.nullif("folder", F.lit("")), "name").alias("path"), F.col("content").cast("string").alias("value")), "path", unit)
 
 
 def parse_esp_logs(logs: DataFrame, key: str, unit: str) -> DataFrame:
@@ -132,22 +146,9 @@ def parse_esp_logs(logs: DataFrame, key: str, unit: str) -> DataFrame:
 
 
 def write_texts(texts: DataFrame, path: str, name: str) -> None:
-    """A file ``{folder}/{name}`` for each row ``folder, value``, written by the task that has it:
-    the trees of whole files that other programs read.  A task that runs again writes the
-    same files anew."""
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(path)
-        for batch in batches:
-            for folder, value in zip(batch.folder, batch.value, strict=True):
-                store.create_dir(f"{root}/{folder}", recursive=True)
-                with store.open_output_stream(f"{root}/{folder}/{name}") as stream:
-                    stream.write(value.encode())
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    texts.select("folder", "value").mapInPandas(write, "n bigint").write.mode("overwrite").format("noop").save()
+    """A file ``{folder}/{name}`` for each row ``folder, value``: the trees of whole files that other programs
+    read.  A null value is an empty file."""
+    write_tree(texts.select("folder", F.lit(name).alias("name"), F.coalesce("value", F.lit("")).cast("binary").alias("content")), path)
 
 
 def write_frontier_csv(df: DataFrame, path: str) -> None:
