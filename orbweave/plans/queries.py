@@ -114,10 +114,10 @@ def s3_read_smiles(f):
     return files.read_smiles(f.spark, path).groupBy("smile").agg(F.count("*").alias("n"))
 
 
-def _by_plane(df, *keys: str, value: str = "value"):
-    """Voxels summed with weights of their places, for each plane ix of a molecule's grid."""
-    weighted = F.sum((F.col("iy") * fx.GRID + F.col("iz") + 1) * F.col(value))
-    return df.groupBy("mol_id", "ix", *keys).agg(F.count("*").alias("voxels"), weighted.alias("weighted"))
+def _by_plane(df, *keys: str, places: str | None = None):
+    """Planes with the number of their points, and their values summed with weights of their places."""
+    weighted = F.zip_with("vals", places, lambda v, p: (p + 1) * v) if places else F.transform("vals", lambda v, p: (p + 1) * v)
+    return df.select("mol_id", "ix", *keys, F.size("vals").cast("long").alias("voxels"), matrices.total(weighted).alias("weighted"))
 
 
 def _by_plane_sql(rows: str, keys: str = "") -> str:
@@ -357,7 +357,7 @@ def f1_detail_selection(f):
 
 @query(sql("vox", _by_plane_sql("SELECT mol_id, ix, iy, iz, vp AS value, CASE WHEN vp >= 0.05 THEN 'pos' ELSE 'neg' END AS lobe FROM vox WHERE abs(vp) >= 0.05", "lobe,")))
 def f3_iso_select(f):
-    return _by_plane(fields.iso_select(f.voxels("pred"), 0.05), "lobe")
+    return _by_plane(fields.iso_select(f.voxels("pred"), 0.05), "lobe", places="places")
 
 
 # Joins
@@ -612,20 +612,22 @@ _SIDE = "SELECT mol_id, i, l - 1.5 + i * (h - l + 3) / 39 AS at FROM (SELECT mol
 @query(sql("atoms", "SELECT mol_id, 64000 AS points, " + ", ".join(f"round({g}({c}.at), 9) AS {c}_{n}" for c in "xyz" for n, g in (("low", "min"), ("high", "max"))) + " FROM x JOIN y USING (mol_id) JOIN z USING (mol_id) WHERE x.i IN (0, 39) AND y.i IN (0, 39) AND z.i IN (0, 39) GROUP BY mol_id", **{k: _SIDE.format(c=c) for k, c in (("x", "x"), ("y", "y"), ("z", "z_c"))}))
 def v1_voxel_lattice(f):
     """The density lattice, 40 points a side: each molecule's number of points and where they end."""
-    ends = {f"{c}_{n}": g(c) for c in "xyz" for n, g in (("low", F.min), ("high", F.max))}
-    out = fields.voxel_lattice(f.atoms(), 40, 1.5).groupBy("mol_id").agg(F.count("*").cast("int").alias("points"), *(e.alias(n) for n, e in ends.items()))
+    first = lambda c, k: F.element_at(f"{c}s", k)
+    ends = {"x_low": F.min("x"), "x_high": F.max("x")} | {f"{c}_{n}": F.min(first(c, k)) for c in "yz" for n, k in (("low", 1), ("high", -1))}
+    points = F.sum(F.size("ys") * F.size("zs")).cast("int").alias("points")
+    out = fields.voxel_lattice(f.atoms(), 40, 1.5).groupBy("mol_id").agg(points, *(e.alias(n) for n, e in ends.items()))
     return rounded(out, *ends)
 
 
 @query(sql("aov cvec", _by_plane_sql("SELECT mol_id, ix, iy, iz, list_dot_product(c, phi) AS value FROM aov JOIN cvec USING (mol_id) WHERE k = homo_idx")))
 def v2_orbital_field(f):
     homo = orbitals.orbital_pick(f.orbitals("pred"), orbitals.electron_count(f.atoms()), 0)
-    return _by_plane(fields.orbital_field(homo, f.ao_values(), slabs=1))
+    return _by_plane(fields.orbital_field(homo, f.ao_planes(), slabs=1))
 
 
 @query(sql("aov cvec", _by_plane_sql("SELECT mol_id, ix, iy, iz, sum(CASE WHEN k < n_occ THEN 2 * psi * psi ELSE 0 END) AS value FROM (SELECT mol_id, ix, iy, iz, k, n_occ, list_dot_product(c, phi) AS psi FROM aov JOIN cvec USING (mol_id) WHERE k < n_occ OR k = 0) GROUP BY mol_id, ix, iy, iz")))
 def v3_density_field(f):
-    return _by_plane(fields.density_field(_occupied(f, "pred"), f.ao_values(), slabs=1))  # 512 voxels a molecule
+    return _by_plane(fields.density_field(_occupied(f, "pred"), f.ao_planes(), slabs=1))  # 512 voxels a molecule
 
 
 @query(sql("vox", _by_plane_sql("SELECT mol_id, ix, iy, iz, vr - CASE WHEN turn < 0 THEN -vp ELSE vp END AS value FROM vox JOIN (SELECT mol_id, sum(vr * vp) AS turn FROM vox GROUP BY mol_id) USING (mol_id)")))

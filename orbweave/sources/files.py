@@ -100,24 +100,25 @@ def read_smiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_cubes(texts: DataFrame) -> DataFrame:
-    """Grid fields of whole cube texts ``value``, with their other columns: two comment lines, the number of
-    atoms, three axis lines, the atoms, then the values with z running fastest."""
+    """Grid fields of whole cube texts ``value`` by planes, ``ix, nz, vals``, with their other columns: two comment lines, the
+    number of atoms, three axis lines, the atoms, then the values with z running fastest."""
     keys = [c for c in texts.columns if c != "value"]
     words = texts.select(*keys, F.split(F.regexp_replace("value", r"^[^\n]*\n[^\n]*\n\s*|\s+$", ""), r"\s+").alias("w"))
     size = lambda k: F.get("w", F.lit(k)).cast("int")
-    rows = words.select(*keys, size(8).alias("ny"), size(12).alias("nz"), F.posexplode(F.slice("w", 17 + F.abs(size(0)) * 5, F.size("w"))).alias("at", "v"))
-    return rows.select(*keys, F.expr("CAST(at DIV (ny * nz) AS INT)").alias("ix"), F.expr("CAST(pmod(at DIV nz, ny) AS INT)").alias("iy"), F.expr("CAST(pmod(at, nz) AS INT)").alias("iz"), F.col("v").cast("double").alias("value"))
+    rows = words.select(*keys, size(4).alias("nx"), size(8).alias("ny"), size(12).alias("nz"), F.slice("w", 17 + F.abs(size(0)) * 5, F.size("w")).cast("array<double>").alias("all"))
+    rows = rows.filter("nx > 0").withColumn("ix", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)))
+    return rows.select(*keys, "ix", "nz", F.slice("all", 1 + F.col("ix") * F.col("ny") * F.col("nz"), F.col("ny") * F.col("nz")).alias("vals"))
 
 
 def cube_texts(field: DataFrame, n: int) -> DataFrame:
     """Whole cube texts of fields on n points along each side, without atoms."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ix", "iy", "iz", "value"))), lambda e: e["value"].cast("string"))
+    planes = F.transform(F.array_sort(F.collect_list(F.struct("ix", "vals"))), lambda e: F.array_join(e["vals"].cast("array<string>"), " "))
     head = f"grid\nfield\n0 0 0 0\n{n} 1 0 0\n{n} 0 1 0\n{n} 0 0 1\n"
-    return field.groupBy("mol_id", "field").agg(F.concat(F.lit(head), F.array_join(values, " ")).alias("value"))
+    return field.groupBy("mol_id", "field").agg(F.concat(F.lit(head), F.array_join(planes, "\n")).alias("value"))
 
 
 def read_cubes(spark: SparkSession, path: str, glob: str = "*.cube") -> DataFrame:
-    """``folder, mol_id, field, ix, iy, iz, value`` of all cube files under a folder, at any depth.
+    """``folder, mol_id, field, ix, nz, vals`` of all cube files under a folder, at any depth, by planes.
 
     ``folder`` is the name of a file's own folder, ``field`` the file's name without its ending,
     and ``mol_id`` the first number in the folder's name, null without one."""

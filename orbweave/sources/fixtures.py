@@ -82,15 +82,15 @@ def _dipole_integral(axis: int) -> Callable:
     return lambda r, j: ((r["mol_id"] + np.minimum(r["i"], j) * 5 + np.maximum(r["i"], j) * 3 + axis * 7) % 65 - 32) / 64
 
 
-def with_arrays(rows: DataFrame, arrays: dict[str, Callable]) -> DataFrame:
+def with_arrays(rows: DataFrame, arrays: dict[str, Callable], rows_at_once: int = 2000) -> DataFrame:
     """The rows with an array of n values for each formula, in place of their column ``n``."""
     kept = [c for c in rows.columns if c != "n"]
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), *(f"{a} array<double>" for a in arrays)])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 2000):  # arrays of a part stay in the processor's cache
-                batch = whole.slice(low, 2000)
+            for low in range(0, whole.num_rows, rows_at_once):  # arrays of a part stay in the processor's cache
+                batch = whole.slice(low, rows_at_once)
                 n = np.asarray(batch.column(batch.num_columns - 1))
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 j = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
@@ -159,18 +159,25 @@ class Fixtures:
         """``mol_id, i, rx, ry, rz``: integrals over j."""
         return with_arrays(self.per_orbital("i"), {f"r{c}": _dipole_integral(k) for k, c in enumerate("xyz")})
 
-    def grid(self) -> DataFrame:
-        out = self.sizes()
-        for axis in ("ix", "iy", "iz"):
-            out = out.withColumn(axis, F.explode(F.expr(f"sequence(0, {GRID - 1})")))
-        return out
+    def planes(self, n: int) -> DataFrame:
+        """``mol_id, n_ao, ix, nz`` of n points along each side."""
+        return self.sizes().select("mol_id", F.col("n").alias("n_ao"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ix"), F.lit(n).alias("nz"))
 
-    def voxels(self, field: str) -> DataFrame:
-        return self.grid().select("mol_id", F.lit(field).alias("field"), "ix", "iy", "iz", F.expr(voxel(field)).alias("value"))
+    def voxels(self, field: str, n: int = GRID) -> DataFrame:
+        a, b, c = VOXEL[field]
+        rows = self.planes(n).select("mol_id", "ix", "nz", F.lit(n * n).alias("n"))
+        made = with_arrays(rows, {"vals": lambda r, j: ((r["mol_id"] + r["ix"] * a + j // n * b + j % n * c) % 41 - 20) / 256}, max(1, 200_000 // (n * n)))
+        return made.withColumn("field", F.lit(field))
 
-    def ao_values(self) -> DataFrame:
-        """``mol_id, ix, iy, iz, phi``: phi over mu."""
-        return with_arrays(self.grid(), {"phi": lambda r, j: ((r["ix"] * 3 + r["iy"] * 5 + r["iz"] * 7 + j * 11) % 17 - 8) / 16})
+    def ao_planes(self, n: int = GRID) -> DataFrame:
+        """``mol_id, ix, nz, phi``: of each point of a plane the values of all orbitals."""
+
+        def phi(r, j):
+            place, mu = j // r["n_ao"], j % r["n_ao"]
+            return ((r["ix"] * 3 + place // n * 5 + place % n * 7 + mu * 11) % 17 - 8) / 16
+
+        rows = self.planes(n).withColumn("n", F.lit(n * n) * F.col("n_ao"))
+        return with_arrays(rows, {"phi": phi}, max(1, 10_000 // (n * n))).drop("n_ao")
 
     def esp_logs(self) -> DataFrame:
         low = "concat('Start of run\n The minimum is ', CAST(-abs(c_acctbal) AS STRING), ' at ', c_custkey % 8, ' ', c_custkey % 5, ' ', c_nationkey, ' Bohr\n')"

@@ -205,32 +205,36 @@ def test_matrix_files(spark, tmp_path):
 
 
 def test_fields(spark):
-    own = spark.createDataFrame([(1, 0, 0, k, v) for k, v in enumerate([-2.0, 3.0, 3.0, -2.0, 0.0])], "mol_id bigint, ix int, iy int, iz int, value double")
+    own = spark.createDataFrame([(1, 0, 3, [-2.0, 3.0, 3.0, -2.0, 0.0, 0.5]), (1, 1, 3, [0.0] * 5 + [3.0])], "mol_id bigint, ix int, nz int, vals array<double>")
     row = fields.field_extrema(own).first()
-    assert (row.low_value, row.low_iz, row.high_value, row.high_iz) == (-2.0, 0, 3.0, 2)
-    assert {(r.lobe, r.voxels, r.integral) for r in fields.iso_lobes(own, 1.0).collect()} == {("pos", 2, 6.0), ("neg", 2, -4.0)}
-    turned = own.withColumn("value", -F.col("value"))
-    assert fields.difference_field(own, turned, align_sign=True).filter("value != 0").count() == 0
-    assert fields.difference_field(own, turned).filter("value != 0").count() == 4
+    assert (row.low_value, row.low_ix, row.low_iy, row.low_iz) == (-2.0, 0, 0, 0)
+    assert (row.high_value, row.high_ix, row.high_iy, row.high_iz) == (3.0, 1, 1, 2)
+    assert {(r.lobe, r.voxels, r.integral) for r in fields.iso_lobes(own, 1.0).collect()} == {("pos", 3, 9.0), ("neg", 2, -4.0)}
+    assert {(r.ix, r.lobe): r.places for r in fields.iso_select(own, 1.0).collect()} == {(0, "pos"): [1, 2], (0, "neg"): [0, 3], (1, "pos"): [5]}
+    assert {(r.ix, r.iy, r.iz): r.value for r in fields.voxels(own).collect()}[0, 1, 2] == 0.5
+    turned = own.withColumn("vals", F.transform("vals", lambda v: -v))
+    assert {v for r in fields.difference_field(own, turned, align_sign=True).collect() for v in r.vals} == {0.0}
+    assert [r.vals for r in fields.difference_field(own, turned.filter("ix = 0")).collect()] == [[-4.0, 6.0, 6.0, -4.0, 0.0, 1.0]]
+    assert fields.difference_field(own, turned.limit(0)).count() == 0
 
 
 def test_orbital_and_density_fields_equal_numpy(spark):
     rng = np.random.default_rng(5)
-    c, phi = rng.normal(size=(3, 4)), rng.normal(size=(8, 4))
+    c, phi = rng.normal(size=(3, 4)), rng.normal(size=(8, 6, 4))
     own = spark.createDataFrame([(1, k, 2.0 * (k < 2), [float(v) for v in c[k]]) for k in range(3)], "mol_id bigint, k int, occ double, coef array<double>")
-    grid = spark.createDataFrame([(m, x, 0, 0, [float(v) for v in phi[x]]) for x in range(8) for m in (1, 2)], "mol_id bigint, ix int, iy int, iz int, phi array<double>")
+    grid = spark.createDataFrame([(m, x, 3, [float(v) for v in phi[x].ravel()]) for x in range(8) for m in (1, 2)], "mol_id bigint, ix int, nz int, phi array<double>")
     for slabs in (1, 3, 8):
-        psi = {(r.k, r.ix): r.value for r in fields.orbital_field(own, grid, slabs).collect()}
-        assert psi == {(k, x): pytest.approx((phi @ c.T)[x, k]) for k in range(3) for x in range(8)}
-        rho = {r.ix: r.value for r in fields.density_field(own, grid, slabs).collect()}
-        assert rho == {x: pytest.approx(2 * ((phi @ c[:2].T)[x] ** 2).sum()) for x in range(8)}
+        psi = {(r.k, r.ix): r.vals for r in fields.orbital_field(own, grid, slabs).collect()}
+        assert psi == {(k, x): pytest.approx(list(phi[x] @ c[k])) for k in range(3) for x in range(8)}
+        rho = {r.ix: r.vals for r in fields.density_field(own, grid, slabs).collect()}
+        assert rho == {x: pytest.approx(list(2 * ((phi[x] @ c[:2].T) ** 2).sum(1))) for x in range(8)}
 
 
 def test_trees_of_cubes_and_logs(spark, tmp_path):
     for folder, name in (("a/idx_7_sim_1", "HOMO.cube"), ("b/c/idx_12", "LUMO.cube"), ("d", "skip.txt")):
         (tmp_path / "cubes" / folder).mkdir(parents=True)
         (tmp_path / "cubes" / folder / name).write_text("c\nc\n1 0 0 0\n1 1 0 0\n2 0 1 0\n2 0 0 1\n8 8.0 0 0 0\n 1.0 2.0 3.0\n 4.0\n")
-    rows = files.read_cubes(spark, f"file://{tmp_path}/cubes").collect()
+    rows = fields.voxels(files.read_cubes(spark, f"file://{tmp_path}/cubes")).collect()
     assert {(r.mol_id, r.folder, r.field) for r in rows} == {(7, "idx_7_sim_1", "HOMO"), (12, "idx_12", "LUMO")}
     assert {(r.ix, r.iy, r.iz): r.value for r in rows if r.mol_id == 7} == {(0, 0, 0): 1.0, (0, 0, 1): 2.0, (0, 1, 0): 3.0, (0, 1, 1): 4.0}
     (tmp_path / "logs" / "x").mkdir(parents=True)
