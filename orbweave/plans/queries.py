@@ -680,6 +680,21 @@ def e2_score_structures(f):
     return orbitals.score_structures(records, predict, "idx bigint, atom int, score double")
 
 
+@query(sql("atoms", "SELECT idx, atom, 0.5 * z + 0.25 * x + 0.125 * y + z_c AS score FROM atoms JOIN idx USING (mol_id)", idx=IDX))
+def e2_score_padded(f):
+    """The same model over padded features, as long as the largest structure."""
+
+    def make_model():
+        def predict(numbers: np.ndarray, places: np.ndarray) -> np.ndarray:
+            return numbers * 0.5 + places @ np.array([0.25, 0.125, 1.0])
+
+        return predict
+
+    records = structures.dense_index(structures.model_records(f.atoms()).withColumnRenamed("idx", "mol"), "mol")
+    longest = records.agg(F.max(F.size("numbers"))).first()[0] or 1
+    return orbitals.score_padded(records, make_model, longest)
+
+
 @query(sql("h", "SELECT mol_id, i, count(*) AS n, sum((j + 1) * hp) AS weighted FROM h GROUP BY mol_id, i"))
 def e3_assemble_gamma(f):
     """Blocks of every molecule, hops to lattice images among them, give back its matrix."""

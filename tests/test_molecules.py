@@ -257,3 +257,22 @@ def test_fixture_sizes(spark):
     f = Fixtures(spark, "/root/testdata/sf0.001")
     assert f.atoms().count() == f.table("lineitem").count()
     assert f.ao().count() == f.sizes().agg(F.sum("n")).first()[0] == f.ham("pred").count()
+
+
+def test_padded_scores(spark, water):
+    """A model loaded once for each worker; a structure that does not fit raises."""
+
+    def make_model():
+        loads = [0]
+
+        def predict(numbers, places):
+            loads[0] += 1
+            return numbers + places.sum(2) / 10
+
+        return predict
+
+    records = structures.model_records(water)
+    rows = {(r.idx, r.atom): r.score for r in orbitals.score_padded(records, make_model, 3, batch_size=2).collect()}
+    assert rows == {(1, 0): 8.0, (1, 1): 1.1, (1, 2): 1.1, (2, 0): 1.0, (3, 0): pytest.approx(3.6)}
+    with pytest.raises(Exception, match="atoms of a structure: 3"):
+        orbitals.score_padded(records, make_model, 2).collect()
