@@ -97,6 +97,8 @@ def lower_each(text: str) -> str:
     if text.isascii():
         return text.lower()
     own = code_points()[1]
+    if own.keys().isdisjoint(text):
+        return text.replace("Σ", "σ").lower()
     return "".join([own[c] if c in own else c.lower() for c in text])
 
 
@@ -120,6 +122,8 @@ class WordCodec:
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         kind = code_points()[0]
+        #: Characters that are a letter to Python or to the library alone.
+        self.unlike = frozenset(chr(c) for c in range(_NO_LETTERS) if chr(c).isalpha() != (kind[c] == LETTER))
         for name, which in ((r"\s", SPACE), (r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
             pieces = pieces.replace(name, _as_class(kind, which))
         self.piece = regex.compile(pieces)
@@ -197,7 +201,7 @@ class WordCodec:
 
     def _plain(self, text: str) -> list[str]:
         text = lower_each(text if text.isascii() else unicodedata.normalize("NFC", text))
-        if text.isascii():
+        if text.isascii() or self.unlike.isdisjoint(text):
             if text.isalpha():
                 return [text]
             if text[:-1].isalpha() and text[-1] in ".,":
