@@ -57,42 +57,50 @@ def reply_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
 
     Returns ``tree, leaf, rank, node, dist`` with ``dist`` replies between node and leaf, for the
     ``branches`` best paths of each tree (None: all), ranked by the sum of scores, of equal
-    sums by the larger leaf.  ``node`` is unique over all trees; a parent that is null or
+    sums by the larger leaf.  Of rows that repeat a node, whatever their tree, the smallest by tree, parent and
+    score counts, null first; a row without node is left out.  A parent that is null or
     unknown makes a root; a null score counts as 0; nodes that reply to each other in a
     circle, and those that reply to them, have no root and no path.  The number of rounds is
     the logarithm of the longest path; where there are circles, that of the number of nodes,
-    over those alone that lead into one."""
-    nodes = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    pointers = nodes.select("node", F.col("parent").alias("up")).join(nodes.select(F.col("node").alias("up")), "up", "left_semi").select("node", "up")
-    parents = pointers.select(F.col("up").alias("node")).distinct()
+    over those alone that lead into one.  Scores are summed along the pointers, so that only the paths that are
+    asked for are ever listed."""
+    kind = nodes.schema["tree"].dataType.simpleString()
+    own = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("tree", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("o"))
+    nodes = staged(own.select(F.col("o.tree").cast(kind).alias("tree"), "node", "o.parent", "o.score"), "nodes")
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
+    # Of each node how far it points, null once that is past its root, and the scores up to there.
+    pointers = nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("up"), "score")
+    parents = pointers.select(F.col("up").alias("node")).filter("node IS NOT NULL").distinct()
     levels, reach, n_nodes = [], 1, nodes.count()
     while True:
         pointers = staged(pointers, "pointers")
-        if reach > n_nodes or pointers.isEmpty():
+        if reach > n_nodes or pointers.filter("up IS NOT NULL").isEmpty():
             break  # what still points after as many steps as there are nodes has no root
-        levels.append((reach, pointers))
-        other = pointers.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        pointers = pointers.join(other, "up").select("node", F.col("next").alias("up"))
+        levels.append((reach, pointers.filter("up IS NOT NULL").select("node", "up")))
+        other = pointers.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
+        ahead = pointers.filter("up IS NOT NULL").join(other, "up").select("node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"))
+        pointers = pointers.filter("up IS NULL").unionAll(ahead)
         reach *= 2
-    leaves = nodes.join(parents, "node", "left_anti").join(pointers.select("node"), "node", "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
-    for reach, pointers in levels:
-        further = paths.join(pointers, "node").select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist"))
-        paths = staged(paths.union(further), "paths")
-    scored = paths.join(nodes.select("node", "score"), "node").groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+    leaves = nodes.select("tree", "node").join(parents, "node", "left_anti")
+    scored = leaves.join(pointers.filter("up IS NULL").select("node", "score"), "node").select("tree", F.col("node").alias("leaf"), "score")
     if branches == 1:
         best = scored.groupBy("tree").agg(F.max(F.struct("score", "leaf")).alias("best")).select("tree", "best.leaf", F.lit(1).alias("rank"))
     else:
         order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("leaf"))
         best = scored.withColumn("rank", F.row_number().over(order))
         best = (best if branches is None else best.filter(F.col("rank") <= branches)).select("tree", "leaf", "rank")
-    return best.select("leaf", "rank").join(paths, "leaf").select("tree", "leaf", "rank", "node", "dist")
+    paths = staged(best.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).alias("dist")), "paths")
+    for reach, pointers in levels:
+        further = paths.join(pointers, "node").select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("dist") + reach).alias("dist"))
+        paths = staged(paths.union(further), "paths")
+    return paths
 
 
 def format_paths(paths: DataFrame, messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Formats each path as one conversation: ``tree, leaf, rank, formatted, loss``.
 
-    ``messages(node, role, text)`` holds the texts; a null role or text counts as empty.
+    ``messages(node, role, text)`` holds the texts; a null role or text counts as empty, and of rows that
+    repeat a node the smallest by role and text counts.
     A conversation is one row, so its turns meet in one place; ``loss`` is an array of
     (start, end) in code points of ``formatted``."""
     tune(paths.sparkSession)
@@ -102,7 +110,7 @@ def format_paths(paths: DataFrame, messages: DataFrame, loss_role: str = "assist
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [format_turns([(t["role"], t["text"]) for t in turns], loss_role) for turns in batch.column(3).to_pylist()]
+            made = [format_turns([(t["role"], t["text"]) for k, t in enumerate(turns) if not k or t["at"] != turns[k - 1]["at"]], loss_role) for turns in batch.column(3).to_pylist()]
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in made], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([t for t, _ in made], pa.string()), spans], names=["tree", "leaf", "rank", "formatted", "loss"])
 
@@ -118,7 +126,8 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     place = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", "text"))
     rows = rows.withColumn("at", place)
-    name = lambda at: F.concat_ws(":", F.coalesce(F.col("conv").cast("string"), F.lit("null")), at.cast("string"))
+    own = F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("null"))  # no id looks like none
+    name = lambda at: F.concat_ws(":", own, at.cast("string"))
     rows = staged(rows.select("conv", name(F.col("at")).alias("node"), F.when(F.col("at") > 1, name(F.col("at") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score")), "turns")
     paths = reply_paths(rows.select(F.col("conv").alias("tree"), "node", "parent", "score"))
     return format_paths(paths, rows).select(F.col("tree").alias("conv"), "formatted", "loss")

@@ -25,6 +25,27 @@ def test_reply_trees_rank_branches(spark):
     assert {r.leaf for r in chat.reply_paths(nodes).collect()} == {"d", "x"}
 
 
+def test_null_ids_and_ids_that_spell_null(spark):
+    rows = [(c, k, role, f"{c} {k}") for c in (None, "null", "=null", "a:1", "a", "") for k, role in enumerate(("user", "assistant"))]
+    turns = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    found = {r.conv: chat.parse_turns(r.formatted) for r in chat.format_conversations(turns).collect()}
+    assert found == {c: [("user", f"{c} 0"), ("assistant", f"{c} 1")] for c in (None, "null", "=null", "a:1", "a", "")}
+
+
+def test_repeated_nodes_and_a_comb(spark):
+    """A node that stands eight times; a path of 60 with a leaf on each node, of which only the best is listed."""
+    nodes = [("t", "r", None, 0.0)] + [("t", "a", "r", float(k)) for k in range(8)] + [("t", "b", "a", 1.0), (None, None, "a", 9.0)]
+    comb = [("c", f"n{k:02}", f"n{k - 1:02}" if k else None, 1.0) for k in range(60)] + [("c", f"x{k:02}", f"n{k:02}", 0.5 if k != 30 else 100.0) for k in range(60)]
+    table = spark.createDataFrame(nodes + comb, "tree string, node string, parent string, score double")
+    paths = chat.reply_paths(table)
+    rows = sorted((r.tree, -r.dist, r.node) for r in paths.collect())
+    assert rows == [("c", k - 31, f"n{k:02}") for k in range(31)] + [("c", 0, "x30")] + [("t", -2, "r"), ("t", -1, "a"), ("t", 0, "b")]
+    assert chat.reply_paths(table, branches=2).filter("rank = 2 AND tree = 'c'").agg({"dist": "max"}).first()[0] == 60
+    texts = spark.createDataFrame([("r", "user", "1"), ("a", "assistant", "2"), ("a", "assistant", "2"), ("a", "assistant", "3"), ("b", None, None)], "node string, role string, text string")
+    (made,) = chat.format_paths(paths.filter("tree = 't'"), texts).collect()
+    assert chat.parse_turns(made.formatted) == [("user", "1"), ("assistant", "2"), ("", "")]
+
+
 def test_very_long_and_clashing_conversations(spark):
     rows = [(1, 0, "user", "x" * 300_000, 1, "a"), (1, 1, "assistant", "<|end|>" * 40_000, 2, "b")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, node int, tree string")
