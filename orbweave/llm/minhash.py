@@ -11,6 +11,7 @@ buckets, whatever chains of buckets they form.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,25 +109,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "hu", "hv").mapInArrow(confirm, "u decimal(38,0), v decimal(38,0)")
 
 
+def _prefix(counts: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """True for the rarest values of each set, as many as leave so few others that two sets without one of
+    these in common are not alike enough; ``counts`` and then the values themselves give the order, the
+    sets follow each other."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((np.arange(len(counts)), counts, owner))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return place < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)
+
+
+def _common(own: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many values of a set each of n sets has, whose values are sorted together."""
+    low, high = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+    many = high - low
+    at = np.repeat(high - np.cumsum(many), many) + np.arange(many.sum())
+    return np.bincount(owner[at], minlength=n)
+
+
 def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between two blocks of a bucket, one for each pair of components."""
+    """Links between two blocks of a bucket, one for each pair of components.  A set is compared only
+    if one of its rarest values is among the rarest of a set on the other side."""
     found = []
     if len(left) and len(right):
-        sets = [np.frombuffer(h, np.uint64) for h in left.hashes]
-        sizes = np.array([len(s) for s in sets])
-        values = np.concatenate(sets)
+        sets, others = ([np.frombuffer(h, np.uint64) for h in side.hashes] for side in (left, right))
+        sizes, other_sizes = (np.array([len(s) for s in side]) for side in (sets, others))
+        flat, other_flat = np.concatenate(sets), np.concatenate(others)
+        known, place, count = np.unique(np.concatenate([flat, other_flat]), return_inverse=True, return_counts=True)
+        rare = np.zeros(len(known), bool)
+        rare[place[: len(flat)][_prefix(count[place[: len(flat)]], sizes, percent)]] = True
+        meets = rare[place[len(flat) :]] & _prefix(count[place[len(flat) :]], other_sizes, percent)
+        compared = np.flatnonzero(np.bincount(np.repeat(np.arange(len(others)), other_sizes)[meets], minlength=len(others)))
         owner = np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        comp = left.comp.to_numpy()
-        for node, own_comp, raw in zip(right.node, right.comp, right.hashes, strict=True):
-            own = np.frombuffer(raw, np.uint64)
-            low, high = np.searchsorted(values, own), np.searchsorted(values, own, "right")
-            many = high - low
-            at = np.repeat(high - np.cumsum(many), many) + np.arange(many.sum())
-            both = np.bincount(owner[at], minlength=len(sets))
-            for x in np.flatnonzero((100 * both >= percent * (sizes + len(own) - both)) & (comp != own_comp)):
-                found.append((left.node.iloc[x], node, comp[x], own_comp))
+        order = np.argsort(flat, kind="stable")
+        values, owner = flat[order], owner[order]
+        comp, other_comp = left.comp.to_numpy(), right.comp.to_numpy()
+        for k in compared.tolist():
+            both = _common(others[k], values, owner, len(sets))
+            for x in np.flatnonzero((100 * both >= percent * (sizes + len(others[k]) - both)) & (comp != other_comp[k])):
+                found.append((left.node.iloc[x], right.node.iloc[k], comp[x], other_comp[k]))
     out = pd.DataFrame(found, columns=["u", "v", "cu", "cv"])
     return out.drop_duplicates(["cu", "cv"])[["u", "v"]]
 
@@ -134,23 +156,31 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.Da
 def _bucket_links(buckets: DataFrame, hubs: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that the hubs of the buckets left out: classes outside the largest component of
     their bucket against all of the bucket, block by block.  A hub settles a bucket of two;
-    of buckets with the same members one is enough."""
+    of buckets with the same members one is enough.
+
+    Members are dealt into grades of set sizes, each 1 / percent as large as the one before; sets further
+    apart than neighbouring grades differ too much in size to be linked, and never meet."""
     larger = hubs.filter("c > 2").groupBy("u", "c", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
     comp = components(links, "linked")
     members = buckets.join(larger, "bucket", "left_semi").join(comp, "node", "left")
-    members = staged(members.select("bucket", "node", "n", F.xxhash64(F.coalesce("label", "node")).alias("comp")), "members")
-    by_comp = members.groupBy("bucket", "comp").agg(F.count("*").alias("many"), F.sum("n").alias("size"))
-    largest = F.struct("many", "comp")
-    of_bucket = by_comp.groupBy("bucket").agg(F.max_by("comp", largest).alias("main"), F.max_by("size", largest).alias("main_size"), F.sum("size").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-    parts = lambda size: (F.floor(size / BLOCK_SHINGLES) + 1).cast("int")
-    of_bucket = staged(of_bucket.select("bucket", "main", parts(F.col("size")).alias("all_parts"), parts(F.col("size") - F.col("main_size")).alias("parts")), "buckets")  # a table of its own, so that a bucket of many members can be split in the join
-    members = members.join(of_bucket, "bucket").join(sets, "node")
+    wide = -math.log(percent / 100) * (1 + 1e-9)  # a little wider, so that no rounding tells apart what may be linked
+    grade = F.floor(F.log(F.col("n").cast("double")) / wide) if percent < 100 else F.col("n")
+    members = staged(members.select("bucket", "node", "n", F.xxhash64(F.coalesce("label", "node")).alias("comp"), grade.cast("long").alias("grade")), "members")
+    by_comp = members.groupBy("bucket", "comp").agg(F.count("*").alias("many"))
+    main = by_comp.groupBy("bucket").agg(F.max_by("comp", F.struct("many", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("bucket", "main")
+    by_grade = members.join(main, "bucket").groupBy("bucket", "grade").agg(F.any_value("main").alias("main"), F.sum("n").alias("size"), F.coalesce(F.sum(F.when(F.col("comp") != F.col("main"), F.col("n"))), F.lit(0)).alias("minor"))
+    # A grade's minor members against all of its own and of the neighbouring grades.
+    around = by_grade.select("bucket", "size", F.explode(F.array(*(F.col("grade") + d for d in (-1, 0, 1)))).alias("grade")).groupBy("bucket", "grade").agg(F.sum("size").alias("size"))
+    parts = lambda size: (F.floor(F.col(size) / BLOCK_SHINGLES) + 1).cast("int")
+    of_grade = by_grade.filter("minor > 0").select("bucket", "grade", "main", "minor").join(around, ["bucket", "grade"])
+    of_grade = staged(of_grade.select("bucket", "grade", "main", parts("size").alias("all_parts"), parts("minor").alias("parts")), "grades")  # a table of its own, so that a bucket of many members can be split in the join
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    minor = members.filter("comp != main").select("bucket", "node", "comp", "hashes", part("parts").alias("block"), each("all_parts").alias("part"))
-    every = members.select("bucket", "node", "comp", "hashes", part("all_parts").alias("part"), each("parts").alias("block"))
-    every = every.toDF(*every.columns)  # attributes of its own for the cogroup
-    keys = ["bucket", "block", "part"]
+    keys = ["bucket", "grade", "block", "part"]
+    minor = members.join(of_grade, ["bucket", "grade"]).filter("comp != main").join(sets, "node").select("bucket", "grade", "node", "comp", "hashes", part("parts").alias("block"), each("all_parts").alias("part"))
+    near = members.select("bucket", "node", "comp", F.explode(F.array(*(F.col("grade") + d for d in (-1, 0, 1)))).alias("grade"))
+    every = near.join(of_grade, ["bucket", "grade"]).join(sets, "node").select("bucket", "grade", "node", "comp", "hashes", part("all_parts").alias("part"), each("parts").alias("block"))
+    every = every.select(*(F.col(c).alias(c) for c in every.columns))  # attributes of its own for the cogroup
     return minor.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(lambda x, y: _block_links(x, y, percent), "u decimal(38,0), v decimal(38,0)")
 
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orbweave.llm import fingerprint, minhash, substring
 from orbweave.llm.common import table
@@ -57,6 +58,59 @@ def test_chains_of_edits_keep_every_link(spark):
     assert found == groups(rows, 3, 85)
 
 
+def one_bucket(n, seed):
+    """Sets of many sizes that share fifty values, and pairs among them that are just alike enough or just not."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(1, 1 << 62, 50, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(1, 1 << 62, int(np.exp(rng.uniform(4, 7))), dtype=np.uint64)])) for _ in range(n)]
+    for k in range(0, 40, 2):
+        own = sets[k]
+        gone = int(len(own) * (0.08 + 0.0002 * k))
+        sets[k + 1] = np.unique(np.concatenate([own[gone:], rng.integers(1, 1 << 62, gone if k % 4 else 0, dtype=np.uint64)]))
+    return sets
+
+
+def alike(a, b, percent):
+    both = len(np.intersect1d(a, b))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def test_a_bucket_of_unlinked_classes(spark, monkeypatch):
+    """5,000 classes: sets that can have no link are not compared, and none of the links is lost."""
+    sets = one_bucket(5000, 1)
+    links = {(k, k + 1) for k in range(0, 40, 2) if alike(sets[k], sets[k + 1], 85)}
+    assert 5 < len(links) < 20
+    rows = [(k, len(own), 1, own.tobytes()) for k, own in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node bigint, n bigint, bucket bigint, hashes binary").withColumn("node", F.col("node").cast("decimal(38,0)"))
+    hubs = table.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("c"), F.lit(1).alias("members"))
+    none = spark.createDataFrame([], "u decimal(38,0), v decimal(38,0)")
+    for block in (1 << 18, 1 << 15):
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+        found = minhash._bucket_links(table.select("node", "n", "bucket"), hubs, none, table.select("node", "hashes"), 85)
+        assert {tuple(sorted((int(r.u), int(r.v)))) for r in found.collect()} == links
+    frame = table.select("node", "hashes").withColumn("comp", F.col("node").cast("bigint")).toPandas()
+    calls, real = [], minhash._common
+    monkeypatch.setattr(minhash, "_common", lambda own, *rest: calls.append(len(own)) or real(own, *rest))
+    found = minhash._block_links(frame, frame, 85)
+    assert {tuple(sorted(map(int, x))) for x in found.itertuples(index=False)} == links
+    # every set shares its own rare values with itself; against others it is compared where it may be linked
+    calls.clear()
+    minhash._block_links(frame[40:2500], frame[2500:], 85)
+    assert len(calls) < 25
+
+
+@pytest.mark.parametrize("percent", [1, 50, 80, 85, 100])
+def test_block_links_equal_brute_force(percent):
+    import pandas as pd
+
+    rng = np.random.default_rng(percent)
+    sets = [np.unique(rng.choice(400, int(rng.integers(1, 60)))).astype(np.uint64) + np.uint64(7) for _ in range(120)]
+    sets += [np.unique(np.concatenate([s[: len(s) - k % 4], rng.integers(500, 900, k % 3).astype(np.uint64)])) for k, s in enumerate(sets) if len(s) > 4]
+    frame = pd.DataFrame({"node": range(len(sets)), "comp": range(len(sets)), "hashes": [s.tobytes() for s in sets]})
+    found = {(x.u, x.v) for x in minhash._block_links(frame[::2], frame, percent).itertuples()}
+    assert found == {(u, v) for u in range(0, len(sets), 2) for v in range(len(sets)) if u != v and alike(sets[u], sets[v], percent)}
+
+
 def test_near_duplicates_on_odd_and_empty_tables(odd_docs, no_docs):
     rows = minhash.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
