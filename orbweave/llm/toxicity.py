@@ -128,12 +128,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     as the sample leaves out, so that the shares of the classes are those of all labels.
 
     At most ``max_features`` features get a weight, those that tell the classes apart best, of
-    those at least ``least_odds`` times as frequent in one class as in the other.  Rows with a null id or label do not count; of several labels of one id the largest does.
+    those at least ``least_odds`` times as frequent in one class as in the other.  Rows with a null id or label do not count, nor do labels
+    without a document; of several labels of one id the largest does.
     Without a document of either class, every document is as likely as not to be scored 0.
     The feature counts come from Spark; the weights are fitted in one task, over the few
     features of this bounded sample."""
     tune(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
     chosen = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen[0].union(chosen[1])), "id")
     sample = staged(sample.select("toxic", "text"), "toxicity-sample")
@@ -158,7 +160,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(totals) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
     every = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # Labels without a document are in neither: a class that fits counts once a document.
     weights = tuple(max(1.0, every[c] / per_class) for c in (0, 1))
     seen = sample.mapInArrow(count, "id bigint, clean bigint, toxic bigint").groupBy("id").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate = lambda c: (F.col(c) + 0.5) / (totals[int(c == "toxic")] + 1.0)

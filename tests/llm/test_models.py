@@ -383,3 +383,12 @@ def test_mix_is_a_permutation():
 
     x = np.concatenate([np.arange(1000), np.random.default_rng(1).integers(0, 2**63, 1000)]).astype(np.uint64)
     assert (unmix(mix(x)) == x).all() and (mix(unmix(x)) == x).all()
+
+
+def test_labels_without_a_document_do_not_count(spark):
+    """They take no place in the sample, however many there are."""
+    docs = spark.createDataFrame([(i, "you are an awful awful fool" if i % 2 else "the house is by the sea") for i in range(60)], "doc_id bigint, text string")
+    own = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    strange = spark.range(1000, 6000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    models = [toxicity.train(docs, labels, per_class=20) for labels in (own, own.union(strange))]
+    assert len(models[0].ids) and np.array_equal(models[0].ids, models[1].ids) and np.allclose(models[0].weights, models[1].weights)
