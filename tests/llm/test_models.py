@@ -331,7 +331,7 @@ def test_items_spread_over_other_words(spark, monkeypatch, gap):
 
 def _latent_only(search, text):
     words = decontaminate.terms_of(pa.array([text]))
-    search.literal = lambda h, at, term, width: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    search.literal = lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return search.confirmed(words)
 
 
