@@ -59,17 +59,34 @@ def of_table(table: DataFrame, **sources: tuple[str, str]) -> DataFrame:
 class Rows:
     """One source's rows of a molecule, in order of i."""
 
-    def __init__(self, rows: pa.Table):
-        rows = rows.sort_by("i")
-        self.i, self.table = rows["i"].to_numpy(), rows
-        self.vals = stacked(rows["vals"]) if len(rows) else np.zeros((0, 0))
+    def __init__(self, rows: pa.Table, which: np.ndarray | None = None, lists: tuple[np.ndarray, np.ndarray] | None = None):
+        flat, size = _lists(rows) if lists is None else lists
+        i = rows["i"].to_numpy()
+        which = np.arange(len(i)) if which is None else which
+        if (np.diff(i[which]) < 0).any():
+            which = which[np.argsort(i[which], kind="stable")]
+        self.i, self.table, self.which = i[which], rows, which
+        if not len(which):
+            self.vals = np.zeros((0, 0))
+        elif (size == size[0]).all():
+            self.vals = flat.reshape(len(size), -1)[which]
+        else:
+            ends = np.cumsum(size)
+            self.vals = np.stack([flat[e - n : e] for e, n in zip(ends[which].tolist(), size[which].tolist(), strict=True)])
 
     def column(self, name: str) -> np.ndarray:
-        return self.table[name].to_numpy()
+        return self.table[name].to_numpy()[self.which]
+
+
+def _lists(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the rows' arrays, and how many each row has."""
+    lists = rows["vals"].combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
 def by_tag(rows: pa.Table) -> dict[str, Rows]:
-    return {tag: Rows(rows.filter(pc.equal(rows["tag"], tag))) for tag in pc.unique(rows["tag"]).to_pylist()}
+    tags, lists = rows["tag"].to_numpy(zero_copy_only=False), _lists(rows)
+    return {tag: Rows(rows, np.flatnonzero(tags == tag), lists) for tag in dict.fromkeys(tags.tolist())}
 
 
 def same_rows(*own: Rows) -> tuple[np.ndarray, list[np.ndarray]]:
