@@ -209,8 +209,7 @@ def test_sequences_that_share_one_hash_are_told_apart(spark, monkeypatch):
     firsts = substring._firsts(keys.one, keys.two, ids, words, np.ones(len(keys), np.int64))
     assert len(set(firsts[0].tolist())) <= 8 < len(set(zip(firsts[0].tolist(), firsts[1].tolist(), strict=True))) == len(firsts[0])
     twice = firsts[4] > 1
-    index = substring.Index(1)
-    monkeypatch.setattr(index, "block", lambda name, b: dict(zip(("key", "check", "doc", "word"), (x[twice & (firsts[0] >> np.uint64(63) == b)] for x in firsts[:4]), strict=True))[name])
+    index = substring.Index(*(x[twice] for x in firsts[:4]))
     found, doc, word = index.first(keys)
     place = {(a, b): (c, d) for a, b, c, d, t in zip(*(x.tolist() for x in firsts[:4]), twice.tolist(), strict=True) if t}
     for a, b, f, d, w in zip(keys.one.tolist(), keys.two.tolist(), found.tolist(), doc.tolist(), word.tolist(), strict=True):
@@ -223,6 +222,38 @@ def test_substrings_on_odd_and_empty_tables(odd_docs, no_docs):
     assert substring.duplicate_digest(no_docs).count() == 0
 
 
+def test_blocks_answer_only_what_chunks_ask(spark, sf_dir, monkeypatch):
+    """Many small chunks and blocks: an answer goes to the chunks that ask for its key and holds
+    nothing else, whole tables come out, and each chunk is one file that three jobs read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    docs = docs.repartition(12)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 30_000)
+    found = substring.find_duplicates(docs, min_words=7)
+    assert found.chunks.count() > 8 and found.parts == 2 * found.chunks.count()
+    keys, places, size = {}, {}, 0
+    for r in found.chunks.collect():
+        for part in substring.read_chunk(found.folder, r.chunk):
+            size += part.num_rows
+            own, ids, words = found.parser.places(part.column(4).to_numpy(), part.column(3))
+            for *k, d, w in zip(own.one.tolist(), own.two.tolist(), ids.tolist(), words.tolist(), strict=True):
+                keys.setdefault(r.chunk, set()).add(tuple(k))
+                places.setdefault(tuple(k), []).append((d, w))
+    assert size == len(rows)
+    twice = {k for k, v in places.items() if len(v) > 1}
+    got = {}
+    for r in found.answers[0].collect():
+        one, two, doc, word = (np.frombuffer(x, kind).tolist() for x, kind in zip(r[1:], substring._ANSWER.values(), strict=True))
+        for a, b, d, w in zip(one, two, doc, word, strict=True):
+            assert (d, w) == min(places[a, b])
+            got.setdefault(r.chunk, []).append((a, b))
+    assert {c: sorted(k) for c, k in got.items()} == {c: sorted(k & twice) for c, k in keys.items() if k & twice}
+    out = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.duplicate_digest(docs, min_words=7).collect()}
+    assert out == kept_words(rows, 7)
+    plan = substring.without_duplicates(docs, min_words=7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of answers: no texts are shuffled
+
+
 def test_sketches_merge_and_estimate():
     words = [f"w{i}" for i in range(6000)]
     a, b, ab = fingerprint.sketch_texts(pa.array([" ".join(words[:4000]), " ".join(words[2000:]), " ".join(words)]))
