@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from orbweave.llm.common import Words, bucket_bits, fresh_dir, hashes_at, mix, ngram_hashes, release, runs, slices, split_words, staged, store, tune, within
+from orbweave.llm.common import Words, bucket_bits, fresh_dir, hashes_at, mix, ngram_hashes, release, runs, shuffles_removed, slices, split_words, staged, store, tune, within
 
 #: Text bytes for each bucket of the index.
 BUCKET_BYTES = 256 << 20
@@ -324,8 +324,9 @@ def find_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             held.append((keys.one, keys.two, ids, words, np.ones(len(keys), np.int64)))
         return _questions(chunk, held, bits)
 
-    for name in ("anchors", "windows"):
-        found.answers.append(staged(found.each(ask, _ASKED).groupBy("bucket").applyInPandas(answer, _ANSWERED), name))
+    with shuffles_removed(spark):  # the questions of a step go when its answers are written
+        for name in ("anchors", "windows"):
+            found.answers.append(staged(found.each(ask, _ASKED).groupBy("bucket").applyInPandas(answer, _ANSWERED), name))
     return found
 
 
