@@ -23,7 +23,8 @@ def voxel_lattice(atoms: DataFrame, n: int, margin: float) -> DataFrame:
     steps = F.sequence(F.lit(0), F.lit(n - 1))
     at = lambda k, i: F.col(f"{k}_low") - margin + i * (F.col(f"{k}_high") - F.col(f"{k}_low") + 2 * margin) / max(1, n - 1)
     side = lambda k: F.transform(steps, lambda i: at(k, i)).alias(f"{k}s")
-    return box.withColumn("ix", F.explode(steps)).select("mol_id", "ix", at("x", F.col("ix")).alias("x"), side("y"), side("z"))
+    box = box.select("mol_id", "x_low", "x_high", side("y"), side("z"))  # once for a molecule, not for each of its planes
+    return box.withColumn("ix", F.explode(steps)).select("mol_id", "ix", at("x", F.col("ix")).alias("x"), "ys", "zs")
 
 
 def voxels(planes: DataFrame) -> DataFrame:
