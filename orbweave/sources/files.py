@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,26 @@ def write_matrices(df: DataFrame, path: str, overwrite: bool = True) -> None:
     df.repartition("mol_id").sortWithinPartitions("mol_id", "i").write.mode("overwrite" if overwrite else "append").partitionBy("kind", "source").parquet(path)
 
 
+def write_matrix_files(files: DataFrame, path: str) -> None:
+    """Parquet files as folders.parquet_files() makes them, each of whole molecules; where ``folder`` is ``kind=../source=..``,
+    read_matrices() reads them too."""
+    write_tree(files, path)
+
+
+def matrix_file_figures(spark: SparkSession, path: str, columns: list[str], figures: Callable[[str, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``figures(folder, rows)`` of the rows of each row group, which are whole molecules, in the task that reads the file; only these
+    ``columns`` are read, and no array is handed on."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, content in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                own = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                for k in range(own.num_row_groups):
+                    yield figures(folder, own.read_row_group(k, columns, use_threads=False).combine_chunks().to_batches()[0])
+
+    return read_tree(spark, path, "*.parquet").mapInArrow(read, schema)
+
+
 def write_matrix_table(df: DataFrame, table: str, path: str, buckets: int | None = None) -> DataFrame:
     """Matrix rows as a table that is dealt out by molecule into ``buckets`` (else as many as shuffle
     partitions), in a folder for each kind and source; returns the table.  What groups its rows by molecule, or joins them
