@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.sources.trees import SCHEMA as TREE
-from orbweave.sources.trees import read_tree, write_tree
+from orbweave.sources.trees import read_packed, read_tree, write_packed, write_tree
 
+#: Bytes of matrices that are rows at once.
+ROWS_BYTES = 4 << 20
 MATRIX_ROWS = "mol_id bigint, source string, kind string, i int, vals array<double>"
 
 #: File names of matrices: source and kind.
@@ -44,22 +46,46 @@ def write_structures(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "append").parquet(path)
 
 
-def read_npy_matrices(spark: SparkSession, path: str) -> DataFrame:
+def read_npy_matrices(spark: SparkSession, path: str, packed: bool = False, figures: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str = MATRIX_ROWS) -> DataFrame:
     """Matrix rows of a tree ``{mol_id}/{name}.npy`` of the names of MATRIX_FILES, others left out; leading axes of
-    one are dropped and only the real part is kept.  Each file is decoded in the task that reads it."""
+    one are dropped and only the real part is kept.  Each file is decoded in the task that reads it.  ``figures`` makes rows of
+    ``schema`` of some molecules' rows there, so that no array is handed on."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            own, size = [], 0
             for folder, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                matrix = np.real(np.load(io.BytesIO(content), allow_pickle=False)).astype(np.float64)
-                matrix = np.ascontiguousarray(matrix.reshape(matrix.shape[-2:]))
-                (source, kind), (n, width) = MATRIX_FILES[name.removesuffix(".npy")], matrix.shape
-                vals = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(matrix.ravel()))
-                mol = int(folder.rpartition("/")[2])
-                yield pa.RecordBatch.from_arrays([pa.array([mol] * n, pa.int64()), pa.repeat(source, n), pa.repeat(kind, n), pa.array(np.arange(n, dtype=np.int32)), vals], names=["mol_id", "source", "kind", "i", "vals"])
+                matrix = np.real(np.load(io.BytesIO(content), allow_pickle=False)).astype(np.float64, copy=False)
+                own.append((int(folder.rpartition("/")[2]), *MATRIX_FILES[name.removesuffix(".npy")], matrix.reshape(matrix.shape[-2:])))
+                size += matrix.nbytes
+                if size > ROWS_BYTES:
+                    yield (figures or _same)(_matrix_rows(own))
+                    own, size = [], 0
+            if own:
+                yield (figures or _same)(_matrix_rows(own))
 
     known = F.regexp_replace("name", r"\.npy$", "").isin(*MATRIX_FILES)
-    return read_tree(spark, path, "*.npy").filter(known).mapInArrow(decode, MATRIX_ROWS)
+    return (read_packed if packed else read_tree)(spark, path, "*.npy").filter(known).mapInArrow(decode, schema if figures else MATRIX_ROWS)
+
+
+def _same(rows: pa.RecordBatch) -> pa.RecordBatch:
+    return rows
+
+
+def _matrix_rows(own: list[tuple[int, str, str, np.ndarray]]) -> pa.RecordBatch:
+    n = [len(matrix) for *_, matrix in own]
+    which = pa.array(np.repeat(np.arange(len(own)), n))
+    keys = [pa.array(c, kind).take(which) for c, kind in zip(list(zip(*own, strict=True))[:3], (pa.int64(), pa.string(), pa.string()), strict=True)]
+    offsets = np.concatenate([[0], np.cumsum(np.repeat([matrix.shape[1] for *_, matrix in own], n))])
+    vals = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([matrix.ravel() for *_, matrix in own])))
+    return pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), vals], names=["mol_id", "source", "kind", "i", "vals"])
+
+
+def npy_contents(matrices: np.ndarray) -> list[bytes]:
+    """Each of ``(molecules, n, n)`` as a NumPy file with a leading axis of one."""
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": "<f8", "fortran_order": False, "shape": (1, *matrices.shape[1:])})
+    return [head.getvalue() + matrix.astype("<f8").tobytes() for matrix in matrices]
 
 
 def write_npy_matrices(df: DataFrame, path: str, name: str) -> None:
@@ -134,18 +160,29 @@ def parse_cubes(texts: DataFrame) -> DataFrame:
 def cube_texts(field: DataFrame, n: int) -> DataFrame:
     """Whole cube texts of fields on n points along each side, without atoms."""
     planes = F.transform(F.array_sort(F.collect_list(F.struct("ix", "vals"))), lambda e: F.array_join(e["vals"].cast("array<string>"), " "))
-    head = f"grid\nfield\n0 0 0 0\n{n} 1 0 0\n{n} 0 1 0\n{n} 0 0 1\n"
-    return field.groupBy("mol_id", "field").agg(F.concat(F.lit(head), F.array_join(planes, "\n")).alias("value"))
+    return field.groupBy("mol_id", "field").agg(F.concat(F.lit(_cube_head(n)), F.array_join(planes, "\n")).alias("value"))
+
+
+def _cube_head(n: int) -> str:
+    return f"grid\nfield\n0 0 0 0\n{n} 1 0 0\n{n} 0 1 0\n{n} 0 0 1\n"
+
+
+def cube_contents(fields: np.ndarray) -> list[bytes]:
+    """Whole cube files, without atoms, of fields ``(molecules, n, n * n)``, a line for each plane."""
+    values, which = np.unique(fields, return_inverse=True)
+    words = np.array([repr(v) for v in values.tolist()], object)[which.reshape(fields.shape)]
+    head = _cube_head(fields.shape[1])
+    return [(head + "\n".join(map(" ".join, planes))).encode() for planes in words]
 
 
-def read_cubes(spark: SparkSession, path: str, glob: str = "*.cube") -> DataFrame:
+def read_cubes(spark: SparkSession, path: str, glob: str = "*.cube", packed: bool = False) -> DataFrame:
     """``folder, mol_id, field, ix, nz, vals`` of all cube files under a folder, at any depth, by planes.
 
     ``folder`` is the name of a file's own folder, ``field`` the file's name without its ending,
     and ``mol_id`` the first number in the folder's name, null without one."""
     own = F.element_at(F.split("folder", "/"), -1)
     mol = F.nullif(F.regexp_extract(own, r"(\d+)", 1), F.lit("")).try_cast("bigint")
-    texts = read_tree(spark, path, glob).select(F.col("content").cast("string").alias("value"), own.alias("folder"), mol.alias("mol_id"), F.regexp_replace("name", r"\.[^.]*$", "").alias("field"))
+    texts = (read_packed if packed else read_tree)(spark, path, glob).select(F.col("content").cast("string").alias("value"), own.alias("folder"), mol.alias("mol_id"), F.regexp_replace("name", r"\.[^.]*$", "").alias("field"))
     return parse_cubes(texts)
 
 
@@ -167,10 +204,10 @@ def parse_esp_logs(logs: DataFrame, key: str, unit: str) -> DataFrame:
     return logs.select(*out, F.lit(unit).alias("unit"))
 
 
-def write_texts(texts: DataFrame, path: str, name: str) -> None:
+def write_texts(texts: DataFrame, path: str, name: str, packed: bool = False) -> None:
     """A file ``{folder}/{name}`` for each row ``folder, value``: the trees of whole files that other programs
-    read.  A null value is an empty file."""
-    write_tree(texts.select("folder", F.lit(name).alias("name"), F.coalesce("value", F.lit("")).cast("binary").alias("content")), path)
+    read.  A null value is an empty file.  ``packed`` puts them into archives."""
+    (write_packed if packed else write_tree)(texts.select("folder", F.lit(name).alias("name"), F.coalesce("value", F.lit("")).cast("binary").alias("content")), path)
 
 
 def write_frontier_csv(df: DataFrame, path: str) -> None:
@@ -195,9 +232,9 @@ def xyz_texts(atoms: DataFrame, comment: str = "") -> DataFrame:
     return symbols(atoms).groupBy("mol_id").agg(F.count("*").alias("n"), lines.alias("l")).select("mol_id", F.concat_ws("\n", F.col("n").cast("string"), F.lit(comment), F.array_join("l", "\n")).alias("value"))
 
 
-def write_xyz(atoms: DataFrame, path: str) -> None:
+def write_xyz(atoms: DataFrame, path: str, packed: bool = False) -> None:
     """``{mol_id}/atomic_structure.xyz`` for each molecule."""
-    write_texts(xyz_texts(atoms).select(F.col("mol_id").cast("string").alias("folder"), "value"), path, "atomic_structure.xyz")
+    write_texts(xyz_texts(atoms).select(F.col("mol_id").cast("string").alias("folder"), "value"), path, "atomic_structure.xyz", packed)
 
 
 def write_detail_sample(df: DataFrame, path: str, n: int = 10) -> None:

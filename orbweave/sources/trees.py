@@ -4,13 +4,17 @@ A row is a file: ``folder``, its path from the tree's root on, ``name`` and ``co
 folder by a task, and its files are dealt out by bytes.  Tasks write under a folder of their attempt; only when all
 have ended are the files of the attempts that count moved to their places, by tasks too, so that a task which is
 killed or runs twice leaves none of its own that a reader sees.  What a task writes that is killed after its
-job was given up stays in a folder that no reader looks into.  No list of files passes through the driver."""
+job was given up stays in a folder that no reader looks into.  No list of files passes through the driver.
+
+Millions of small files take a block of disk each, and one more for their folders.  A packed tree has the same files inside archives
+``.tar.zst``, many of them in each; ``tar --zstd -xf`` of all archives gives the plain tree."""
 
 from __future__ import annotations
 
 import contextlib
 import fnmatch
 import os
+import tarfile
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,6 +38,9 @@ STEP = 4096
 #: Names of an attempt's lists of places, and of a job's list of attempts.
 PLACES, COUNTED = "places-{}", "counted"
 
+#: Ending of archives, and bytes of one, compressed and before.
+PACKED, PACKED_BYTES, UNPACKED_BYTES = ".tar.zst", 4 << 20, 128 << 20
+
 _ARROW = pa.schema([("folder", pa.string()), ("name", pa.string()), ("content", pa.binary())])
 
 
@@ -292,3 +299,71 @@ def write_tree(files: DataFrame, path: str, overwrite: bool = False) -> None:
         lists.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "attempt", "k").mapInArrow(move, "n bigint").agg(F.sum("n")).collect()
     finally:
         _clean(path, job)
+
+
+class _Archive:
+    """Files as one compressed tar archive, in memory."""
+
+    def __init__(self):
+        self.size, self.sink = 0, pa.BufferOutputStream()
+        self.stream = pa.CompressedOutputStream(self.sink, "zstd")
+
+    def add(self, place: str, content: bytes) -> None:
+        info = tarfile.TarInfo(place)
+        info.size = len(content)
+        self.stream.write(b"".join((info.tobuf(tarfile.PAX_FORMAT), content, bytes(-len(content) % tarfile.BLOCKSIZE))))
+        self.size += tarfile.BLOCKSIZE + len(content)
+
+    def full(self) -> bool:
+        return self.size > UNPACKED_BYTES or self.sink.tell() > PACKED_BYTES
+
+    def end(self) -> pa.RecordBatch:
+        self.stream.write(bytes(2 * tarfile.BLOCKSIZE))
+        self.stream.close()  # which closes the sink
+        return _batch([("", f"{uuid.uuid4().hex}{PACKED}", self.sink.getvalue().to_pybytes())])
+
+
+def write_packed(files: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Writes the files of rows ``folder, name, content`` into archives, each task into its own.  Archives of other jobs stay unless
+    ``overwrite`` is given; of files of one place all are read."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            for folder, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = own or _Archive()
+                own.add(f"{folder}/{name}" if folder else name, content or b"")
+                if own.full():
+                    yield own.end()
+                    own = None
+        if own:
+            yield own.end()
+
+    write_tree(files.select("folder", "name", "content").mapInArrow(pack, SCHEMA), path, overwrite)
+
+
+def read_packed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """As read_tree(), the files inside the archives of a packed tree."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(2):
+                yield from _unpacked(content.as_buffer(), pattern)
+
+    return read_tree(spark, path, f"*{PACKED}").mapInArrow(unpack, SCHEMA)
+
+
+def _unpacked(content: pa.Buffer, pattern: str) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    with pa.CompressedInputStream(pa.BufferReader(content), "zstd") as stream, tarfile.open(fileobj=stream, mode="r|") as archive:
+        for info in archive:
+            folder, _, name = info.name.rpartition("/")
+            if info.isfile() and fnmatch.fnmatchcase(name, pattern):
+                rows.append((folder, name, archive.extractfile(info).read()))
+                size += info.size
+            if size > BATCH_BYTES or len(rows) == STEP:
+                yield _batch(rows)
+                rows, size = [], 0
+            archive.members = []  # only those ahead are needed
+    if rows:
+        yield _batch(rows)
